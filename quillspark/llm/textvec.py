@@ -22,6 +22,8 @@ _BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BYTE_CODE[65:91] = _BYTE_CODE[97:123]
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[32, 9, 10, 11, 12, 13]] = False
+#: Word bytes where punctuation separates too.
+ALNUM = np.array([chr(b).isalnum() or b >= 128 for b in range(256)])
 _SHINGLE = _rng.integers(1, 1 << 63, 16, dtype=np.uint64) | _U(1)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -68,9 +70,9 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.
 class Words:
     """Words of a slice: byte spans, 64-bit hashes, and per document the range of its words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = _IS_WORD):
         n = len(data)
-        inside = _IS_WORD[data]
+        inside = inside[data]
         cut = np.zeros(n + 1, bool)
         cut[offsets] = True
         before = np.empty(n, bool)
