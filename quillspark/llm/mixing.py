@@ -30,15 +30,17 @@ CAP = 3
 #: floor(2**62 / golden ratio): the step of the point sequence modulo 2**62.
 STEP = 2850178573120402645
 _SPAN = 1 << 62
+#: A table of copies of more rows is joined by shuffle.
+BROADCAST_ROWS = 500_000
 _DIGIT = 10
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """row, doc_id, source, size, key: key (32 bits of a digest of doc_id) gives the shuffled order."""
+    """row, doc_id, source, size, key, mark: mark is a hash of the text, key (32 bits of a digest of doc_id) gives the shuffled order."""
     key = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.regexp_count(text_of(), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), key.alias("key"),
+        F.regexp_count(text_of(), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), key.alias("key"), F.xxhash64("text").alias("mark"),
     ).withColumn("row", F.monotonically_increasing_id())
 
 
@@ -142,10 +144,24 @@ def mix(docs: DataFrame, words_per_block: int = WORDS_PER_BLOCK) -> tuple[DataFr
 
 
 def taken_words(docs: DataFrame, words_per_block: int = WORDS_PER_BLOCK) -> DataFrame:
-    """One row per document: row, doc_id, source, size, source_size, target, taken."""
+    """One row per document: row, doc_id, mark, source, size, source_size, target, taken."""
     slices, documents, _ = mix(docs, words_per_block)
-    documents = documents.select("row", "doc_id", "source", "size", "source_size", "target")
+    documents = documents.select("row", "doc_id", "mark", "source", "size", "source_size", "target")
     none = F.lit(0).cast("long")
     parts = slices.select("row", (F.col("last_word") - F.col("first_word")).alias("taken"))
     taken = parts.groupBy("row").agg(F.sum("taken").alias("taken"))
     return documents.join(taken, "row", "left").withColumn("taken", F.coalesce("taken", none))
+
+
+def mixed(docs: DataFrame, words_per_block: int = WORDS_PER_BLOCK) -> DataFrame:
+    """The documents of the mix, all columns of ``docs``: each as often as the mix takes its words, to the nearest whole copy.
+
+    Documents without words stay as they are. Rows with one doc_id, source and text share their copies.
+    """
+    taken = taken_words(docs, words_per_block).filter("size > 0")
+    copies = taken.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("mark").alias("_m")).agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_n"))
+    copies = materialize(copies, "copies").filter("_n <> 1")
+    few = _few(copies, BROADCAST_ROWS)
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.xxhash64("text") == F.col("_m"))
+    out = docs.join(F.broadcast(copies) if few else copies, same, "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+    return out.filter("_n > 0").withColumn("_k", F.explode(F.expr("sequence(1, _n)"))).select(*docs.columns)

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import textvec
@@ -44,6 +44,8 @@ SLOT_BITS = 24
 #: Shingles per bucket, at most about; a list of a level from SPREAD_LEVEL up (4**SPREAD_LEVEL nodes) is spread.
 BUCKET, SPREAD_LEVEL = 1 << 21, 6
 _SEEN = 1 << 19
+#: Up to so many ids are sent to all tasks to filter the texts; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
 _U = np.uint64
 
 
@@ -313,16 +315,52 @@ def links(docs: DataFrame, shingles: int, width: int = WIDTH, percent: int = PER
     return edges, parts
 
 
-def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, n_links (spanning links of its set that were verified)."""
+def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows as of ``rows_of``, one row per node: node, component, least, n; edges)."""
     rows = materialize(rows_of(docs, width), "rows")
-    names = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"))
+    names = materialize(rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")), "names")
     total = names.agg(F.sum("n")).first()[0] or 0
     edges, parts = links(docs, total, width, percent)
-    named = names.join(parts, "node").select("node", "component", "least")
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    placed = named.join(smallest, "component").select("node", "component_id")
+    return rows, names.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least", "n"), edges
+
+
+def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, n_links (spanning links of its set that were verified)."""
+    rows, nodes, edges = _linked(docs, width, percent)
+    smallest = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    info = names.select("node", "least").join(placed, "node", "left").join(degree, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"), "n_links")
+    info = nodes.join(smallest, "component").join(degree, "node", "left").select("node", "component_id", "n_links")
     out = rows.join(info, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def distinct(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, all columns, but of each group of linked documents only the one of smallest doc_id.
+
+    Documents without words stay. Texts are shuffled only if more than ``BROADCAST_ROWS`` documents go.
+    """
+    rows, nodes, _ = _linked(docs, width, percent)
+    keep = nodes.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", "node")).alias("keep"))
+    decided = rows.join(nodes.select("node", "component").join(keep, "component").select("node", "keep.least", F.col("keep.node").alias("keep_node")), "node", "left")
+    stays = F.col("node").isNull() | (F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("node") == F.col("keep_node")))
+    decided = materialize(decided.select("doc_id", "node", stays.alias("stays")), "decisions")
+    small = lambda df: F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    # An id names its row unless it is null or repeated; rows of such ids are told apart by their sets.
+    unclear = materialize(decided.groupBy(F.col("doc_id").alias("_d")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or _d is null").select("_d"), "unclear-ids")
+    same = F.col("doc_id").eqNullSafe(F.col("_d"))
+    gone = decided.filter("not stays").select(F.col("doc_id").alias("_d")).union(unclear).distinct()
+    out = docs.join(small(gone), same, "left_anti")
+    if unclear.isEmpty():
+        return out
+    at, schema = docs.columns.index("text"), f"_node long, {', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}"
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [set_hash(t) if len(t) else None for t in sets(batch.column(at), width)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *batch.columns], ["_node", *batch.schema.names])
+
+    rest = docs.join(small(unclear), same, "left_semi").mapInArrow(add, schema)
+    good = decided.filter("stays and node is not null").select(F.col("doc_id").alias("_d"), F.col("node").alias("_n")).distinct()
+    picked = rest.join(good, same & (F.col("_node") == F.col("_n")), "left_semi")
+    picked = picked.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "_node").orderBy("text"))).filter("_k = 1")
+    return out.unionByName(picked.select(*docs.columns)).unionByName(rest.filter("_node is null").select(*docs.columns))
