@@ -13,6 +13,7 @@ input are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,9 +30,11 @@ SEGMENT_IDS = 1 << 18
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Bounds of a Python worker's cache of encoded words.
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
+CACHE_WORDS, CACHE_CHARS = 800_000, 48
 SEGMENTS = "part int, segment int, first long, n_ids long, doc_ids array<long>, doc_starts array<long>, codes binary"
 _SEGMENTS = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int64())), ("codes", pa.binary())])
+#: A word of Latin-1 letters and what may follow it: these the tokenizer's normalisers and pattern treat simply.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)").fullmatch
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -39,17 +42,30 @@ class WordEncoder(dict):
     """Little-endian u32 ids of a text, by way of a bounded cache of its pieces between ASCII spaces.
 
     The tokenizer's pattern never matches across white space and its normalisers don't look across it,
-    so the ids of a text are those of its pieces, one after the other.
+    so the ids of a text are those of its pieces, one after the other. A plain word, lower-cased, goes
+    straight to the library's model; other pieces go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
         self[""] = b""
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        plain = _PLAIN(piece)
+        if plain and plain[2]:
+            ids = self[plain[1]] + self[plain[2]]
+        elif plain and (low := piece.lower()) != piece:
+            ids = self[low]
+        elif plain:
+            letters = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+            ids = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+        else:
+            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
                 self.clear()
@@ -116,7 +132,7 @@ class TokenStore:
         self.segments = spark.read.schema(SEGMENTS).parquet(path)
 
     def parts(self) -> DataFrame:
-        """part, before: ids before the part. One row per partition written, so one task adds them up."""
+        """part, before: ids before the part. One row per partition written, so one task adds them up and it can be broadcast."""
         sums = self.segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
         before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         return sums.select("part", before.cast("long").alias("before"))
@@ -136,7 +152,7 @@ class TokenStore:
                         "ids_crc32": pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])], pa.int64()),
                     })
 
-        rows = self.segments.join(self.parts(), "part").select("before", "first", "doc_ids", "doc_starts", "codes")
+        rows = self.segments.join(F.broadcast(self.parts()), "part").select("before", "first", "doc_ids", "doc_starts", "codes")
         return rows.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
     def token_ids(self) -> DataFrame:
@@ -153,7 +169,7 @@ class TokenStore:
 
     def token_at(self, position: int) -> int:
         """The token at a position of the whole corpus: one segment is read, none is decoded."""
-        at = self.segments.join(self.parts(), "part").select((F.col("before") + F.col("first")).alias("start"), "n_ids", "codes")
+        at = self.segments.join(F.broadcast(self.parts()), "part").select((F.col("before") + F.col("first")).alias("start"), "n_ids", "codes")
         row = at.filter((F.col("start") <= position) & (F.col("start") + F.col("n_ids") > position)).first()
         if row is None:
             raise IndexError(position)
