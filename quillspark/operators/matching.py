@@ -1,7 +1,7 @@
 """Spatial, fuzzy and greedy one-to-one matching of words, lines and regions.
 
 Candidates come from equi-joins on the page (and the text, or a grid cell), so no page's words are ever
-crossed with another's; the greedy step, whose order is part of the result, runs per page in pandas.
+crossed with another's; the greedy step, whose order is part of the result, gets a page's candidates as one array.
 """
 
 from __future__ import annotations
@@ -53,21 +53,23 @@ def adopt_tokens(words: DataFrame, regions: DataFrame) -> DataFrame:
     In order of words; a token serves once; a word without content takes the first token left.
     """
     tokens = regions.select("page_id", "region_idx", T.words(T.text("content")).alias("tokens"))
-    joined = words.join(tokens, ["page_id", "region_idx"], "left")
+    grouped = words.groupBy("page_id", "region_idx").agg(F.array_sort(F.collect_list(F.struct("word_idx", "content"))).alias("words")).join(tokens, ["page_id", "region_idx"], "left")
 
-    def per_region(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("word_idx", kind="stable")
-        own = rows["tokens"].iloc[0]
-        tokens_, used, out = [] if own is None else list(own), set(), []
-        for content in rows["content"]:
-            content = (content or "").strip()
-            at = _best(content, tokens_, used, MATCH) if content else next((i for i in range(len(tokens_)) if i not in used), None)
-            if at is not None:
-                used.add(at)
-            out.append(content if at is None else tokens_[at])
-        return rows.assign(content=out)[["page_id", "word_idx", "region_idx", "content"]]
+    @F.pandas_udf("array<struct<word_idx: int, content: string>>")
+    def adopt(rows: pd.Series, found: pd.Series) -> pd.Series:
+        out = []
+        for own, tokens_ in zip(rows, found):
+            tokens_, used, texts = [] if tokens_ is None else list(tokens_), set(), []
+            for w in own:
+                content = (w["content"] or "").strip()
+                at = _best(content, tokens_, used, MATCH) if content else next((i for i in range(len(tokens_)) if i not in used), None)
+                if at is not None:
+                    used.add(at)
+                texts.append({"word_idx": w["word_idx"], "content": content if at is None else tokens_[at]})
+            out.append(texts)
+        return pd.Series(out)
 
-    return joined.groupBy("page_id", "region_idx").applyInPandas(per_region, "page_id long, word_idx int, region_idx int, content string")
+    return grouped.select("page_id", "region_idx", F.inline(adopt("words", "tokens"))).select("page_id", "word_idx", "region_idx", "content")
 
 
 def words_of_text(pages: DataFrame, polygons: DataFrame, detector_only: bool = False) -> DataFrame:
@@ -100,17 +102,6 @@ def words_of_text(pages: DataFrame, polygons: DataFrame, detector_only: bool = F
     return rows.select("page_id", "idx", "w.content", "w.polygon", "w.confidence")
 
 
-def _greedy(pairs: pd.DataFrame, used: tuple[set, set]) -> list[tuple[int, int]]:
-    """Pairs in order of distance, then of both indices, each index once."""
-    out = []
-    for _, a, b in sorted(zip(pairs["distance"], pairs["a"], pairs["b"])):
-        if a not in used[0] and b not in used[1]:
-            used[0].add(a)
-            used[1].add(b)
-            out.append((a, b))
-    return out
-
-
 def word_diff(ours: DataFrame, theirs: DataFrame, misread: float = MISREAD_DISTANCE) -> DataFrame:
     """page_id, status, ours_idx, theirs_idx: matched, mismatched, only_ours, only_theirs; every word once.
 
@@ -130,18 +121,28 @@ def word_diff(ours: DataFrame, theirs: DataFrame, misread: float = MISREAD_DISTA
     cb = b.filter("box is not null").withColumns({"cx": cell(0), "cy": cell(1)}).withColumn("d", F.explode(around)).withColumns({"cx": F.col("cx") + F.col("d.i"), "cy": F.col("cy") + F.col("d.j")})
     near = ca.alias("x").join(cb.alias("y"), on((F.col("x.cx") == F.col("y.cx")) & (F.col("x.cy") == F.col("y.cy")))).select(*chosen, far.alias("distance"), F.lit(1).alias("kind")).filter(F.col("distance") <= misread)
     none = F.lit(None).cast("double")
-    alone = a.select("page_id", F.col("idx").alias("a"), F.lit(-1).alias("b"), none.alias("distance"), F.lit(2).alias("kind")).union(b.select("page_id", F.lit(-1), "idx", none, F.lit(2)))
-
-    def per_page(rows: pd.DataFrame) -> pd.DataFrame:
-        page, used, out = rows["page_id"].iloc[0], (set(), set()), []
-        for kind, status in ((0, "matched"), (1, "mismatched")):
-            out += [(page, status, x, y) for x, y in _greedy(rows[rows["kind"] == kind], used)]
-        rest = rows[rows["kind"] == 2]
-        out += [(page, "only_ours", x, None) for x in sorted(rest["a"]) if x >= 0 and x not in used[0]]
-        out += [(page, "only_theirs", None, y) for y in sorted(rest["b"]) if y >= 0 and y not in used[1]]
-        return pd.DataFrame(out, columns=["page_id", "status", "ours_idx", "theirs_idx"]).astype({"ours_idx": "Int32", "theirs_idx": "Int32"})
-
-    return same.union(near).union(alone).groupBy("page_id").applyInPandas(per_page, "page_id long, status string, ours_idx int, theirs_idx int")
+    alone = a.select("page_id", F.col("idx").alias("a"), F.lit(-1).alias("b"), none.alias("distance"), F.lit(2).alias("kind")).union(b.select("page_id", F.lit(-1).alias("a"), F.col("idx").alias("b"), none, F.lit(2)))
+
+    @F.pandas_udf("array<struct<status: string, ours_idx: int, theirs_idx: int>>")
+    def pair(pages: pd.Series) -> pd.Series:
+        def one(rows) -> list[dict]:
+            used, out = (set(), set()), []
+            for kind, status in ((0, "matched"), (1, "mismatched")):
+                for _, x, y in sorted((r["distance"], r["a"], r["b"]) for r in rows if r["kind"] == kind):
+                    if x not in used[0] and y not in used[1]:
+                        used[0].add(x)
+                        used[1].add(y)
+                        out.append({"status": status, "ours_idx": x, "theirs_idx": y})
+            alone = sorted((r["a"], r["b"]) for r in rows if r["kind"] == 2)
+            out += [{"status": "only_ours", "ours_idx": x, "theirs_idx": None} for x, y in alone if y < 0 and x not in used[0]]
+            out += [{"status": "only_theirs", "ours_idx": None, "theirs_idx": y} for x, y in alone if x < 0 and y not in used[1]]
+            return out
+
+        return pages.map(one)
+
+    all_ = same.union(near).union(alone.select("page_id", "a", F.coalesce("b", F.lit(-1)), "distance", "kind"))
+    pages = all_.groupBy("page_id").agg(F.collect_list(F.struct("kind", F.coalesce("distance", F.lit(0.0)).alias("distance"), "a", "b")).alias("rows"))
+    return pages.select("page_id", F.inline(pair("rows")))
 
 
 def diff_totals(diff: DataFrame, by: list[str]) -> DataFrame:

@@ -9,25 +9,35 @@ from quillspark.functions import editdist
 from quillspark.functions import text as T
 
 
-def token_scores(ref: Column, hyp: Column) -> dict[str, Column]:
-    """Jaccard, precision, recall and F1 of the sets of word tokens; ``ref`` is the reference side."""
-    r, h = F.array_distinct(T.tokens(T.text(ref))), F.array_distinct(T.tokens(T.text(hyp)))
-    both = F.size(F.array_intersect(r, h)).cast("double")
-    p, q = T.safe_div(both, F.size(h).cast("double")), T.safe_div(both, F.size(r).cast("double"))
-    return {"token_jaccard": T.safe_div(both, F.size(F.array_union(r, h)).cast("double")), "token_precision": p, "token_recall": q, "token_f1": T.safe_div(2 * p * q, p + q)}
+SCORES = ("token_jaccard", "token_precision", "token_recall", "token_f1")
+
+
+def with_token_scores(df: DataFrame, ref: str, hyp: str, names: tuple[str, ...] = SCORES) -> DataFrame:
+    """Adds Jaccard, precision, recall and F1 of the sets of word tokens; ``ref`` is the reference side.
+
+    In steps, so that each text is tokenised once and not once per use.
+    """
+    out = df.withColumns({"_r": F.array_distinct(T.tokens(T.text(ref))), "_h": F.array_distinct(T.tokens(T.text(hyp)))})
+    out = out.withColumns({"_both": F.size(F.array_intersect("_r", "_h")).cast("double"), "_nr": F.size("_r").cast("double"), "_nh": F.size("_h").cast("double")})
+    both, r, h = F.col("_both"), F.col("_nr"), F.col("_nh")
+    p, q = T.safe_div(both, h), T.safe_div(both, r)
+    scores = {"token_jaccard": T.safe_div(both, r + h - both), "token_precision": p, "token_recall": q, "token_f1": T.safe_div(2 * p * q, p + q)}
+    return out.withColumns({n: scores[s] for n, s in zip(names, SCORES)}).drop("_r", "_h", "_both", "_nr", "_nh")
 
 
 def comparison(df: DataFrame, ours: str, theirs: str) -> DataFrame:
     """Adds delta_char, delta_word and the token scores; ``theirs`` is the reference side."""
     out = df.withColumns({"delta_char": editdist.normalised(F.col(ours), F.col(theirs)), "delta_word": editdist.normalised(F.col(ours), F.col(theirs), "tokens")})
-    return out.withColumns(token_scores(F.col(theirs), F.col(ours)))
+    return with_token_scores(out, theirs, ours)
 
 
-def against_reference(df: DataFrame, reference: str, hypothesis: str) -> DataFrame:
-    """Adds cer, wer and the token scores; all null where the reference is blank."""
+def against_reference(df: DataFrame, reference: str, hypothesis: str, rates: bool = True) -> DataFrame:
+    """Adds cer, wer (with ``rates``) and the token scores; all null where the reference is blank."""
     some = T.strip(T.text(reference)) != ""
-    columns = {"cer": editdist.cer(F.col(reference), F.col(hypothesis)), "wer": editdist.wer(F.col(reference), F.col(hypothesis)), **token_scores(F.col(reference), F.col(hypothesis))}
-    return df.withColumns({k: F.when(some, v) for k, v in columns.items()})
+    out = with_token_scores(df.withColumn("_some", some), reference, hypothesis)
+    if rates:
+        out = out.withColumns({"cer": editdist.cer(F.col(reference), F.col(hypothesis)), "wer": editdist.wer(F.col(reference), F.col(hypothesis))})
+    return out.withColumns({k: F.when(F.col("_some"), F.col(k)) for k in (*SCORES, *(("cer", "wer") if rates else ()))}).drop("_some")
 
 
 def average_confidence(words: Column) -> Column:
@@ -47,14 +57,10 @@ def compute(df: DataFrame) -> DataFrame:
     """
     cols = F.col
     out = df.withColumns({s: intrinsic(cols(f"{w}_text"), cols(f"{w}_words"), cols(f"{w}_latency_ms")) for s, w in (("ours", "our"), ("theirs", "their"))})
-    scores = token_scores(cols("their_text"), cols("our_text"))
-    deltas = {"delta_char": editdist.normalised(cols("our_text"), cols("their_text")), "delta_word": editdist.normalised(cols("our_text"), cols("their_text"), "tokens")}
-    out = out.withColumns(deltas).withColumn("comparison", F.struct(*deltas, *(v.alias(k) for k, v in scores.items()))).drop(*deltas)
+    out = comparison(out, "our_text", "their_text").withColumn("comparison", F.struct("delta_char", "delta_word", *SCORES)).drop("delta_char", "delta_word", *SCORES)
     for w in ("our", "their"):
-        out = out.withColumns({"_cer": editdist.cer(cols("reference_text"), cols(f"{w}_text")), "_wer": editdist.wer(cols("reference_text"), cols(f"{w}_text"))})
-        own = token_scores(cols("reference_text"), cols(f"{w}_text"))
-        side = F.struct(cols("_cer").alias("cer"), cols("_wer").alias("wer"), *(v.alias(k) for k, v in own.items() if k != "token_jaccard"))
-        out = out.withColumn(f"{w}_reference", F.when(T.strip(T.text("reference_text")) != "", side)).drop("_cer", "_wer")
+        own = ("cer", "wer", *SCORES[1:])
+        out = against_reference(out, "reference_text", f"{w}_text").withColumn(f"{w}_reference", F.when(cols("cer").isNotNull(), F.struct(*own))).drop(*own, "token_jaccard")
     return out
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -39,10 +39,7 @@ def score(rows: DataFrame, full: bool = False) -> DataFrame:
     """Adds text_chars, text_tokens, status and the token scores, with ``full`` the error rates too; scores are null without a reference."""
     ok = F.col("hypothesis").isNotNull()
     out = rows.withColumns({"status": F.when(ok, "done").otherwise("error"), "text_chars": F.length("hypothesis"), "text_tokens": F.size(T.tokens(T.text("hypothesis")))})
-    if full:
-        return metrics.against_reference(out, "reference", "hypothesis")
-    some: Column = T.strip(T.text("reference")) != ""
-    return out.withColumns({k: F.when(some & ok, v) for k, v in metrics.token_scores(F.col("reference"), F.col("hypothesis")).items()})
+    return metrics.against_reference(out, "reference", "hypothesis", rates=full)
 
 
 def summary(scored: DataFrame) -> DataFrame:

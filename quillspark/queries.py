@@ -62,7 +62,8 @@ def bench_token_aggregate(spark, d):
 def token_jaccard(spark, d):
     """U1, F7."""
     runs = benchmark.corrupted(table(spark, d, "documents"))
-    return runs.select("doc_id", "runner_label", F.round(metrics.token_scores(F.col("reference"), F.col("hypothesis"))["token_jaccard"], 9).alias("token_jaccard"))
+    scored = metrics.with_token_scores(runs, "reference", "hypothesis")
+    return scored.select("doc_id", "runner_label", F.round("token_jaccard", 9).alias("token_jaccard"))
 
 
 @query(r"""SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+'))::INT AS tokens, length(text)::INT AS chars, len(regexp_extract_all(text, '\S+'))::INT AS words FROM documents""")
