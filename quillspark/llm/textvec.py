@@ -13,7 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
+#: What operators keep in a Python worker between tasks, by operator; see ``only``.
+caches: dict[str, dict] = {}
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -38,6 +40,13 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def only(operator: str) -> None:
+    """Drops what other operators have kept in this worker: workers outlive a query."""
+    for name, cache in caches.items():
+        if name != operator:
+            cache.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser; bijective."""
     x = x ^ (x >> _U(31))
@@ -49,6 +58,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Yields (first row, bytes, offsets) for runs of rows of about ``limit`` bytes; nulls are empty."""
+    only("")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:

@@ -24,18 +24,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm import dac
+from quillspark.llm import dac, textvec
 
 SEGMENT_IDS = 1 << 18
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Bounds of a Python worker's cache of encoded words.
-CACHE_WORDS, CACHE_CHARS = 800_000, 48
+#: Bounds of each of the two generations of a Python worker's cache of encoded words.
+CACHE_WORDS, CACHE_CHARS = 250_000, 48
 SEGMENTS = "part int, segment int, first long, n_ids long, doc_ids array<long>, doc_starts array<long>, codes binary"
 _SEGMENTS = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int64())), ("codes", pa.binary())])
 #: A word of Latin-1 letters and what may follow it: these the tokenizer's normalisers and pattern treat simply.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)").fullmatch
-_encoders: dict[str, "WordEncoder"] = {}
+_encoders: dict[str, "WordEncoder"] = textvec.caches.setdefault("tokens", {})
 
 
 class WordEncoder(dict):
@@ -53,11 +53,14 @@ class WordEncoder(dict):
         self.model = self.tokenizer.model
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+        self.old: dict[str, bytes] = {}
         self[""] = b""
 
     def __missing__(self, piece: str) -> bytes:
         plain = _PLAIN(piece)
-        if plain and plain[2]:
+        if (ids := self.old.pop(piece, None)) is not None:
+            pass
+        elif plain and plain[2]:
             ids = self[plain[1]] + self[plain[2]]
         elif plain and (low := piece.lower()) != piece:
             ids = self[low]
@@ -68,6 +71,7 @@ class WordEncoder(dict):
             ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
+                self.old = dict(self)  # what is used again moves back from here
                 self.clear()
                 self[""] = b""
             self[piece] = ids
