@@ -10,9 +10,10 @@ A document's set holds its distinct 5-word shingles, as 64-bit hashes; two docum
    the shingle makes a valid order, so the result doesn't depend on that.
 3. The first n - ceil(0.8 n) + 1 shingles of a node in this order are its prefix; linked nodes share one.
    Nodes with the same prefix and size are one group, and only groups are posted to the index.
-4. Index lists of at most ``ALL_PAIRS`` groups give all pairs that pass the size filter. Longer lists
-   are never paired up: their groups, and the members of a group, are first compared with one hub.
-   Verified links make components; only pairs of members that share a list or group but lie in
+4. Index lists of at most ``ALL_PAIRS`` groups give all pairs that pass the size filter and the position
+   filter (shingles before the first shared one are not shared). Longer lists are never paired up: their
+   groups, and the members of a group, are first compared with one hub, the list's group with the fewest
+   rare shingles, i.e. the most typical copy. Verified links make components; only pairs of members that share a list or group but lie in
    different components are left, and those are compared in a second round. So no link between
    components is lost, and a cluster of n near copies costs about n comparisons.
 5. Pairs are verified on the whole sets.
@@ -98,7 +99,7 @@ def _packed(by: np.ndarray, count: int, columns: list[np.ndarray], offset: int =
     full = np.flatnonzero(np.diff(cuts))
     columns = [c[order] for c in columns]
     arrays = [pa.array([c[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary()) for c in columns]
-    return pa.RecordBatch.from_arrays([pa.array(full + offset, pa.int32()), *arrays], ["bucket", *"abc"[: len(columns)]])
+    return pa.RecordBatch.from_arrays([pa.array(full + offset, pa.int32()), *arrays], ["bucket", *"abcd"[: len(columns)]])
 
 
 def levels(docs: DataFrame, buckets: int, width: int) -> np.ndarray:
@@ -106,7 +107,7 @@ def levels(docs: DataFrame, buckets: int, width: int) -> np.ndarray:
 
     Gathered as bitmaps, at most 2 MB a level; the array of 16 MB has the same size for any corpus.
     """
-    slot_buckets = 1 << max(4, (buckets - 1).bit_length())
+    slot_buckets = 1 << max(8, (buckets - 1).bit_length())
     rest = 40 - (slot_buckets.bit_length() - 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,32 +151,35 @@ def levels(docs: DataFrame, buckets: int, width: int) -> np.ndarray:
 
 
 def index(docs: DataFrame, table: np.ndarray, buckets: int, width: int, percent: int) -> DataFrame:
-    """kind, x, y, n: 0: groups x, y to compare; 1: group y (of size n) on the long list of shingle x; 2: member x of group y, of size n."""
+    """kind, x, y, n, pos, rare: 0: groups x, y to compare; 1: group y (of size n) on the long list of shingle x; 2: member x of group y, of size n.
+
+    pos: the shingle's place in the group's order, up to 65535; rare: how many in a thousand of the group's
+    shingles come first for being rare.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level_of = shared.value
-        held: list[tuple[np.ndarray, np.ndarray, int, int]] = []
+        held: list[tuple[np.ndarray, int, int, int, int]] = []  # prefix, node, group, size, rare
         size = 0
         groups: set[int] = set()
 
         def out() -> Iterator[pa.RecordBatch]:
             nonlocal size
-            nodes = np.array([h[2] for h in held], np.int64)
-            own = np.array([h[3] for h in held], np.int64)
-            n = np.array([len(h[0]) for h in held], "<u4")
-            yield _packed(own.astype(np.uint64) % _U(buckets), buckets, [nodes, own, n], buckets)
+            nodes, own, n, rare = (np.array([h[i] for h in held], kind) for i, kind in ((1, np.int64), (2, np.int64), (3, "<u4"), (4, "<u4")))
+            yield _packed(own.view(np.uint64) % _U(buckets), buckets, [nodes, own, n, rare], buckets)
             fresh = [i for i, g in enumerate(own.tolist()) if g not in groups and not groups.add(g)]
             if len(groups) > _SEEN:
                 groups.clear()
             if fresh:
-                each = [len(held[i][1]) for i in fresh]
-                tokens = np.concatenate([held[i][1] for i in fresh])
+                each = [len(held[i][0]) for i in fresh]
+                tokens = np.concatenate([held[i][0] for i in fresh])
+                pos = np.concatenate([np.minimum(np.arange(k, dtype="<u4"), 65535) for k in each])
                 group, sizes = np.repeat(own[fresh], each), np.repeat(n[fresh], each)
                 level = level_of[(tokens >> _U(64 - SLOT_BITS)).astype(np.int64)].astype(np.int64)
                 spread = np.where(level >= SPREAD_LEVEL, 4 ** np.clip(level - SPREAD_LEVEL + 1, 0, 12), 1).astype(np.uint64)
                 by = textvec.mix(tokens + textvec.mix(group.view(np.uint64)) % spread) % _U(buckets)
-                yield _packed(by.astype(np.int64), buckets, [tokens, group, sizes])
+                yield _packed(by.astype(np.int64), buckets, [tokens, group, sizes, pos << np.uint32(16) | np.repeat(rare[fresh], each)])
             held.clear()
             size = 0
 
@@ -183,8 +187,9 @@ def index(docs: DataFrame, table: np.ndarray, buckets: int, width: int, percent:
             level = level_of[(tokens >> _U(64 - SLOT_BITS)).astype(np.int64)]
             p = prefix_length(len(tokens), percent)
             prefix = tokens[:p] if not level.any() else tokens[np.argsort(level, kind="stable")[:p]]
+            rare = 1000 * min(p, int((level == 0).sum())) // len(tokens)
             group = set_hash(np.concatenate([prefix, np.array([len(tokens)], np.uint64)]))
-            held.append((tokens, prefix, node, group))
+            held.append((prefix, node, group, len(tokens), rare))
             size += len(tokens)
             if size > 1 << 20:
                 yield from out()
@@ -195,14 +200,13 @@ def index(docs: DataFrame, table: np.ndarray, buckets: int, width: int, percent:
         level_of = shared.value
         read = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in packed[c].to_pylist()])
         if key[0].as_py() >= buckets:
-            nodes, groups, n = read("a", "<i8"), read("b", "<i8"), read("c", "<u4")
+            nodes = read("a", "<i8")
             once = np.unique(nodes, return_index=True)[1]
-            return _index_rows(2, nodes[once], groups[once], n[once])
-        tokens, groups, n = read("a", "<u8"), read("b", "<i8"), read("c", "<u4").astype(np.int64)
+            return _index_rows(2, nodes[once], read("b", "<i8")[once], read("c", "<u4")[once], np.zeros(len(once)), read("d", "<u4")[once])
+        tokens, groups, n, meta = read("a", "<u8"), read("b", "<i8"), read("c", "<u4").astype(np.int64), read("d", "<u4").astype(np.int64)
         order = np.lexsort((groups, tokens))
-        tokens, groups, n = tokens[order], groups[order], n[order]
-        once = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (groups[1:] != groups[:-1])])
-        tokens, groups, n = tokens[once], groups[once], n[once]
+        order = order[np.concatenate([[True], (np.diff(tokens[order].view(np.int64)) != 0) | (groups[order][1:] != groups[order][:-1])])]
+        tokens, groups, n, pos, rare = tokens[order], groups[order], n[order], meta[order] >> 16, meta[order] & 65535
         first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         each = np.diff(np.append(first, len(tokens)))
         spread = level_of[(tokens[first] >> _U(64 - SLOT_BITS)).astype(np.int64)] >= SPREAD_LEVEL
@@ -211,17 +215,18 @@ def index(docs: DataFrame, table: np.ndarray, buckets: int, width: int, percent:
         for step in range(1, ALL_PAIRS):
             i = np.flatnonzero(~long[:-step] & (tokens[step:] == tokens[:-step])) if len(tokens) > step else np.zeros(0, np.int64)
             i = i[np.minimum(n[i], n[i + step]) * 100 >= percent * np.maximum(n[i], n[i + step])]
+            i = i[np.minimum(n[i] - pos[i], n[i + step] - pos[i + step]) * (100 + percent) >= percent * (n[i] + n[i + step])]
             found.append(np.stack([groups[i], groups[i + step]], 1))
         both = np.unique(np.concatenate(found), axis=0)
         keep = np.flatnonzero(long)
-        return pa.concat_tables([_index_rows(0, both[:, 0], both[:, 1], np.zeros(len(both))), _index_rows(1, tokens[keep].view(np.int64), groups[keep], n[keep])])
+        return pa.concat_tables([_index_rows(0, both[:, 0], both[:, 1], *[np.zeros(len(both))] * 3), _index_rows(1, tokens[keep].view(np.int64), groups[keep], n[keep], pos[keep], rare[keep])])
 
-    packed = docs.select(F.col("text").cast("string")).mapInArrow(post, "bucket int, a binary, b binary, c binary")
-    return packed.groupBy("bucket").applyInArrow(pairs, "kind int, x long, y long, n long")
+    packed = docs.select(F.col("text").cast("string")).mapInArrow(post, "bucket int, a binary, b binary, c binary, d binary")
+    return packed.groupBy("bucket").applyInArrow(pairs, "kind int, x long, y long, n long, pos long, rare long")
 
 
-def _index_rows(kind: int, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> pa.Table:
-    return pa.table({"kind": pa.array(np.full(len(x), kind), pa.int32()), "x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64()), "n": pa.array(np.asarray(n).astype(np.int64), pa.int64())})
+def _index_rows(kind: int, x: np.ndarray, y: np.ndarray, *more: np.ndarray) -> pa.Table:
+    return pa.table({"kind": pa.array(np.full(len(x), kind), pa.int32()), "x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64()), **{c: pa.array(np.asarray(m).astype(np.int64), pa.int64()) for c, m in zip(("n", "pos", "rare"), more)}})
 
 
 def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -275,17 +280,17 @@ def links(docs: DataFrame, shingles: int, width: int = WIDTH, percent: int = PER
     """(edges, node components): verified links a, b that span each component, and node, component."""
     buckets = max(16, -(-shingles // BUCKET))
     found = materialize(index(docs, levels(docs, buckets, width), buckets, width, percent), "index")
-    member = found.filter("kind = 2").select(F.col("x").alias("node"), F.col("y").alias("grp"), "n").dropDuplicates(["node"])
+    member = found.filter("kind = 2").select(F.col("x").alias("node"), F.col("y").alias("grp"), "n", "rare").dropDuplicates(["node"])
     hubs = member.groupBy("grp").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("members"))
     near = found.filter("kind = 0").select(F.col("x").alias("g"), F.col("y").alias("h")).distinct()
-    posted = found.filter("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("grp"), "n").distinct()
+    posted = found.filter("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("grp"), "pos", "rare").distinct()
     big = hubs.filter("members > 1")
     # First round: hubs of groups, members with their hub, groups of a long list with the list's hub.
     hub_of = lambda c: hubs.select(F.col("grp").alias(c), F.col("hub").alias(f"{c}_hub"), F.col("members").alias(f"{c}_n"))
     group_pairs = materialize(near.join(hub_of("g"), "g").join(hub_of("h"), "h"), "group-pairs")
     in_group = member.join(big, "grp").filter("node <> hub").select(*_ordered("node", "hub"))
-    lists = materialize(posted.join(hubs, "grp").select("token", "grp", "hub", "members", "n"), "lists")
-    list_hub = lists.groupBy("token").agg(F.min("hub").alias("list_hub"))
+    lists = materialize(posted.join(hubs, "grp").select("token", "grp", "hub", "members", "pos", "rare"), "lists")
+    list_hub = lists.groupBy("token").agg(F.min(F.struct("rare", "hub"))["hub"].alias("list_hub"))
     in_list = lists.join(list_hub, "token").filter("hub <> list_hub").select(*_ordered("hub", "list_hub"))
     first = materialize(group_pairs.select(*_ordered("g_hub", "h_hub")).union(in_group).union(in_list).distinct(), "first-round")
     if first.isEmpty():
@@ -303,11 +308,13 @@ def links(docs: DataFrame, shingles: int, width: int = WIDTH, percent: int = PER
     rest = out(inside.select(*(F.col(c).alias(f"{c}_1") for c in inside.columns)).join(inside.select(*(F.col(c).alias(f"{c}_2") for c in inside.columns)), F.col("grp_1") == F.col("grp_2")).filter(fits & (F.col("node_1") < F.col("node_2"))))
     many = group_pairs.filter("g_n > 1 or h_n > 1").select("g", "h")
     rest = rest.union(out(many.join(side("1"), F.col("g") == F.col("grp_1")).join(side("2"), F.col("h") == F.col("grp_2")).filter(fits)))
-    on_list = materialize(lists.select("token", "grp").join(whole, "grp"), "long-lists")
+    on_list = materialize(lists.select("token", "grp", "pos").join(whole, "grp"), "long-lists")
     split_lists = on_list.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
     on_list = on_list.join(split_lists, "token", "left_semi")
-    a, b = on_list.select("token", *(F.col(c).alias(f"{c}_1") for c in whole.columns)), on_list.select("token", *(F.col(c).alias(f"{c}_2") for c in whole.columns))
-    rest = rest.union(out(a.join(b, "token").filter(fits & (F.col("node_1") < F.col("node_2")))))
+    a, b = (on_list.select("token", *(F.col(c).alias(f"{c}_{i}") for c in (*whole.columns, "pos"))) for i in (1, 2))
+    # Whatever comes before the first shared shingle isn't shared: what is left must suffice.
+    reach = F.least(F.col("n_1") - F.col("pos_1"), F.col("n_2") - F.col("pos_2")) * (100 + percent) >= (F.col("n_1") + F.col("n_2")) * percent
+    rest = rest.union(out(a.join(b, "token").filter(fits & reach & (F.col("node_1") < F.col("node_2")))))
     second = materialize(rest.distinct().join(first, ["a", "b"], "left_anti"), "second-round")
     if not second.isEmpty():
         edges = materialize(edges.union(verify(docs, second, width, percent)), "links")
