@@ -4,8 +4,9 @@ Kinds, in this order: ``assign`` (a password, token or key given a value), ``acc
 ``hex`` (long hexadecimal runs), ``token``: a run of key characters whose characters per token under a
 public byte-level vocabulary are at most ``RATIO``; words and names compress to three or more characters
 a token, random strings to about one and a half. Before that test, known digests and identifiers are
-excluded: UUIDs, hexadecimal runs, plain numbers and dates, runs without both letters and digits, and
-parts of URLs. Runs that overlap a pattern's span are not reported again.
+excluded: UUIDs, hexadecimal runs of a digest's length, plain numbers and dates, and hosts and paths of
+URLs. A URL ends at white space, quotes, commas and brackets; its user part and the values of its query
+are tested. Runs that overlap a pattern's span are not reported again.
 
 Defined cases: a null text is empty; rows with equal or null doc_id are separate rows; an empty table
 gives an empty result. Extra columns are not read.
@@ -31,7 +32,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 _RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LENGTH},}}")
-_KNOWN = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|[0-9A-Fa-f]+|[0-9+/_=-]+|[A-Za-z+/_=-]+")
+_KNOWN = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128})|[0-9+/_=-]+")
+_URL = re.compile(r"""://[^\s"'`,<>()\[\]{}]*\Z""")
+_USER = re.compile(r"""[^\s"'`,<>()\[\]{}/?#@]*@""")
 _encodings: dict[str, object] = {}
 
 
@@ -54,8 +57,14 @@ def scan(text: str, path: str) -> list[tuple[int, int, int]]:
         a, b, run = m.start(), m.end(), m[0]
         if _KNOWN.fullmatch(run) or any(s < b and a < e for s, k, e in found if k < 3):
             continue
-        word = text.rfind(" ", 0, a) + 1
-        if "://" in text[max(word, a - 2000) : a]:
+        url = _URL.search(text[max(0, a - 2000) : a]) if "://" in text[max(0, a - 2000) : a] else None
+        if url and "?" in url[0]:
+            value = run.find("=") + 1
+            if b - a - value >= LENGTH:
+                a, run = a + value, run[value:]
+            if _KNOWN.fullmatch(run):
+                continue
+        elif url and (re.search("[/#@]", url[0][3:]) or not _USER.match(text, b)):
             continue
         if len(run) <= RATIO * len(encoding(path).encode_ordinary(run)):
             found.append((a, 3, b))

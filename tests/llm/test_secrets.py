@@ -50,3 +50,19 @@ def test_rows(spark, odd_docs, no_docs):
             assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in own) for i in range(3))
             assert r.base_sha256 == hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in own).encode()).hexdigest()
     assert secrets.spans(no_docs).count() == 0
+
+
+def test_urls_end_and_only_digests_are_known():
+    key, letters = "gX7Kq29vPz4RtW8mNc3LdY6b", "hf_qXvKzJwPfGyTbRmCxNdHsWkLpVzQjF"
+    for text, want in {
+        f"see https://example.org/a\n{key}": [key],
+        f"https://example.org/a,{key}": [key],
+        f'["https://example.org/a","{key}"]': [key],
+        f"https://user:{key}@example.org/a": [key],
+        f"https://example.org/a?key={key}&b=1": [key],
+        f"https://example.org/a/{key}": [],
+        f"use {letters} here": [letters],
+        "use A3F09C77E1B2D4865F0A here": ["A3F09C77E1B2D4865F0A"],
+        "sum A3F09C77E1B2D4865F0AA3F09C77E1B2 here": [],
+    }.items():
+        assert [text[a:b] for a, k, b in secrets.scan(text, PATH) if k == 3] == want, text
