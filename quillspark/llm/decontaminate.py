@@ -44,25 +44,31 @@ def signs(tokens: np.ndarray) -> np.ndarray:
     return bits.astype(np.float32) * 2 - 1
 
 
+def _shingles(rows: list[Row]) -> list[tuple[int, np.ndarray]]:
+    """(width, shingles) of each item."""
+    texts = pa.array([r.text for r in rows], pa.string())
+    own: list[tuple[int, np.ndarray]] = []
+    for _, data, offsets in textvec.slices(texts):
+        words = textvec.Words(data, offsets, textvec.ALNUM)
+        by_width = {w: words.shingles(w) for w in range(1, WIDTH + 1)}
+        for i, n in enumerate(np.minimum(np.diff(words.bounds), WIDTH).tolist()):
+            tokens, bounds = by_width[max(n, 1)]
+            own.append((n, tokens[bounds[i] : bounds[i + 1]]))
+    return own
+
+
 class Index:
     """Of a part of the benchmark: shingles of each item, fingerprints and block tables by item size."""
 
-    def __init__(self, rows: list[Row], similarity: float):
+    def __init__(self, rows: list[Row], similarity: float, whole: tuple | None = None):
         self.similarity, self.ids = similarity, [r.item_id for r in rows]
-        texts = pa.array([r.text for r in rows], pa.string())
-        own: list[tuple[int, np.ndarray]] = []
-        for _, data, offsets in textvec.slices(texts):
-            words = textvec.Words(data, offsets, textvec.ALNUM)
-            by_width = {w: words.shingles(w) for w in range(1, WIDTH + 1)}
-            for i, n in enumerate(np.minimum(np.diff(words.bounds), WIDTH).tolist()):
-                tokens, bounds = by_width[max(n, 1)]
-                own.append((n, tokens[bounds[i] : bounds[i + 1]]))
+        own = _shingles(rows)
         self.items = [t for _, t in own]
         self.widths = np.array([w for w, _ in own])
         held = [np.unique(t) for t in self.items]
-        df_keys, df = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
-        self.df_keys, self.df_weight = df_keys, (1 + np.log(max(1, len(rows)) / np.maximum(df, 1))).astype(np.float32)
-        self.most = np.float32(1 + np.log(max(1, len(rows))))
+        n, df_keys, df = whole or (len(rows), *np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True))
+        self.df_keys, self.df_weight = df_keys, (1 + np.log(max(1, n) / np.maximum(df, 1))).astype(np.float32)
+        self.most = np.float32(1 + np.log(max(1, n)))
         self.by_width = {}
         for w in sorted(set(self.widths.tolist()) - {0}):
             of = np.flatnonzero(self.widths == w)
@@ -87,7 +93,7 @@ class Index:
 
     def weights(self, tokens: np.ndarray) -> np.ndarray:
         if not len(self.df_keys):
-            return np.ones(len(tokens), np.float32)
+            return np.full(len(tokens), self.most)
         at = np.minimum(np.searchsorted(self.df_keys, tokens), len(self.df_keys) - 1)
         return np.where(self.df_keys[at] == tokens, self.df_weight[at], self.most)
 
@@ -164,12 +170,25 @@ def parts(benchmark: DataFrame, limit: int = PART_CHARS) -> Iterator[list[Row]]:
         yield benchmark.filter("text is not null").filter(F.pmod(F.xxhash64("text"), F.lit(n)) == i).select("item_id", "text").collect()
 
 
+def indexes(benchmark: DataFrame, limit: int, similarity: float) -> Iterator[Index]:
+    """One per part, all with the shingle counts of the whole benchmark."""
+    n, keys, df = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for rows in parts(benchmark, limit):
+        n += len(rows)
+        every = np.concatenate([keys, *(np.unique(t) for _, t in _shingles(rows))])
+        keys, at = np.unique(every, return_inverse=True)
+        df = np.bincount(at, np.concatenate([df, np.ones(len(every) - len(df))]), len(keys)).astype(np.int64)
+    many = df > 1  # a shingle of one item weighs as much as one of none
+    for rows in parts(benchmark, limit):
+        yield Index(rows, similarity, (n, keys[many], df[many]))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, part_chars: int = PART_CHARS) -> DataFrame:
     """doc_id, item_id, similarity, start_word: for each document and item, the first of the most similar windows."""
     spark, schema = docs.sparkSession, "doc_id long, item_id long, similarity double, start_word long"
     out = None
-    for rows in parts(benchmark, part_chars):
-        shared = spark.sparkContext.broadcast(Index(rows, similarity))
+    for index in indexes(benchmark, part_chars, similarity):
+        shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -186,8 +205,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, part_chars: int = PART_CHARS) -> DataFrame:
     """The rows of ``docs`` without a match, all columns kept; one pass over the documents per part of the benchmark."""
-    for rows in parts(benchmark, part_chars):
-        shared, at = docs.sparkSession.sparkContext.broadcast(Index(rows, similarity)), docs.columns.index("text")
+    for index in indexes(benchmark, part_chars, similarity):
+        shared, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index("text")
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
             for batch in batches:

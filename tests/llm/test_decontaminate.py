@@ -72,3 +72,15 @@ def test_empty_tables(spark, no_docs, odd_docs):
     assert decontaminate.matches(odd_docs, none).count() == 0
     assert decontaminate.clean(odd_docs, none).count() == odd_docs.count()
     assert decontaminate.matches(no_docs, spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
+
+
+def test_parts_weigh_as_the_whole_benchmark(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    shared = [word() for _ in range(20)]
+    rows = [(i, " ".join(shared + [word() for _ in range(20)])) for i in range(20)]
+    docs = [(i, " ".join(t.split()[:-2] + [word(), word()])) for i, t in rows]
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(rows, "item_id long, text string")
+    whole, dealt = (sorted(map(tuple, decontaminate.matches(docs, bench, part_chars=n).collect())) for n in (1 << 24, 1500))
+    assert len(whole) and [x[:2] for x in dealt] == [x[:2] for x in whole]
+    assert all(abs(x[2] - y[2]) < 1e-6 for x, y in zip(dealt, whole))
