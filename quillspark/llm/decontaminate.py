@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from quillspark.llm import textvec
+from quillspark.llm.common import map_arrow
 
 WIDTH, SIMILARITY = 5, 0.8
 #: A similarity of 0.8 makes 10 differing bits of 64 on average; 19 is more than three deviations above.
@@ -198,7 +199,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
                 columns = zip(*found) if found else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["doc_id", "item_id", "similarity", "start_word"])
 
-        own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+        own = map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
         out = own if out is None else out.union(own)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -214,5 +215,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
                 keep[[i for i, _ in shared.value.documents(batch.column(at))]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_arrow(docs, run, docs.schema)
     return docs

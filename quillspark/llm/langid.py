@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import textvec
+from quillspark.llm.common import map_arrow
 
 DIMENSIONS = 512
 #: More learned languages than this are an error: prototypes are held by every task.
@@ -104,7 +105,7 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
             vector = sum(own[p] @ vectors(p) for p in np.array_split(at, 1 + len(at) // 4096))
             yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS), pa.array(np.arange(DIMENSIONS), pa.int32()), pa.array(np.round(vector * 1e6), pa.int64())], ["lang", "at", "x"])
 
-    table = docs.filter("lang is not null").select(F.col("text").cast("string"), "lang").mapInArrow(run, "lang string, at int, x long")
+    table = map_arrow(docs.filter("lang is not null").select(F.col("text").cast("string"), "lang"), run, "lang string, at int, x long")
     sums = table.groupBy("lang", "at").agg(F.sum("x").alias("x"))
     rows = sums.limit(MOST_LANGUAGES * DIMENSIONS + 1).collect()
     if len(rows) > MOST_LANGUAGES * DIMENSIONS:
@@ -142,7 +143,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str])
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(lang), pa.array(score)], [*keep, "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.col("text").cast("string").alias("_text"), _has_letter("text").alias("_letters")).mapInArrow(run, f"{schema}{', ' if schema else ''}lang_pred string, score double")
+    return map_arrow(docs.select(*keep, F.col("text").cast("string").alias("_text"), _has_letter("text").alias("_letters")), run, f"{schema}{', ' if schema else ''}lang_pred string, score double")
 
 
 def identify(docs: DataFrame, folds: int = 5) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import textvec
-from quillspark.llm.common import components, materialize
+from quillspark.llm.common import apply_arrow, components, map_arrow, materialize
 
 WIDTH, PERCENT = 5, 80
 ALL_PAIRS = 16
@@ -90,7 +90,7 @@ def rows_of(docs: DataFrame, width: int) -> DataFrame:
             own = [(len(t), set_hash(t) if len(t) else None) for t in sets(batch.column(1), width)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n": pa.array([x[0] for x in own], pa.int64()), "node": pa.array([x[1] for x in own], pa.int64())})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, node long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n long, node long")
 
 
 def _packed(by: np.ndarray, count: int, columns: list[np.ndarray], offset: int = 0) -> pa.RecordBatch:
@@ -138,8 +138,8 @@ def levels(docs: DataFrame, buckets: int, width: int) -> np.ndarray:
         both = np.unique(level * (1 << SLOT_BITS) + slot.astype(np.int64))
         return pa.table({"level": pa.array(both >> SLOT_BITS, pa.int32()), "slot": pa.array(both & ((1 << SLOT_BITS) - 1), pa.int64())})
 
-    packed = docs.select(F.col("text").cast("string")).mapInArrow(count, "bucket int, a binary, b binary")
-    slots = packed.groupBy("bucket").applyInArrow(add, "level int, slot long")
+    packed = map_arrow(docs.select(F.col("text").cast("string")), count, "bucket int, a binary, b binary")
+    slots = apply_arrow(packed.groupBy("bucket"), add, "level int, slot long")
     maps = slots.groupBy("level", F.bitmap_bucket_number("slot").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     table = np.zeros(1 << SLOT_BITS, np.uint8)
     for r in sorted(maps.collect(), key=lambda r: r.level):  # at most 16 levels of 513 bitmaps of 4 kB
@@ -221,8 +221,8 @@ def index(docs: DataFrame, table: np.ndarray, buckets: int, width: int, percent:
         keep = np.flatnonzero(long)
         return pa.concat_tables([_index_rows(0, both[:, 0], both[:, 1], *[np.zeros(len(both))] * 3), _index_rows(1, tokens[keep].view(np.int64), groups[keep], n[keep], pos[keep], rare[keep])])
 
-    packed = docs.select(F.col("text").cast("string")).mapInArrow(post, "bucket int, a binary, b binary, c binary, d binary")
-    return packed.groupBy("bucket").applyInArrow(pairs, "kind int, x long, y long, n long, pos long, rare long")
+    packed = map_arrow(docs.select(F.col("text").cast("string")), post, "bucket int, a binary, b binary, c binary, d binary")
+    return apply_arrow(packed.groupBy("bucket"), pairs, "kind int, x long, y long, n long, pos long, rare long")
 
 
 def _index_rows(kind: int, x: np.ndarray, y: np.ndarray, *more: np.ndarray) -> pa.Table:
@@ -266,10 +266,10 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    found = docs.select(F.col("text").cast("string")).mapInArrow(fetch, "node long, tokens binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    found = map_arrow(docs.select(F.col("text").cast("string")), fetch, "node long, tokens binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
     found = materialize(found, "sets")
     both = pairs.join(found.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return map_arrow(both.select("a", "b", "x", "y"), compare, "a long, b long")
 
 
 def _ordered(a: str, b: str) -> list:
@@ -366,7 +366,7 @@ def distinct(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
             own = [set_hash(t) if len(t) else None for t in sets(batch.column(at), width)]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *batch.columns], ["_node", *batch.schema.names])
 
-    rest = docs.join(small(unclear), same, "left_semi").mapInArrow(add, schema)
+    rest = map_arrow(docs.join(small(unclear), same, "left_semi"), add, schema)
     good = decided.filter("stays and node is not null").select(F.col("doc_id").alias("_d"), F.col("node").alias("_n")).distinct()
     picked = rest.join(good, same & (F.col("_node") == F.col("_n")), "left_semi")
     picked = picked.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "_node").orderBy("text"))).filter("_k = 1")

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import map_arrow
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
 RATIO, LENGTH = 2.2, 20
 KINDS = ("assign", "access", "hex", "token")
@@ -83,4 +85,4 @@ def spans(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             base = [hashlib.sha256(show(x for x in r if x[1] < 3).encode()).hexdigest() for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(base, pa.string()), pa.array(map(show, rows), pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_token long, base_sha256 string, spans string")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_assign long, n_access long, n_hex long, n_token long, base_sha256 string, spans string")

@@ -7,6 +7,7 @@ bytes other than space, tab, LF, VT, FF and CR; A-Z are folded to a-z before has
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Codes that tell A-Z from a-z.
+EXACT = _BYTE_CODE.copy()
 _BYTE_CODE[65:91] = _BYTE_CODE[97:123]
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[32, 9, 10, 11, 12, 13]] = False
@@ -47,6 +50,17 @@ def only(operator: str) -> None:
             cache.clear()
 
 
+def trim() -> None:
+    """Gives free memory back to the system: workers stay between tasks, and their memory counts for the executor."""
+    if len(_powers[0]) > 1 << 20:
+        _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser; bijective."""
     x = x ^ (x >> _U(31))
@@ -58,7 +72,6 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Yields (first row, bytes, offsets) for runs of rows of about ``limit`` bytes; nulls are empty."""
-    only("")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:
@@ -80,7 +93,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.
 class Words:
     """Words of a slice: byte spans, 64-bit hashes, and per document the range of its words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = _IS_WORD):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = _IS_WORD, codes: np.ndarray = _BYTE_CODE):
         n = len(data)
         inside = inside[data]
         cut = np.zeros(n + 1, bool)
@@ -95,7 +108,7 @@ class Words:
         self.ends = np.flatnonzero(inside & (~after | cut[1:])) + 1
         power, inverse = _power_tables(n + 1)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE_CODE[data] * power[:n], out=sums[1:])
+        np.cumsum(codes[data] * power[:n], out=sums[1:])
         self.hashes = mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts] + (self.ends - self.starts).astype(np.uint64))
         self.bounds = np.searchsorted(self.starts, offsets)
 
