@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import functools
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,6 +17,8 @@ from quillspark.llm import textvec
 
 #: Bounds of the batches that Python workers receive, unless the session sets its own.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": (str(64 << 20), str(8 << 20))}
+#: See ``tidy``.
+TIDY_SECONDS, _tidied = 4.0, [0.0]
 #: See ``join_hot``.
 HOT_KEYS = 10_000
 _made: list[tuple[SparkSession, str]] = []
@@ -56,8 +59,10 @@ def _clean() -> None:
 
 def tidy(spark: SparkSession) -> None:
     """Lets the driver's collector run, and with it Spark's cleaner: shuffles and broadcasts that nothing refers to go, everywhere."""
-    textvec.trim()
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - _tidied[0] > TIDY_SECONDS:
+        textvec.trim()
+        spark.sparkContext._jvm.System.gc()
+        _tidied[0] = time.monotonic()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -65,6 +70,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
