@@ -16,8 +16,10 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 from pyspark import TaskContext
@@ -25,12 +27,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import dac, textvec
+from quillspark.llm.common import map_arrow
 
 SEGMENT_IDS = 1 << 18
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Bounds of each of the two generations of a Python worker's cache of encoded words.
-CACHE_WORDS, CACHE_CHARS = 250_000, 48
+#: Bounds of a Python worker's caches: pieces in each of the two generations, bytes a piece, stems.
+CACHE_PIECES, CACHE_BYTES, CACHE_STEMS = 500_000, 48, 100_000
+#: Bytes of text whose distinct words are encoded together.
+SLICE_BYTES = 1 << 20
 SEGMENTS = "part int, segment int, first long, n_ids long, doc_ids array<long>, doc_starts array<long>, codes binary"
 _SEGMENTS = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int64())), ("codes", pa.binary())])
 #: A word of Latin-1 letters and what may follow it: these the tokenizer's normalisers and pattern treat simply.
@@ -38,12 +43,39 @@ _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]
 _encoders: dict[str, "WordEncoder"] = textvec.caches.setdefault("tokens", {})
 
 
-class WordEncoder(dict):
-    """Little-endian u32 ids of a text, by way of a bounded cache of its pieces between ASCII spaces.
+class Pieces:
+    """Ids of pieces by their 64-bit hash, in sorted arrays: some 30 bytes a piece."""
+
+    def __init__(self):
+        self.keys, self.begin, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of ``keys`` are held, where)."""
+        at = np.searchsorted(self.keys, keys)
+        ok = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == keys) if len(self.keys) else np.zeros(0, np.int64)
+        return ok, at[ok]
+
+    def add(self, keys: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        begin = len(self.flat) + np.cumsum(size) - size
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.begin, self.size = np.insert(self.begin, at, begin[order]), np.insert(self.size, at, size[order])
+        self.keys, self.flat = np.insert(self.keys, at, keys[order]), np.concatenate([self.flat, flat])
+
+
+def _gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` at ``begin``, one after the other."""
+    return flat[np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)]
+
+
+class WordEncoder:
+    """Ids of texts by way of their distinct pieces between ASCII white space.
 
     The tokenizer's pattern never matches across white space and its normalisers don't look across it,
-    so the ids of a text are those of its pieces, one after the other. A plain word, lower-cased, goes
-    straight to the library's model; other pieces go through the whole tokenizer.
+    so the ids of a text are those of its pieces, one after the other. Each distinct piece of a slice of
+    texts is looked up once, by a 64-bit hash, and its ids are copied to all its places by index. Of
+    pieces met for the first time, a plain word, lower-cased, goes straight to the library's model; others
+    go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -53,34 +85,69 @@ class WordEncoder(dict):
         self.model = self.tokenizer.model
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
-        self.old: dict[str, bytes] = {}
-        self[""] = b""
-
-    def __missing__(self, piece: str) -> bytes:
-        plain = _PLAIN(piece)
-        if (ids := self.old.pop(piece, None)) is not None:
-            pass
-        elif plain and plain[2]:
-            ids = self[plain[1]] + self[plain[2]]
-        elif plain and (low := piece.lower()) != piece:
-            ids = self[low]
-        elif plain:
-            letters = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            ids = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
-        else:
-            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.old = dict(self)  # what is used again moves back from here
-                self.clear()
-                self[""] = b""
-            self[piece] = ids
-        return ids
+        self.new, self.old = Pieces(), Pieces()
+        self.stems: dict[str, list[int]] = {}
+        self.marks: dict[str, list[int]] = {}  # of up to three characters
+
+    def encode(self, piece: bytes) -> list[int]:
+        text = piece.decode()
+        if not (plain := _PLAIN(text)):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        stem = plain[1].lower()
+        if (ids := self.stems.get(stem)) is None:
+            letters = stem if stem.isascii() else "".join(map(self.letters.__getitem__, stem.encode()))
+            if len(self.stems) >= CACHE_STEMS:
+                self.stems.clear()
+            ids = self.stems[stem] = [t.id for t in self.model.tokenize(letters)]
+        if not plain[2]:
+            return ids
+        if (end := self.marks.get(plain[2])) is None:
+            end = self.tokenizer.encode(plain[2], add_special_tokens=False).ids
+            if len(plain[2]) <= 3:
+                self.marks[plain[2]] = end
+        return ids + end
+
+    def distinct(self, keys: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, size, flat): the ids of the pieces ``raw[starts:ends]`` of hashes ``keys``."""
+        size, known = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for cache in (self.new, self.old):
+            rest = np.flatnonzero(~known)
+            ok, at = cache.find(keys[rest])
+            size[rest[ok]], known[rest[ok]] = cache.size[at], True
+            parts.append((rest[ok], _gather(cache.flat, cache.begin[at], cache.size[at])))
+        missed = np.flatnonzero(~known)
+        ids = [self.encode(raw[a:b]) for a, b in zip(starts[missed].tolist(), ends[missed].tolist())]
+        size[missed] = np.fromiter(map(len, ids), np.int64, len(ids))
+        parts.append((missed, np.fromiter(chain.from_iterable(ids), "<u4", int(size[missed].sum()))))
+        flat = np.concatenate([f for _, f in parts])
+        begin = np.zeros(len(keys), np.int64)
+        order = np.concatenate([w for w, _ in parts])
+        begin[order] = np.cumsum(size[order]) - size[order]
+        fresh = np.concatenate([parts[1][0], missed])  # what is used again moves back from the old ones
+        fresh = fresh[(ends - starts)[fresh] <= CACHE_BYTES]
+        self.new.add(keys[fresh], size[fresh], _gather(flat, begin[fresh], size[fresh]))
+        if len(self.new.keys) >= CACHE_PIECES:
+            self.new, self.old = Pieces(), self.new
+        return begin, size, flat
+
+    def texts(self, texts: pa.Array, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids, bounds of each text in them) of slices of ``texts``, an ``end`` after each text."""
+        for first, data, offsets in textvec.slices(texts, SLICE_BYTES):
+            words = textvec.Words(data, offsets, codes=textvec.EXACT)
+            code, keys = pd.factorize(words.hashes)
+            at = np.empty(len(keys), np.int64)
+            at[code[::-1]] = np.arange(len(code) - 1, -1, -1)  # where each first occurs
+            begin, size, flat = self.distinct(keys, data.tobytes(), words.starts[at], words.ends[at])
+            n = size[code]
+            before = np.concatenate([[0], np.cumsum(n)])
+            doc = np.repeat(np.arange(len(offsets) - 1), np.diff(words.bounds))
+            ids = np.full(before[-1] + len(offsets) - 1, end, "<u4")
+            ids[np.arange(before[-1]) + np.repeat(doc, n)] = _gather(flat, begin[code], n)
+            yield first, ids, before[words.bounds] + np.arange(len(offsets))
 
     def __call__(self, text: str) -> bytes:
-        for space in "\n\t\r\x0b\x0c":
-            text = text.replace(space, " ")
-        return b"".join(map(self.__getitem__, text.split(" ")))
+        return next(self.texts(pa.array([text]), 0))[1][:-1].tobytes()
 
 
 def encoder(path: str) -> WordEncoder:
@@ -92,41 +159,40 @@ def encoder(path: str) -> WordEncoder:
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS) -> TokenStore:
     """Encodes ``docs`` (doc_id, text) and writes the segments to ``path``; one shuffle of the texts, by range of doc_id."""
     tokenizer = tokenizer or public_tokenizers.path(TOKENIZER)
-    end = np.array([end_id], "<u4").tobytes()
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(tokenizer), TaskContext.get().partitionId()
         state = {"segment": 0, "first": 0}
-        ids: list[bytes] = []
+        held: list[np.ndarray] = []
         doc_ids: list[int | None] = []
-        size = 0
 
         def close() -> pa.RecordBatch:
-            nonlocal ids, doc_ids, size
-            starts = np.cumsum([0, *(len(x) // 4 for x in ids)])
-            codes = dac.encode(np.frombuffer(b"".join(ids), "<u4"))
-            out = pa.RecordBatch.from_pylist([{"part": part, **state, "n_ids": size, "doc_ids": doc_ids, "doc_starts": starts[:-1].tolist(), "codes": codes}], _SEGMENTS)
+            nonlocal held, doc_ids
+            starts = np.cumsum([0, *map(len, held)])
+            codes = dac.encode(np.concatenate(held))
+            out = pa.RecordBatch.from_pylist([{"part": part, **state, "n_ids": int(starts[-1]), "doc_ids": doc_ids, "doc_starts": starts[:-1].tolist(), "codes": codes}], _SEGMENTS)
             state["segment"] += 1
-            state["first"] += size
-            ids, doc_ids, size = [], [], 0
+            state["first"] += int(starts[-1])
+            held, doc_ids = [], []
             return out
 
+        size = 0
         for batch in batches:
-            for i in range(0, len(batch), 256):
-                piece = batch.slice(i, 256)
-                for doc_id, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
-                    own = encode(text or "") + end
-                    ids.append(own)
-                    doc_ids.append(doc_id)
-                    size += len(own) // 4
+            own = batch.column(0).to_pylist()
+            for first, ids, bounds in encode.texts(batch.column(1), end_id):
+                for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                    held.append(ids[a:b])
+                    doc_ids.append(own[first + i])
+                    size += b - a
                     if size >= segment_ids:
                         yield close()
+                        size = 0
         if doc_ids:
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(segments, SEGMENTS).write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
+    map_arrow(rows, segments, SEGMENTS, "tokens").write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
     return TokenStore(docs.sparkSession, path)
 
 
@@ -157,7 +223,7 @@ class TokenStore:
                     })
 
         rows = self.segments.join(F.broadcast(self.parts()), "part").select("before", "first", "doc_ids", "doc_starts", "codes")
-        return rows.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        return map_arrow(rows, read, "doc_id long, start long, n_tokens long, ids_crc32 long", "tokens")
 
     def token_ids(self) -> DataFrame:
         """doc_id, token_ids: whole documents, decoded."""
@@ -169,7 +235,7 @@ class TokenStore:
                     cuts = pa.array([*row["doc_starts"], len(ids)], pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.ListArray.from_arrays(cuts, pa.array(ids))], ["doc_id", "token_ids"])
 
-        return self.segments.select("doc_ids", "doc_starts", "codes").mapInArrow(read, "doc_id long, token_ids array<int>")
+        return map_arrow(self.segments.select("doc_ids", "doc_starts", "codes"), read, "doc_id long, token_ids array<int>", "tokens")
 
     def token_at(self, position: int) -> int:
         """The token at a position of the whole corpus: one segment is read, none is decoded."""
