@@ -128,18 +128,19 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str])
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table()
         for batch in batches:
-            lang, score = ["und"] * len(batch), np.zeros(len(batch))
+            best, score = np.full(len(batch), -1), np.zeros(len(batch))
             if names:
                 texts, letters = batch.column(n), batch.column(n + 1)
                 for i, grams, count in trigrams(texts):
                     if not letters[i].as_py():
                         continue
-                    vector = count @ table[grams].astype(np.float32)
+                    vector = sum(count[p] @ table[grams[p]].astype(np.float32) for p in np.array_split(np.arange(len(grams)), 1 + len(grams) // 4096))
                     cosine = vector @ profile / max(float(np.sqrt(vector @ vector)), 1e-9)
-                    best = int(cosine.argmax())
-                    lang[i], score[i] = names[best], min(max(float(cosine[best]), 0.0), 1.0)
-                for i in [i for i, ok in enumerate(letters.to_pylist()) if ok and lang[i] == "und"]:
-                    lang[i] = names[0]  # letters only outside the model's alphabet: all cosines are equal
+                    best[i] = int(cosine.argmax())
+                    score[i] = min(max(float(cosine[best[i]]), 0.0), 1.0)
+                # Letters only outside the model's alphabet: all cosines are equal.
+                best[(best < 0) & np.array(letters.to_pylist(), bool)] = 0
+            lang = [names[k] if k >= 0 else "und" for k in best.tolist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(lang), pa.array(score)], [*keep, "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)

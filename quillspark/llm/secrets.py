@@ -35,8 +35,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 _RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LENGTH},}}")
 _KNOWN = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128})|[0-9+/_=-]+")
-_URL = re.compile(r"""://[^\s"'`,<>()\[\]{}]*\Z""")
-_USER = re.compile(r"""[^\s"'`,<>()\[\]{}/?#@]*@""")
+# A URL up to its end; rest: from the end of its host or user part, query: from its question mark.
+_URL = re.compile(r"""://[^\x20\x09-\x0D"'`,<>()\[\]{}/#@?]*(?P<rest>[/#@][^\x20\x09-\x0D"'`,<>()\[\]{}?]*)?(?P<query>\?)?[^\x20\x09-\x0D"'`,<>()\[\]{}]*""")
+_USER = re.compile(r"""[^\x20\x09-\x0D"'`,<>()\[\]{}/?#@]*@""")
 _encodings: dict[str, object] = {}
 
 
@@ -55,19 +56,29 @@ def scan(text: str, path: str) -> list[tuple[int, int, int]]:
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    # Runs, pattern spans and URLs all come in order: one pointer into each of the latter two.
+    taken = iter(sorted((s, e) for s, _, e in found))
+    urls = _URL.finditer(text)
+    span, url = next(taken, None), next(urls, None)
+    reach = 0
     for m in _RUN.finditer(text):
         a, b, run = m.start(), m.end(), m[0]
-        if _KNOWN.fullmatch(run) or any(s < b and a < e for s, k, e in found if k < 3):
+        while span and span[0] < b:
+            reach = max(reach, span[1])
+            span = next(taken, None)
+        while url and url.end() < a:
+            url = next(urls, None)
+        if reach > a or _KNOWN.fullmatch(run):
             continue
-        url = _URL.search(text[max(0, a - 2000) : a]) if "://" in text[max(0, a - 2000) : a] else None
-        if url and "?" in url[0]:
-            value = run.find("=") + 1
-            if b - a - value >= LENGTH:
-                a, run = a + value, run[value:]
-            if _KNOWN.fullmatch(run):
+        if url and url.start() < a:
+            if -1 < url.start("query") < a:
+                value = run.find("=") + 1
+                if b - a - value >= LENGTH:
+                    a, run = a + value, run[value:]
+                if _KNOWN.fullmatch(run):
+                    continue
+            elif -1 < url.start("rest") < a or not _USER.match(text, b):
                 continue
-        elif url and (re.search("[/#@]", url[0][3:]) or not _USER.match(text, b)):
-            continue
         if len(run) <= RATIO * len(encoding(path).encode_ordinary(run)):
             found.append((a, 3, b))
     return sorted(found)

@@ -66,3 +66,14 @@ def test_urls_end_and_only_digests_are_known():
         "sum A3F09C77E1B2D4865F0AA3F09C77E1B2 here": [],
     }.items():
         assert [text[a:b] for a, k, b in secrets.scan(text, PATH) if k == 3] == want, text
+
+
+def test_long_urls_and_many_runs_in_one_text():
+    key = "gX7Kq29vPz4RtW8mNc3LdY6b"
+    long = "https://example.org/" + "path/" * 2000
+    assert [x for x in secrets.scan(long + key, PATH) if x[1] == 3] == []
+    for space in "\n\t\x0b\x0c\r ":
+        assert [(a, b) for a, k, b in secrets.scan(long + space + key, PATH) if k == 3] == [(len(long) + 1, len(long) + 1 + len(key))]
+    text = f"password={key} ".join([""] * 50) + f"{key} " * 50
+    got = secrets.scan(text, PATH)
+    assert [sum(k == i for _, k, _ in got) for i in range(4)] == [49, 0, 0, 50]
