@@ -31,11 +31,18 @@ def project(pages: DataFrame, model_id: str = "prebuilt-read", unit: str = "text
 def compare(ours: DataFrame, theirs: DataFrame, our_words: DataFrame, their_words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(metrics per document, word diff per page).
 
-    ours, theirs: doc_id, text, latency_ms, reference_text (ours); words: page_id, idx, content, polygon, confidence.
+    ours, theirs: doc_id, text, latency_ms, reference_text (ours); words: page_id, idx, content, polygon, confidence
+    and, where a document has several pages, doc_id; without it a page is a document.
     """
-    none = F.array().cast("array<struct<content: string, confidence: double>>")
+    def of(words: DataFrame, name: str) -> DataFrame:
+        by = F.col("doc_id" if "doc_id" in words.columns else "page_id")
+        own = F.array_sort(F.collect_list(F.struct("page_id", "idx", "content", "confidence")))
+        return words.groupBy(by.alias("doc_id")).agg(F.transform(own, lambda w: F.struct(w["content"], w["confidence"])).alias(name))
+
     both = ours.select("doc_id", F.col("text").alias("our_text"), F.col("latency_ms").alias("our_latency_ms"), "reference_text").join(theirs.select("doc_id", F.col("text").alias("their_text"), F.col("latency_ms").alias("their_latency_ms")), "doc_id")
-    return metrics.compute(both.withColumns({"our_words": none, "their_words": none})), matching.word_diff(our_words, their_words)
+    none = F.array().cast("array<struct<content: string, confidence: double>>")
+    both = both.join(of(our_words, "our_words"), "doc_id", "left").join(of(their_words, "their_words"), "doc_id", "left")
+    return metrics.compute(both.withColumns({c: F.coalesce(c, none) for c in ("our_words", "their_words")})), matching.word_diff(our_words, their_words)
 
 
 def benchmark(files: DataFrame, references: DataFrame, runners: DataFrame, run: Callable[[DataFrame], DataFrame], one_at_a_time: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -69,7 +69,7 @@ def merge(pages: Column, schema: dict[str, str]) -> Column:
             note = lambda x: F.concat(F.lit(f"Konflikt bei Feld '{field}' zwischen Seiten; Wert von Seite 1 wird beibehalten (abweichend auf Seite "), (x["i"] + 1).cast("string"), F.lit(")."))  # noqa: B023,E731
             warnings.append(F.transform(F.filter(own, lambda x: x["v"] != first), note))  # noqa: B023
     data = F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*values.values()))
-    return F.struct(data.alias("data"), F.concat(*warnings).alias("warnings"))
+    return F.struct(data.alias("data"), (F.concat(*warnings) if warnings else F.array().cast("array<string>")).alias("warnings"))
 
 
 def empty(schema: dict[str, str]) -> Column:

@@ -25,13 +25,19 @@ EMPTY_OUTPUT_TEXTS = {
     "table_markdown": "No table detected.",
     "summarize_document": "Kein lesbarer Inhalt.",
 }
+# What names of models and answers of providers say about images.
+VISION_NAMES = r"(?i)(vision|[-_/]vl[-_/]|[-_]vl$|^vl[-_/]|llava|glm-ocr|qwen[-_]?\d*[-_]?vl|internvl|minicpm[-_]?v|pixtral|moondream|bakllava|cogvlm|idefics|fuyu|llama[-_]?3\.2[-_]vision|gemma[-_]?3.*vision)"
+NO_VISION_NAMES = r"(?i)(embed|embedding|whisper|rerank|guard|moderation|text[-_]?only|speech|tts|asr|bge-|e5-|nomic-embed)"
 NO_VISION_STATUS = (400, 404, 422)
+NO_VISION_MARKERS = ("multimodal", "image_url", "image url", "vision", "does not support", "not support", "unsupported", "invalid type", "content type")
+# The languages of messages; any other falls back to the first.
+LOCALES = ("en", "de")
 _WORD = r"[\p{L}\p{N}_]+"
 _SPACE = r"[\s\u0085\u001c-\u001f\p{Z}]"
 _LINE = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085  ]"
 _FENCE = r"(?s)^```(?:[\p{L}\p{N}_.+-]+)?\s*(?:\r?\n)?(.*?)\s*```$"
 _DIFF_PUNCTUATION = r"[\s ​\.,;:!?\"'`´‘’“”„‚()\[\]{}<>/\\|_*-]+"
-_GARBAGE = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\x{e000}-\x{f8ff}\x{f0000}-\x{ffffd}\x{100000}-\x{10fffd}]"
+_GARBAGE = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{e000}-\x{f8ff}\x{f0000}-\x{ffffd}\x{100000}-\x{10fffd}]"
 
 
 def text(c: Column | str) -> Column:
@@ -218,10 +224,11 @@ def runner_spec(spec: Column, default_backend: Column) -> Column:
     return F.struct(name.alias("model"), backend.alias("backend"), label.alias("label"))
 
 
-def locale(accepted: Column, known: tuple[str, ...] = ("de", "en"), default: str = "de") -> Column:
-    """The first known language of a list such as ``fr-CH, en;q=0.9``, else the default."""
-    tags = F.transform(F.split(text(accepted), ","), lambda t: F.lower(F.substring(F.regexp_replace(strip(t), "[;_-].*$", ""), 1, 2)))
-    return F.coalesce(F.try_element_at(F.filter(tags, lambda t: t.isin(*known)), F.lit(1)), F.lit(default))
+def locale(setting: Column, cookie: Column | None = None, query: Column | None = None) -> Column:
+    """The language of the query, else of the cookie, else of the setting: the first of these that isn't empty, as a known one."""
+    given = F.coalesce(*(F.nullif(c, F.lit("")) for c in (query, cookie) if c is not None), text(setting))
+    own = F.lower(strip(given))
+    return F.coalesce(*(F.when(own.startswith(x), x) for x in LOCALES[1:]), F.lit(LOCALES[0]))
 
 
 def translate(message: Column, arguments: Column) -> Column:
@@ -240,11 +247,11 @@ def pages_spec(spec: Column) -> Column:
     return F.when(strip(text(spec)) == "", F.lit(None).cast("array<int>")).when(good & (F.size(parts) > 0), found).otherwise(F.raise_error(F.concat(F.lit("invalid pages: "), spec)).cast("array<int>"))
 
 
-def vision_by_name(model: Column, deny: str = r"embed|whisper|tts|rerank", allow: str = r"vision|vl\b|-vl|ocr|llava|gpt-4o|gemma3|pixtral|minicpm-v|moondream") -> Column:
+def vision_by_name(model: Column, deny: str = NO_VISION_NAMES, allow: str = VISION_NAMES) -> Column:
     """True, false or, where neither pattern is found, null; the denying pattern goes first."""
-    low = F.lower(model)
-    return F.when(low.rlike(deny), False).when(low.rlike(allow), True)
+    name = strip(text(model))
+    return F.when(name.rlike(deny), False).when(name.rlike(allow), True)
 
 
-def lacks_vision(status: Column, body: Column, markers: tuple[str, ...] = ("image input", "images are not supported", "does not support image", "not support vision", "vision is not supported", "unsupported content type", "image_url", "multimodal", "no vision")) -> Column:
+def lacks_vision(status: Column, body: Column, markers: tuple[str, ...] = NO_VISION_MARKERS) -> Column:
     return status.isin(*NO_VISION_STATUS) & contains_any(F.lower(text(body)), markers)

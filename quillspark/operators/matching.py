@@ -20,21 +20,30 @@ MISREAD_DISTANCE = 120.0
 MAX_JOIN = 6
 
 
-def words_to_regions(words: DataFrame, regions: DataFrame, share: float = 0.1, least_area: float = 1.0) -> DataFrame:
+def words_to_regions(words: DataFrame, regions: DataFrame, share: float = 0.1, least_area: float = 1.0, cell: float = 100.0) -> DataFrame:
     """page_id, word_idx, region_idx: the smallest region that holds more than ``share`` of a word, the first of equal ones.
 
     words: page_id, word_idx, bbox_2d; regions: page_id, region_idx, bbox_2d. Words without one are left out.
+    An equi-join on page and grid cell of width ``cell``: boxes that share area share a cell.
     """
-    w, r = words.select("page_id", "word_idx", F.col("bbox_2d").alias("w")), regions.select("page_id", "region_idx", F.col("bbox_2d").alias("r"))
+    reach = lambda b, i: F.sequence(F.floor(b[i] / cell), F.floor(b[i + 2] / cell))
+
+    def gridded(df: DataFrame, *columns) -> DataFrame:
+        b = F.col("bbox_2d")
+        rows = df.filter((b[0] <= b[2]) & (b[1] <= b[3])).select(*columns, F.explode(reach(b, 0)).alias("cx"), reach(b, 1).alias("_y"))
+        return rows.select("*", F.explode("_y").alias("cy")).drop("_y")
+
+    w = gridded(words, "page_id", "word_idx", F.col("bbox_2d").alias("w"))
+    r = gridded(regions, "page_id", "region_idx", F.col("bbox_2d").alias("r"))
     shared = G.intersection(F.col("w"), F.col("r"))
     inside = G.area(shared) / F.greatest(F.lit(least_area), G.area(F.col("w"))) > share
     best = F.min(F.struct(G.area(F.col("r")).alias("area"), "region_idx"))
-    return w.join(r, "page_id").filter(shared.isNotNull() & inside).groupBy("page_id", "word_idx").agg(best["region_idx"].alias("region_idx"))
+    return w.join(r, ["page_id", "cx", "cy"]).filter(shared.isNotNull() & inside).groupBy("page_id", "word_idx").agg(best["region_idx"].alias("region_idx"))
 
 
 def label_words(words: DataFrame, regions: DataFrame, unknown: str = "Unbekannt") -> DataFrame:
     """As ``words_to_regions`` on a scale of 0 to 1: every word with label and kind of its region, or unknown and other."""
-    found = words_to_regions(words, regions, least_area=1e-6)
+    found = words_to_regions(words, regions, least_area=1e-6, cell=0.1)
     own = found.join(regions.select("page_id", "region_idx", "label", "kind"), ["page_id", "region_idx"])
     out = words.join(own, ["page_id", "word_idx"], "left")
     return out.withColumns({"label": F.coalesce("label", F.lit(unknown)), "kind": F.coalesce("kind", F.lit("other"))})

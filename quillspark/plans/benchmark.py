@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import metrics
+from quillspark.sources.documents import MAX_RUNNERS
 
 #: Runners that read a document's text as it is, for tests and benchmarks without a model.
 CORRUPTIONS = {
@@ -17,9 +18,12 @@ CORRUPTIONS = {
 }
 
 
-def jobs(files: DataFrame, runners: DataFrame) -> DataFrame:
-    """Every file with every runner; runners are few (five at most in one job), so they go to all tasks."""
-    return files.crossJoin(F.broadcast(runners.limit(5)))
+def jobs(files: DataFrame, runners: DataFrame, most: int = MAX_RUNNERS) -> DataFrame:
+    """Every file with every runner. No runner, or more than ``most``, is an error; so few go to all tasks."""
+    n = runners.limit(most + 1).count()
+    if not 1 <= n <= most:
+        raise ValueError("choose a runner" if not n else f"more than {most} runners in one job")
+    return files.crossJoin(F.broadcast(runners))
 
 
 def corrupted(documents: DataFrame, runners: dict = CORRUPTIONS) -> DataFrame:

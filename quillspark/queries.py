@@ -31,8 +31,16 @@ def query(sql: str | None = None):
     return add
 
 
+#: Tables of texts, by a key to deal them by, and up to how many bytes they are dealt out.
+TEXTS, SMALL = {"documents": "doc_id", "pages": "page_id", "benchmark": "item_id", "conversations": "conv_id"}, 1 << 30
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A small table of texts may be one row group, i.e. one task: it is dealt out over all cores. Large ones come in parts enough."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in TEXTS and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL:
+        return df.repartition(2 * spark.sparkContext.defaultParallelism, TEXTS[name])
+    return df
 
 
 _TOK = r"list_distinct(regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+'))"
@@ -93,7 +101,7 @@ def wer_documents(spark, d):
 def cer_documents(spark, d):
     """F2 over whole texts; see wer_documents."""
     runs = benchmark.corrupted(table(spark, d, "documents"), {"misread": benchmark.CORRUPTIONS["misread"]})
-    return runs.repartition("doc_id").select("doc_id", F.round(E.cer(F.col("reference"), F.col("hypothesis")), 9).alias("cer"))
+    return runs.select("doc_id", F.round(E.cer(F.col("reference"), F.col("hypothesis")), 9).alias("cer"))
 
 
 @query("""
@@ -104,9 +112,13 @@ def norm_edit_distance(spark, d):
     return p.select("p_partkey", F.col("m.distance").alias("distance"), F.round("x", 9).alias("delta_char"))
 
 
-@query()
+@query("""
+WITH c AS (SELECT c_custkey, c_name AS a, c_mktsegment || ' ' || c_name AS b FROM customer),
+m AS (SELECT *, [list_transform(range(len(b)), lambda j: 0::BIGINT)] || list_transform(range(1, len(a) + 1), lambda i: list_transform(range(1, len(b) + 1), lambda j: (a[i] = b[j])::BIGINT)) AS same FROM c),
+l AS (SELECT *, list_last(list_reduce(same, lambda p, y: list_transform(range(1, len(y) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda t: CASE WHEN y[t] = 1 THEN CASE WHEN t = 1 THEN 0 ELSE p[t - 1] END + 1 ELSE p[t] END))))) AS common FROM m)
+SELECT c_custkey, round(200.0::DOUBLE * common / (len(a) + len(b)), 6) AS ratio FROM l""")
 def fuzz_ratio(spark, d):
-    """the longest common subsequence has no usable SQL form; tested against dynamic programming."""
+    """the SQL keeps one row of the table of longest common subsequences, a running maximum."""
     return table(spark, d, "customer").select("c_custkey", F.round(E.fuzz_ratio(F.col("c_name"), F.concat_ws(" ", "c_mktsegment", "c_name")), 6).alias("ratio"))
 
 
@@ -229,7 +241,7 @@ def structured_merge(spark, d):
     return m.select("user_id", F.replace(F.col("m.data")["kind"], F.lit('"'), F.lit("")).alias("kind"), F.size("m.warnings").alias("conflicts"), F.size(F.from_json(F.col("m.data")["tags"], "array<string>")).alias("n_tags"))
 
 
-@query(r"""SELECT doc_id, round(length(regexp_replace(text, '[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}\x{e000}-\x{f8ff}]', '', 'g')) / greatest(length(text), 1)::DOUBLE, 9) AS ratio FROM documents""")
+@query(r"""SELECT doc_id, round(length(regexp_replace(text, '[^\x00-\x08\x0b\x0c\x0e-\x1f\x{e000}-\x{f8ff}\x{f0000}-\x{ffffd}\x{100000}-\x{10fffd}]', '', 'g')) / greatest(length(text), 1)::DOUBLE, 9) AS ratio FROM documents""")
 def garbage_ratio(spark, d):
     """P17."""
     return table(spark, d, "documents").select("doc_id", F.round(T.garbage_ratio(T.text("text")), 9).alias("ratio"))
@@ -239,8 +251,8 @@ def garbage_ratio(spark, d):
 SELECT w AS key, count(*)::BIGINT AS n FROM (SELECT regexp_replace(lower(unnest(regexp_extract_all(text, '\S+'))), '[\s\.,;:!?"''`´‘’“”„‚()\[\]{}<>/\\|_*-]+', '', 'g') AS w FROM documents) GROUP BY 1""")
 def word_normalize_diff(spark, d):
     """F14 over every word."""
-    w = table(spark, d, "documents").select(F.explode(T.words(T.text("text"))).alias("w"))
-    return w.groupBy(T.diff_key(F.col("w")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    w = table(spark, d, "documents").select(F.explode(T.words(T.text("text"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return w.groupBy(T.diff_key(F.col("w")).alias("key")).agg(F.sum("n").alias("n"))
 
 
 _BOX = "[(k * 37 % 900)::DOUBLE, (k * 53 % 900)::DOUBLE, (k * 37 % 900 + 10 + k % 60)::DOUBLE, (k * 53 % 900 + 10 + k % 25)::DOUBLE]"
@@ -259,14 +271,14 @@ def _words(spark, d) -> DataFrame:
 
 
 def _regions(spark, d) -> DataFrame:
-    p = table(spark, d, "part").filter("p_partkey % 4 = 0").select((F.col("p_partkey") % 97).alias("page_id"), F.col("p_partkey").alias("region_idx"))
+    p = table(spark, d, "part").select((F.col("p_partkey") % 97).alias("page_id"), F.col("p_partkey").alias("region_idx"))
     x, y = (F.col("region_idx") * 71 % 800).cast("double"), (F.col("region_idx") * 29 % 800).cast("double")
     return p.select("page_id", "region_idx", F.array(x, y, x + 100 + F.col("region_idx") % 90, y + 60 + F.col("region_idx") % 50).alias("bbox_2d"))
 
 
 @query(f"""
 WITH w AS (SELECT l_orderkey % 97 AS page_id, l_orderkey * 8 + l_linenumber AS k FROM lineitem), wb AS (SELECT page_id, k, {_BOX} AS w FROM w),
-r AS (SELECT p_partkey % 97 AS page_id, p_partkey AS i, [(p_partkey * 71 % 800)::DOUBLE, (p_partkey * 29 % 800)::DOUBLE, (p_partkey * 71 % 800 + 100 + p_partkey % 90)::DOUBLE, (p_partkey * 29 % 800 + 60 + p_partkey % 50)::DOUBLE] AS r FROM part WHERE p_partkey % 4 = 0),
+r AS (SELECT p_partkey % 97 AS page_id, p_partkey AS i, [(p_partkey * 71 % 800)::DOUBLE, (p_partkey * 29 % 800)::DOUBLE, (p_partkey * 71 % 800 + 100 + p_partkey % 90)::DOUBLE, (p_partkey * 29 % 800 + 60 + p_partkey % 50)::DOUBLE] AS r FROM part),
 j AS (SELECT wb.page_id, k, i, w, r, least(w[3], r[3]) - greatest(w[1], r[1]) AS dx, least(w[4], r[4]) - greatest(w[2], r[2]) AS dy FROM wb JOIN r USING (page_id)),
 o AS (SELECT *, row_number() OVER (PARTITION BY page_id, k ORDER BY (r[3] - r[1]) * (r[4] - r[2]), i) AS rn FROM j WHERE dx > 0 AND dy > 0 AND dx * dy / greatest(1.0, (w[3] - w[1]) * (w[4] - w[2])) > 0.1)
 SELECT page_id, k AS word_idx, i AS region_idx FROM o WHERE rn = 1""")
@@ -294,9 +306,19 @@ def _pages_of_boxes(spark, d) -> DataFrame:
     return li.groupBy("page_id").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
 
 
-@query()
+_LINE_BOXES = """
+l AS (SELECT l_orderkey AS page_id, l_linenumber AS i, l_returnflag AS label, l_discount + l_linenumber / 1000.0::DOUBLE AS score, ((l_orderkey * 13 + l_linenumber * 7) % 60)::DOUBLE AS x FROM lineitem),
+b AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i, label, score) AS n FROM l)"""
+_W, _H = "(100 - abs(k.x - y[1].x) + 1)", "(80 - 2 * abs(k.x - y[1].x) + 1)"
+
+
+@query(f"""
+WITH {_LINE_BOXES},
+r AS (SELECT page_id, list([{{'i': i, 'label': label, 'x': x}}] ORDER BY score DESC, n DESC) AS ranked FROM b GROUP BY 1),
+k AS (SELECT page_id, list_reduce(ranked, lambda a, y: CASE WHEN len(list_filter(a, lambda k: {_W} * greatest(0, {_H}) / (2 * 101 * 81 - {_W} * greatest(0, {_H})) >= CASE WHEN k.label = y[1].label THEN 0.6 ELSE 0.98 END)) > 0 THEN a ELSE a || y END) AS kept FROM r)
+SELECT page_id, list_transform(kept, lambda k: k.i) AS kept FROM k""")
 def nms(spark, d):
-    """A greedy fold has no plain SQL form; tested against a loop."""
+    """A greedy fold over the boxes of a page."""
     return _pages_of_boxes(spark, d).select("page_id", F.transform(layout.nms(F.col("boxes")), lambda b: b["i"]).alias("kept"))
 
 
@@ -309,16 +331,22 @@ def containment(spark, d):
     return out.filter("n > 0")
 
 
-@query()
+@query(f"""
+WITH {_LINE_BOXES},
+r AS (SELECT page_id, list({{'band': 0, 'sum': 2 * x + 40, 'n': 1, 'out': [{{'band': 0, 'x': x, 'at': 0, 'i': i}}]}} ORDER BY 2 * x, n) AS boxes FROM b GROUP BY 1),
+o AS (SELECT page_id, list_reduce(boxes, lambda a, y: CASE WHEN abs(y.sum - a.sum / a.n) <= 30
+  THEN {{'band': a.band, 'sum': a.sum + y.sum, 'n': a.n + 1, 'out': a.out || [{{'band': a.band, 'x': y.out[1].x, 'at': len(a.out)::INT, 'i': y.out[1].i}}]}}
+  ELSE {{'band': a.band + 1, 'sum': y.sum, 'n': 1, 'out': a.out || [{{'band': a.band + 1, 'x': y.out[1].x, 'at': len(a.out)::INT, 'i': y.out[1].i}}]}} END).out AS out FROM r)
+SELECT page_id, list_transform(list_sort(out), lambda k: k.i) AS sequence FROM o""")
 def reading_order(spark, d):
-    """A band's running mean has no plain SQL form; tested against a loop."""
+    """Bands by the running mean of their centres."""
     return _pages_of_boxes(spark, d).select("page_id", F.transform(layout.reading_order(F.col("boxes")), lambda b: b["i"]).alias("sequence"))
 
 
 @query()
 def greedy_word_diff(spark, d):
     """Words of pages against the same words moved and partly changed; tested against a loop."""
-    w = _words(spark, d).filter("confidence < 0.02").select((F.col("page_id") * 1000 + F.col("word_idx") % 900).alias("page_id"), F.col("word_idx").alias("idx"), "content", G.polygon_of(F.col("bbox_2d")).alias("polygon"))
+    w = _words(spark, d).select((F.col("page_id") * 1000 + F.col("word_idx") % 900).alias("page_id"), F.col("word_idx").alias("idx"), "content", G.polygon_of(F.col("bbox_2d")).alias("polygon"))
     theirs = w.withColumns({"content": F.when(F.col("idx") % 5 == 0, "x").otherwise(F.col("content")), "polygon": F.transform("polygon", lambda v: v + 3)}).filter("idx % 11 <> 0")
     return matching.diff_totals(matching.word_diff(w, theirs), ["page_id"])
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 from operator import or_
@@ -75,15 +77,22 @@ def expand_zip(archives: DataFrame) -> DataFrame:
     """archive, file_name, content, content_type, reference: the supported files of each archive in order of name.
 
     archives: archive, content. The reference is the text file of the same stem: in the same folder, else at the top.
+    Archives and entries that can't be read, for damage or a password, are left out.
     """
+    broken = (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, ValueError, EOFError, OSError)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for archive, content in zip(batch["archive"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                try:
+                    z = zipfile.ZipFile(io.BytesIO(content or b""))
+                except broken:
+                    continue
+                with z:
                     for name in sorted(n for n in z.namelist() if not n.startswith("__MACOSX") and not n.endswith("/")):
-                        rows.append((archive, name, z.read(name)))
+                        with contextlib.suppress(*broken):
+                            rows.append((archive, name, z.read(name)))
             yield pd.DataFrame(rows, columns=["archive", "path", "content"])
 
     files = archives.select("archive", "content").mapInPandas(run, "archive string, path string, content binary")

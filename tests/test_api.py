@@ -21,7 +21,7 @@ def test_requests(spark):
     assert [len(r.errors) for r in requests.errors(df).collect()] == [0, 4]
     bodies = spark.createDataFrame([("ollama", '{"models":[{"name":"llava"},{"name":"mistral"}]}'), ("openai", '{"data":[{"id":"gpt-4o"},{"id":"tts-1"}]}')], "provider string, body string")
     known = spark.createDataFrame([("ollama", "mistral", True)], "provider string, model string, supports_vision boolean")
-    assert {r.model for r in requests.vision_models(requests.models(bodies), known).collect()} == {"llava", "mistral", "gpt-4o"}
+    assert {r.model for r in requests.vision_models(requests.models(bodies), known).collect()} == {"llava", "mistral"}  # a name that says nothing counts as no
 
 
 def test_operations_round_trip_and_polling(spark, tmp_path):
@@ -54,4 +54,5 @@ def test_flows(spark, tmp_path):
     ours = spark.createDataFrame([(1, "a b", 1, "a b")], "doc_id long, text string, latency_ms int, reference_text string")
     theirs = spark.createDataFrame([(1, "a c", 2)], "doc_id long, text string, latency_ms int")
     scores, diff = api.compare(ours, theirs, spark.createDataFrame([(1, 0, "a", [0.0] * 8, 1.0)], word), spark.createDataFrame([(1, 0, "A.", [0.0] * 8, 1.0)], word))
+    assert scores.first().ours.word_box_count == 1 and scores.first().ours.avg_confidence == 1.0
     assert scores.first().our_reference.cer == 0 and [r.status for r in diff.collect()] == ["matched"]

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import editdist
+from quillspark.functions import editdist, structured
 from quillspark.operators import images, inference, layout, matching, metrics, projection, tables
 from quillspark.plans import benchmark
 from quillspark.sources import documents as sources
@@ -205,6 +205,9 @@ def test_metrics_and_benchmark(spark):
     files = spark.createDataFrame([("a.png",), ("b.png",)], "file_name string")
     assert {(r.file_name, r.reference) for r in benchmark.with_references(files, spark.createDataFrame([("a.txt", "t")], "file_name string, text string")).collect()} == {("a.png", "t"), ("b.png", "")}
     assert benchmark.jobs(files, spark.createDataFrame([("m",)], "runner string")).count() == 2
+    for n in (0, 8):
+        with pytest.raises(ValueError):
+            benchmark.jobs(files, spark.createDataFrame([(f"m{i}",) for i in range(n)], "runner string"))
     line = sinks.csv_lines(spark.createDataFrame([(1, 'a"b', ["x", "y"])], "file_index int, file_name string, warnings array<string>")).first().line
     assert line == '1,"a""b",,,,,,,,,,,x | y,,,'
     assert [r[0] for r in spark.createDataFrame([("gpt-4 (Layout)",), ("!",)], "l string").coalesce(1).select(sinks.label_slug(F.col("l"))).collect()] == ["gpt_4__Layout", "runner"]
@@ -255,3 +258,39 @@ def test_page_angles():
     assert abs(images.page_angle(turned) - 6) <= 1
     assert images.cardinal_rotation(page) == 0 and images.cardinal_rotation(page.T) == 90
     assert images.flatten_alpha(np.array([[[0, 0, 0, 0], [10, 20, 30, 255]]], np.uint8)).tolist() == [[[255, 255, 255], [10, 20, 30]]]
+
+
+def test_broken_archives_and_entries_are_left_out(spark):
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("a.png", b"\x89PNG\r\n\x1a\n one")
+        z.writestr("b.png", b"\x89PNG\r\n\x1a\n two two two")
+    whole = data.getvalue()
+    at = whole.index(b"two two")
+    hurt = whole[:at] + b"TWO" + whole[at + 3 :]  # its checksum fails
+    rows = [("good", bytearray(whole)), ("hurt", bytearray(hurt)), ("none", bytearray(b"PK\x03\x04 no archive")), ("null", None)]
+    got = sources.expand_zip(spark.createDataFrame(rows, "archive string, content binary")).collect()
+    assert sorted((r.archive, r.file_name) for r in got) == [("good", "a.png"), ("good", "b.png"), ("hurt", "a.png")]
+
+
+def test_arrays_only_schemas_have_an_array_of_warnings(spark):
+    pages = spark.range(1).select(structured.merge(F.array(F.create_map(F.lit("tags"), F.lit('["a"]'))), {"tags": "array<string>"}).alias("m"))
+    assert pages.first().m.warnings == []
+
+
+def test_words_meet_regions_across_grid_cells(spark):
+    rng = random.Random(5)
+    box = lambda w, h: [x := rng.uniform(-50, 400), y := rng.uniform(-50, 400), x + rng.uniform(1, w), y + rng.uniform(1, h)]  # noqa: E731,F841
+    words, regions = [(i % 2, i, box(150, 60)) for i in range(200)], [(i % 2, i, box(300, 300)) for i in range(30)]
+    got = matching.words_to_regions(spark.createDataFrame(words, "page_id int, word_idx int, bbox_2d array<double>"), spark.createDataFrame(regions, "page_id int, region_idx int, bbox_2d array<double>")).collect()
+    want = set()
+    for p, i, w in words:
+        area = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+        found = []
+        for q, k, r in regions:
+            s = [max(w[0], r[0]), max(w[1], r[1]), min(w[2], r[2]), min(w[3], r[3])]
+            if p == q and s[0] < s[2] and s[1] < s[3] and area(s) / max(1.0, area(w)) > 0.1:
+                found.append((area(r), k))
+        if found:
+            want.add((p, i, min(found)[1]))
+    assert {tuple(r) for r in got} == want

@@ -101,7 +101,13 @@ def test_names_and_specs(spark):
     for bad in ("0", "5-3", "x", "1,,-"):
         with pytest.raises(Exception):
             values(spark, [(bad,)], "t string", T.pages_spec(c))
-    assert [r[0] for r in values(spark, [("fr-CH, en;q=0.9",), ("DE_de",), (None,)], "t string", T.locale(c))] == ["en", "de", "de"]
+    assert [r[0] for r in values(spark, [("fr-CH, en;q=0.9",), (" DE_de",), ("fr",), (None,)], "t string", T.locale(c))] == ["en", "de", "en", "en"]
+    assert [r[0] for r in values(spark, [("de",), ("",), (None,)], "t string", T.locale(F.lit("en"), F.lit("de-AT"), F.when(c == "de", "en").otherwise(c)))] == ["en", "de", "de"]
+    names = {"bge-m3": False, "guard-3": False, "asr-large": False, "text-only-vision": False, "gpt-4o": None, "cogvlm": True, "fuyu-8b": True, "a/vl-7b": True, "x-vl": True, "vlx": None, " ": None}
+    assert [r[0] for r in values(spark, [(n,) for n in names], "t string", T.vision_by_name(c))] == list(names.values())
+    bodies = ("invalid type", "Content Type", "vision", "unsupported", "does not support", "image url", "other")
+    assert [r[0] for r in values(spark, [(n,) for n in bodies], "t string", T.lacks_vision(F.lit(400), c))] == [True] * 6 + [False]
+    assert [r[0] for r in values(spark, [("ab\x7f\x85",), ("a\x01\ue000b",)], "t string", T.garbage_ratio(c))] == [0.0, 0.5]
     assert [r[0] for r in values(spark, [("qwen2.5-vl",), ("nomic-embed-vision",), ("mistral",)], "t string", T.vision_by_name(c))] == [True, False, None]
     m = F.create_map(F.lit("n"), F.lit("3"))
     assert values(spark, [("page {n}",)], "t string", T.translate(c, m), T.page_prefix(c, F.lit(2), F.lit(3)), T.page_prefix(c, F.lit(1), F.lit(1))) == [("page 3", "Seite 2: page {n}", "page {n}")]
