@@ -19,9 +19,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, text_of
+from quillspark.llm.common import HOT_KEYS, materialize, text_of
 
 FAN_IN_BITS = 3
+#: Groups of no more copies than this are joined by shuffle in any case.
+HOT_COPIES = 1000
 _SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 _KEYS = ["text_sha256", "check", "size"]
 
@@ -51,7 +53,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = materialize(digests(docs), "digests")
     copies = merged(rows).filter("copies > 1").select(*_KEYS, F.col("best.row").alias("keep_row"), F.col("best.doc_id").alias("keep_id"), "copies")
-    out = rows.join(copies, _KEYS, "left")
+    copies = materialize(copies, "copies")
+    # Rows of very large groups meet their one entry by broadcast: of groups above a share of the rows there are few.
+    hot = copies.filter(F.col("copies") > max(HOT_COPIES, rows.count() // HOT_KEYS))
+    rest = rows.join(F.broadcast(hot.select(*_KEYS)), _KEYS, "left_anti").join(copies, _KEYS, "left")
+    out = rows.join(F.broadcast(hot), _KEYS).unionByName(rest)
     alone = F.col("copies").isNull()
     return out.select(
         "doc_id",

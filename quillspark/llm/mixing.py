@@ -4,11 +4,12 @@
    times its own, the excess going to the others by weight. With sources in the order of cap / weight
    this has a closed form: one water level over running sums, instead of repeated resharing.
 2. Schedule: slot i of N takes the golden-ratio point frac(i * phi), as an exact 62-bit integer, and
-   falls to the source in whose stretch of the cumulative targets it lies. A source that no point
-   reaches gets one slot at the end. Slots are ranked per source through counts of fixed-size chunks.
+   falls to the source in whose stretch of the cumulative targets it lies. Slots are ranked per source
+   through counts of fixed-size chunks.
 3. Blocks: a source's documents, shuffled by hash, follow one another (and again from the start, up to
-   three times) as a stream of words, cut into as many equal blocks as the source has slots. Block k
-   joins slot k.
+   three times) as a stream of words up to its target, cut into blocks of one size for all sources; only a
+   source's last one may be shorter. Block k joins the source's slot k. Slots beyond a source's last block
+   stay empty; blocks for which the N points gave no slot, one or two a source, follow at the end.
 
 Running sums go by fixed-width digits of the key, so no task ever holds more than one digit's rows of
 a source, however hot it is.
@@ -121,35 +122,35 @@ def mix(docs: DataFrame, words_per_block: int = WORDS_PER_BLOCK) -> tuple[DataFr
     shares = materialize(targets(rows), "shares")
     placed = running(rows.filter("size > 0"), ["source"], F.col("key"), 32, "size", ["doc_id", "row"])
     total = shares.agg(F.sum("take")).first()[0] or 0
-    slots = materialize(schedule(shares, -(-total // words_per_block)), "slots")
-    counts = shares.join(slots.groupBy(F.col("source").alias("_s")).agg(F.count(F.lit(1)).alias("n")), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    # Sources that no point reached: one slot each, after the last.
-    counts = materialize(counts.withColumn("missed", F.col("n").isNull() & (F.col("take") > 0)).withColumn("n", F.coalesce("n", F.lit(1))), "counts")
-    extra = counts.filter("missed").select((F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1 + F.lit(-(-total // words_per_block))).cast("long").alias("slot"), "source", F.lit(0).cast("long").alias("block"))
-    slots = slots.unionByName(extra)
+    points = -(-total // words_per_block)
+    blocks = shares.withColumn("n", F.expr(f"(take + {words_per_block - 1}) div {words_per_block}"))
+    blocks = F.broadcast(blocks) if _few(shares) else blocks
+    won = schedule(shares, points).withColumnRenamed("source", "_s").join(blocks.select("source", "n"), F.col("source").eqNullSafe(F.col("_s"))).filter("block < n").select("slot", "source", "block")
+    won = materialize(won, "slots")
+    have = won.groupBy(F.col("source").alias("_s")).agg(F.count(F.lit(1)).alias("have"))
+    counts = materialize(blocks.join(have, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumn("have", F.coalesce("have", F.lit(0).cast("long"))), "counts")
+    rest = counts.filter("have < n").select("source", F.explode(F.expr("sequence(have, n - 1)")).alias("block"))
+    rest = rest.withColumn("slot", F.row_number().over(Window.orderBy("block", F.col("source").asc_nulls_last())) - 1 + F.lit(points)).select(F.col("slot").cast("long").alias("slot"), "source", "block")
+    slots = won.unionByName(rest)
     info = counts.select(F.col("source").alias("_s"), "source_size", "target", "take", "n")
     documents = rows.join(placed.select("row", "before"), "row", "left").join(F.broadcast(info) if _few(shares) else info, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     # A document covers [pass * source_size + before, + size) of its source's stream, up to ``take``.
     passes = documents.filter("size > 0 and take > 0").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(CAP - 1))))
     passes = passes.withColumn("a", F.col("turn") * F.col("source_size") + F.col("before")).withColumn("b", F.least(F.col("a") + F.col("size"), F.col("take"))).filter("a < b")
-    # n blocks share ``take`` words: the first take % n of them have one word more.
-    passes = passes.withColumns({"short": F.expr("take div n"), "longer": F.expr("take % n")}).withColumn("edge", (F.col("short") + 1) * F.col("longer"))
-    at = lambda x: f"if({x} < edge, {x} div (short + 1), longer + ({x} - edge) div greatest(short, 1))"
-    cut = passes.withColumn("block", F.explode(F.expr(f"sequence({at('a')}, {at('(b - 1)')})")))
-    begin = lambda k: f"if({k} < longer, {k} * (short + 1), edge + ({k} - longer) * short)"
-    cut = cut.withColumn("from", F.expr(f"greatest(a, {begin('block')})")).withColumn("to", F.expr(f"least(b, {begin('(block + 1)')})"))
+    cut = passes.withColumn("block", F.explode(F.expr(f"sequence(a div {words_per_block}, (b - 1) div {words_per_block})")))
+    cut = cut.withColumn("from", F.expr(f"greatest(a, block * {words_per_block})")).withColumn("to", F.expr(f"least(b, (block + 1) * {words_per_block})"))
     taken = cut.select("source", "block", "row", "doc_id", (F.col("from") - F.col("a")).alias("first_word"), (F.col("to") - F.col("a")).alias("last_word"))
     slices = slots.join(taken.withColumnRenamed("source", "_s").withColumnRenamed("block", "_b"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b"))).drop("_s", "_b")
     return slices, documents, counts
 
 
 def taken_words(docs: DataFrame, words_per_block: int = WORDS_PER_BLOCK) -> DataFrame:
-    """One row per document: row, doc_id, mark, source, size, source_size, target, taken."""
+    """One row per document: row, doc_id, mark, source, size, source_size, target, taken, slots (its source's), first_slot (null: not taken)."""
     slices, documents, _ = mix(docs, words_per_block)
-    documents = documents.select("row", "doc_id", "mark", "source", "size", "source_size", "target")
+    documents = documents.select("row", "doc_id", "mark", "source", "size", "source_size", "target", F.col("n").alias("slots"))
     none = F.lit(0).cast("long")
-    parts = slices.select("row", (F.col("last_word") - F.col("first_word")).alias("taken"))
-    taken = parts.groupBy("row").agg(F.sum("taken").alias("taken"))
+    parts = slices.select("row", "slot", (F.col("last_word") - F.col("first_word")).alias("taken"))
+    taken = parts.groupBy("row").agg(F.sum("taken").alias("taken"), F.min("slot").alias("first_slot"))
     return documents.join(taken, "row", "left").withColumn("taken", F.coalesce("taken", none))
 
 

@@ -23,7 +23,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken_words(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken_words(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "slots", "first_slot")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,13 +87,34 @@ water AS (SELECT arg_min(level, CAST(3 * source_size AS DOUBLE) / weight) AS lev
 targets AS (
   SELECT source, source_size, CASE WHEN 3 * source_size <= l.level * weight THEN CAST(3 * source_size AS DOUBLE) ELSE w.level * weight END AS target
   FROM leveled l, water w),
+shares AS (
+  SELECT *, least(CAST(round(target) AS BIGINT), 3 * source_size) AS take, CAST((least(CAST(round(target) AS BIGINT), 3 * source_size) + 4095) // 4096 AS BIGINT) AS slots
+  FROM targets),
+stretches AS (
+  SELECT *, CAST(floor(CAST(sum(take) OVER (ORDER BY source NULLS LAST) AS DOUBLE) / CAST(sum(take) OVER () AS DOUBLE) * 4611686018427387904.0::DOUBLE) AS BIGINT) AS high,
+         CAST((sum(take) OVER () + 4095) // 4096 AS BIGINT) AS points
+  FROM shares),
+points AS (
+  SELECT slot, CAST(slot::HUGEINT * 2850178573120402645 % 4611686018427387904 AS BIGINT) AS u
+  FROM (SELECT unnest(range(coalesce((SELECT max(points) FROM stretches), 0))) AS slot)),
+bounds AS (SELECT *, coalesce(lag(high) OVER (ORDER BY source NULLS LAST), 0) AS low FROM stretches),
+won AS (
+  SELECT b.source, b.slots, slot, row_number() OVER (PARTITION BY b.source ORDER BY slot) - 1 AS block
+  FROM points p JOIN bounds b ON p.u >= b.low AND p.u < b.high),
+missed AS (
+  SELECT b.source, unnest(range(coalesce(h.have, 0), b.slots)) AS block, b.points
+  FROM bounds b LEFT JOIN (SELECT source, count(*) AS have FROM won GROUP BY source) h ON b.source IS NOT DISTINCT FROM h.source),
+schedule AS (
+  SELECT source, block, slot FROM won WHERE block < slots
+  UNION ALL SELECT source, block, points + row_number() OVER (ORDER BY block, source NULLS LAST) - 1 FROM missed),
 placed AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, least(CAST(round(t.target) AS BIGINT), 3 * t.source_size) AS take,
+  SELECT s.doc_id, s.source, s.size, t.source_size, t.target, t.take, t.slots,
          coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST(CASE WHEN source_size = 0 THEN 0 ELSE size * (take // source_size) + greatest(0, least(size, take % source_size - before)) END AS BIGINT) AS taken
-FROM placed
+  FROM sizes s JOIN shares t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT p.doc_id, size, source_size, target,
+       CAST(CASE WHEN source_size = 0 THEN 0 ELSE size * (take // source_size) + greatest(0, least(size, take % source_size - before)) END AS BIGINT) AS taken,
+       p.slots, CASE WHEN size > 0 AND before < take THEN s.slot END AS first_slot
+FROM placed p LEFT JOIN schedule s ON p.source IS NOT DISTINCT FROM s.source AND p.before // 4096 = s.block
 """,
     "op7_warc": r"""
 WITH p AS (

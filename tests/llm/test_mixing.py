@@ -49,11 +49,41 @@ def test_slices_cover_what_is_taken_in_slot_order(spark, odd_docs):
     for r in per_slot:
         by[r.source].append(r.n)
     for s, n in by.items():
-        assert max(n) - min(n) <= 1, (s, n)  # equal blocks
+        assert sorted(n)[1:] == [50] * (len(n) - 1) and 0 < min(n) <= 50, (s, n)  # one block size; only the last may be shorter
     slots = [r.slot for r in per_slot]
     assert len(slots) == len(set(slots))
 
 
+def test_first_slots_walk_the_points(spark, odd_docs):
+    """The whole schedule once more in plain Python: which slot each document is first taken in."""
+    block, rows = 64, mixing.taken_words(odd_docs, 64).collect()
+    source = {}
+    for r in rows:
+        source.setdefault(r.source, (min(round(r.target), 3 * r.source_size), r.slots))
+    names = sorted(source, key=lambda s: (s is None, s))
+    total, at, edges = sum(t for t, _ in source.values()), 0, []
+    for s in names:
+        at += source[s][0]
+        edges.append((s, int(at / total * float(1 << 62))))
+    order, points = defaultdict(list), -(-total // block)
+    for i in range(points):
+        u = i * mixing.STEP % (1 << 62)
+        own = next((s for s, high in edges if u < high), None)
+        if any(u < high for _, high in edges) and len(order[own]) < source[own][1]:
+            order[own].append(i)
+    late = sorted(((k, names.index(s), s) for s in names for k in range(len(order[s]), source[s][1])))
+    for j, (_, _, s) in enumerate(late):
+        order[s].append(points + j)
+    assert all(len(order[s]) == -(-source[s][0] // block) for s in names)
+    before = {r.row: r.before for r in mixing.mix(odd_docs, block)[1].collect()}
+    by_id = defaultdict(list)
+    for r in rows:
+        by_id[r.doc_id].append(r)
+        assert (r.first_slot is None) == (r.taken == 0)
+        if r.first_slot is not None:
+            assert r.first_slot == min(order[r.source][b] for b in range(before[r.row] // block, min(before[r.row] + r.size - 1, source[r.source][0] - 1) // block + 1))
+
+
 def test_points_follow_the_golden_ratio(spark):
     shares = spark.createDataFrame([("a", 0, 1 << 61), ("b", 1 << 61, 1 << 62)], "source string, low long, high long")
     got = {r.slot: (r.source, r.block) for r in mixing.schedule(shares, 5000).collect()}
