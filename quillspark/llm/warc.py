@@ -2,7 +2,7 @@
 
 Archives hold one gzip member per record, whose extra field ``sl`` gives the member's compressed and
 uncompressed length, so a reader passes over records without inflating them. The reader plans
-partitions of whole files of about ``PARTITION_BYTES`` together, takes predicates on headers (equality,
+partitions of whole files, for all cores or of about ``PARTITION_BYTES`` together, takes predicates on headers (equality,
 membership and null tests on record_type, page_id, uri, record_id, payload_digest), inflates a record as
 far as its headers first, and inflates payloads only where the record passes and payloads are asked for
 (option ``payload``, default true). Archives without the field, or uncompressed, are read too, by
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
 
 REVISIT_BYTES = 100
-FILE_BYTES, PARTITION_BYTES = 64 << 20, 128 << 20
+FILE_BYTES, PARTITION_BYTES, LEAST_BYTES = 64 << 20, 128 << 20, 1 << 20
 BROADCAST_ROWS = 500_000
 SCHEMA = "page_id long, record_type string, uri string, record_id string, payload_digest string, payload_length long, refers_to long, payload binary"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -155,6 +155,7 @@ _VALUES = {
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.payloads = options["path"], options.get("payload", "true").lower() == "true"
+        self.tasks = int(options.get("tasks", "1"))
         self.tests: list[tuple[str, tuple | None]] = []
 
     def pushFilters(self, filters):
@@ -178,9 +179,9 @@ class WarcReader(DataSourceReader):
         except FileNotFoundError:
             infos = [i for i in system.get_file_info(fs.FileSelector(root, recursive=True)) if i.path.endswith((".warc", ".warc.gz"))]
         out: list[Files] = []
-        room = 0
+        room, most = 0, min(PARTITION_BYTES, max(LEAST_BYTES, sum(i.size for i in infos) // self.tasks))
         for info in sorted(infos, key=lambda i: i.path):
-            if not out or room + info.size > PARTITION_BYTES:
+            if not out or room + info.size > most:
                 out.append(Files([]))
                 room = 0
             out[-1].paths.append(info.path)
@@ -288,7 +289,7 @@ def write(pages: DataFrame, path: str) -> None:
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("tasks", 4 * spark.sparkContext.defaultParallelism).load(path)
 
 
 def sums(archive: DataFrame) -> DataFrame:
