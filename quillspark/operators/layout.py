@@ -128,3 +128,17 @@ def reading_order(boxes: Column, tolerance: float = BAND) -> Column:
 
 def by_model_order(boxes: Column) -> Column:
     return F.transform(F.array_sort(F.transform(boxes, lambda b, i: F.struct(b["order_seq"].alias("k"), i.alias("i"), b.alias("b")))), lambda x: x["b"])
+
+
+def region_count(pages: DataFrame, by: str = "doc_id") -> DataFrame:
+    """by, regions, pages, warning: the regions of all pages of a document (``pages``: by, regions), and the note that says so."""
+    out = pages.groupBy(by).agg(F.sum(F.coalesce(F.size("regions"), F.lit(0))).cast("long").alias("regions"), F.count(F.lit(1)).alias("pages"))
+    note = F.format_string("Document layout: %d regions detected on %d page(s).", "regions", "pages")  # fixed value
+    return out.withColumn("warning", note)
+
+
+def original_polygon(box: Column, boxes: Column, polygons: Column, near: float = 1.0, relative: float = 1e-5) -> Column:
+    """The polygon at the place of the first of ``boxes`` within ``near`` (and a relative 1e-5) of ``box`` in all four values; the box's own where there is none."""
+    close = lambda b: F.forall(F.sequence(F.lit(0), F.lit(3)), lambda i: F.abs(F.get(b, i) - F.get(box, i)) <= near + relative * F.abs(F.get(box, i)))
+    at = F.array_position(F.transform(boxes, close), F.lit(True))
+    return F.coalesce(F.when(at > 0, F.get(polygons, (at - 1).cast("int"))), G.polygon_of(box))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import io
+import urllib.request
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -106,6 +107,39 @@ def expand_zip(archives: DataFrame) -> DataFrame:
     return out.select("archive", "file_name", "content", "content_type", F.coalesce("near", "far", F.lit("")).alias("reference"))
 
 
+def fetch(requests: DataFrame, timeout: float = 120.0, schemes: tuple[str, ...] = ("http", "https")) -> DataFrame:
+    """The columns of ``requests`` (with url) and content, declared, error: what each URL holds, at most ``MAX_BYTES``.
+
+    Off unless called; of other schemes, files among them, nothing is read. A URL that fails has an error.
+    """
+
+    def get(url: str | None) -> tuple[bytes | None, str | None, str | None]:
+        own = (url or "").strip()
+        if own.partition("://")[0].lower() not in schemes:
+            return None, None, "no URL"
+        try:
+            with urllib.request.urlopen(own, timeout=timeout) as r:
+                content = r.read(MAX_BYTES + 1)
+                return (None, None, "too large") if len(content) > MAX_BYTES else (content, r.headers.get("Content-Type"), None if content else "empty")
+        except (OSError, ValueError) as e:
+            return None, None, f"{type(e).__name__}: {e}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(**dict(zip(("content", "declared", "error"), map(list, zip(*map(get, batch["url"]))) if len(batch) else ([], [], []))))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema)
+    return requests.mapInPandas(run, f"{schema}, content binary, declared string, error string")
+
+
+def example_files(slots: list[tuple[str, str]], most: int = 3) -> list[tuple[str, str]]:
+    """(label, path) of the slots in use: those with a path, ``most`` at most; a label defaults to the file's name."""
+    used = [(label.strip() or PurePosixPath(path).name, path.strip()) for label, path in slots if path and path.strip()]
+    if len(used) > most:
+        raise ValueError(f"more than {most} examples")
+    return used
+
+
 def stem_of(name: str) -> str:
     return str(PurePosixPath(name).with_suffix(""))
 
