@@ -26,19 +26,20 @@ def words_to_regions(words: DataFrame, regions: DataFrame, share: float = 0.1, l
     words: page_id, word_idx, bbox_2d; regions: page_id, region_idx, bbox_2d. Words without one are left out.
     An equi-join on page and grid cell of width ``cell``: boxes that share area share a cell.
     """
-    reach = lambda b, i: F.sequence(F.floor(b[i] / cell), F.floor(b[i + 2] / cell))
-
-    def gridded(df: DataFrame, *columns) -> DataFrame:
-        b = F.col("bbox_2d")
-        rows = df.filter((b[0] <= b[2]) & (b[1] <= b[3])).select(*columns, F.explode(reach(b, 0)).alias("cx"), reach(b, 1).alias("_y"))
-        return rows.select("*", F.explode("_y").alias("cy")).drop("_y")
-
-    w = gridded(words, "page_id", "word_idx", F.col("bbox_2d").alias("w"))
-    r = gridded(regions, "page_id", "region_idx", F.col("bbox_2d").alias("r"))
-    shared = G.intersection(F.col("w"), F.col("r"))
-    inside = G.area(shared) / F.greatest(F.lit(least_area), G.area(F.col("w"))) > share
-    best = F.min(F.struct(G.area(F.col("r")).alias("area"), "region_idx"))
-    return w.join(r, ["page_id", "cx", "cy"]).filter(shared.isNotNull() & inside).groupBy("page_id", "word_idx").agg(best["region_idx"].alias("region_idx"))
+    reach = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
+
+    def gridded(df: DataFrame, index: str, side: str) -> DataFrame:
+        """Sides of boxes as columns of their own, one row per cell."""
+        x1, y1, x2, y2 = (f"{side}{c}" for c in ("x1", "y1", "x2", "y2"))
+        rows = df.select("page_id", index, *(F.col("bbox_2d")[i].alias(c) for i, c in enumerate((x1, y1, x2, y2)))).filter(f"{x1} <= {x2} and {y1} <= {y2}")
+        return rows.withColumn("cx", F.explode(reach(x1, x2))).withColumn("cy", F.explode(reach(y1, y2)))
+
+    area = lambda s: (F.col(f"{s}x2") - F.col(f"{s}x1")) * (F.col(f"{s}y2") - F.col(f"{s}y1"))
+    w, h = F.least("wx2", "rx2") - F.greatest("wx1", "rx1"), F.least("wy2", "ry2") - F.greatest("wy1", "ry1")
+    pairs = gridded(words, "word_idx", "w").join(gridded(regions, "region_idx", "r"), ["page_id", "cx", "cy"])
+    inside = pairs.filter((w > 0) & (h > 0) & (w * h / F.greatest(F.lit(least_area), area("w")) > share))
+    best = F.min(F.struct(area("r").alias("area"), "region_idx"))
+    return inside.groupBy("page_id", "word_idx").agg(best["region_idx"].alias("region_idx"))
 
 
 def label_words(words: DataFrame, regions: DataFrame, unknown: str = "Unbekannt") -> DataFrame:

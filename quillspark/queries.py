@@ -31,15 +31,15 @@ def query(sql: str | None = None):
     return add
 
 
-#: Tables of texts, by a key to deal them by, and up to how many bytes they are dealt out.
-TEXTS, SMALL = {"documents": "doc_id", "pages": "page_id", "benchmark": "item_id", "conversations": "conv_id"}, 1 << 30
+#: Tables with much work a row, by a key to deal them by, and up to how many bytes they are dealt out.
+DEALT, SMALL = {"documents": "doc_id", "pages": "page_id", "benchmark": "item_id", "conversations": "conv_id", "lineitem": "l_orderkey"}, 1 << 30
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A small table of texts may be one row group, i.e. one task: it is dealt out over all cores. Large ones come in parts enough."""
+    """A small table may be one row group, i.e. one task: it is dealt out over all cores. Large ones come in parts enough."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in TEXTS and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL:
-        return df.repartition(2 * spark.sparkContext.defaultParallelism, TEXTS[name])
+    if name in DEALT and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL:
+        return df.repartition(2 * spark.sparkContext.defaultParallelism, DEALT[name])
     return df
 
 
