@@ -122,7 +122,11 @@ def fuzz_ratio(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.round(E.fuzz_ratio(F.col("c_name"), F.concat_ws(" ", "c_mktsegment", "c_name")), 6).alias("ratio"))
 
 
-@query()
+@query(r"""
+WITH c AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '\S+') AS a, regexp_extract_all(coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn, text), ''), '\S+') AS b FROM conversations),
+m AS (SELECT *, [list_transform(range(len(b)), lambda j: 0::BIGINT)] || list_transform(a, lambda x: list_transform(b, lambda y: (x = y)::BIGINT)) AS same FROM c),
+l AS (SELECT *, coalesce(list_last(list_reduce(same, lambda p, y: list_transform(range(1, len(y) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda t: CASE WHEN y[t] = 1 THEN CASE WHEN t = 1 THEN 0 ELSE p[t - 1] END + 1 ELSE p[t] END))))), 0) AS common FROM m)
+SELECT conv_id, turn, common::INT AS n_eq, (len(b) - common)::INT AS n_ins, (len(a) - common)::INT AS n_del FROM l""")
 def word_diff_ops(spark, d):
     """eq, ins and del steps between the texts of successive turns."""
     c = table(spark, d, "conversations")
@@ -199,9 +203,23 @@ def output_predicates(spark, d):
     return table(spark, d, "documents").select("doc_id", T.no_visible_text(T.text("text")).alias("no_text"), T.image_description(T.text("text")).alias("description"))
 
 
-@query()
+def _any(column: str, phrases) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{p}')" for p in phrases) + ")"
+
+
+@query(rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS o, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS p FROM conversations),
+n AS (SELECT *, trim(regexp_replace(regexp_replace(lower(trim(coalesce(p, ''))), '[^0-9a-zA-ZäöüÄÖÜß]+', ' ', 'g'), ' +', ' ', 'g')) AS pp, trim(regexp_replace(regexp_replace(lower(trim(o)), '[^0-9a-zA-ZäöüÄÖÜß]+', ' ', 'g'), ' +', ' ', 'g')) AS oo FROM c),
+t AS (SELECT *, greatest(12, floor(length(pp) * 0.35)) AS enough, list_filter(string_split(oo, ' '), lambda x: length(x) >= 3) AS mine, list_distinct(list_filter(string_split(pp, ' '), lambda x: length(x) >= 3)) AS theirs,
+  list_filter(list_transform(regexp_split_to_array(o, '\r\n|[\n\r]'), lambda x: trim(x)), lambda x: x <> '') AS ls FROM n),
+f AS (SELECT *, len(ls) AS nl, len(list_filter(ls, lambda x: len(regexp_extract_all(x, '\S+')) <= 5)) AS short, len(list_filter(ls, lambda x: regexp_matches(x, '\p{{Nd}}'))) AS numeric, len(list_filter(ls, lambda x: regexp_matches(x, '[:#=/|]'))) AS fields,
+  len(list_filter(ls, lambda x: length(x) >= 6 AND len(regexp_extract_all(x, '\p{{Lu}}')) > 0.6 * greatest(1, len(regexp_extract_all(x, '\p{{L}}'))))) AS caps FROM t)
+SELECT conv_id, turn, pp <> '' AND oo <> '' AND (oo = pp OR (length(oo) >= 12 AND starts_with(pp, oo)) OR (length(pp) >= 12 AND starts_with(oo, pp)) OR (length(oo) >= enough AND contains(pp, oo)) OR (length(pp) >= enough AND contains(oo, pp))
+    OR ({" + ".join(f"contains(oo, '{m}')::INT" for m in T.INSTRUCTION_MARKERS)} >= 2 AND len(string_split(oo, ' ')) <= 34) OR {_any("oo", T.INSTRUCTION_FRAGMENTS)}
+    OR (len(mine) > 0 AND len(theirs) > 0 AND len(mine) <= 24 AND len(list_filter(mine, lambda x: list_contains(theirs, x))) / len(mine) >= 0.72)) AS echo,
+  nl >= 2 AND ((short >= greatest(3, floor(nl * 0.6)) AND (numeric >= 2 OR fields >= 2)) OR (nl = 2 AND numeric >= 1 AND fields >= 1 AND short = 2) OR (numeric >= 3 AND fields >= 1) OR (caps >= 2 AND numeric >= 1)) AS transcript FROM f""")
 def prompt_echo(spark, d):
-    """First turns as prompts, later ones as outputs; tests hold hand-made cases."""
+    """First turns as prompts, all turns as outputs; tests hold hand-made cases."""
     c = table(spark, d, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn", "text")
     return c.select("conv_id", "turn", T.prompt_echo(F.first("text").over(w), T.text("text")).alias("echo"), T.ocr_transcript(T.text("text")).alias("transcript"))
