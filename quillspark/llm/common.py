@@ -17,6 +17,8 @@ from quillspark.llm import textvec
 
 #: Bounds of the batches that Python workers receive, unless the session sets its own.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": (str(64 << 20), str(8 << 20))}
+#: Options of written intermediates: they are read by path at once, so nothing looks for a marker of success.
+INTERMEDIATE = {"compression": "zstd", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 #: See ``tidy``.
 TIDY_SECONDS, _tidied = 4.0, [0.0]
 #: See ``join_hot``.
@@ -69,7 +71,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**INTERMEDIATE).parquet(path)
     tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
