@@ -1,6 +1,7 @@
 import io
 import random
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
@@ -256,10 +257,62 @@ def test_page_angles():
     t = np.deg2rad(6)
     turned = np.where((np.round(-np.sin(t) * x + np.cos(t) * y).astype(int) % 20) < 2, 0, 255).astype(np.uint8)
     assert abs(images.page_angle(turned) - 6) <= 1
-    assert images.cardinal_rotation(page) == 0 and images.cardinal_rotation(page.T) == 90
+    assert images.cardinal_rotation(page)[0] == 0 and images.cardinal_rotation(page.T)[0] == 90
     assert images.flatten_alpha(np.array([[[0, 0, 0, 0], [10, 20, 30, 255]]], np.uint8)).tolist() == [[[255, 255, 255], [10, 20, 30]]]
 
 
+def _lines(side=240):
+    """Lines of text-like marks in the upper part: full at the top of a line, thin below."""
+    page = np.full((side, side), 255, np.uint8)
+    for y in range(20, 140, 20):
+        page[y : y + 6, 30:210], page[y + 6 : y + 9, 30:210:6] = 0, 0
+    return page
+
+
+def test_pages_are_straightened():
+    page = _lines()
+    assert images.deskew(page)[1] == 0
+    assert images.cardinal_rotation(page)[0] == 0 and images.cardinal_rotation(page)[1] > 0.99 and images.cardinal_rotation(page[::-1, ::-1])[0] == 180
+    for lean in (-90, -30, -6, 4, 25, 90, 180):
+        level, angle = images.deskew(images.turn(page, -lean))
+        assert abs((angle - lean + 180) % 360 - 180) <= 1, lean
+        rows = images.dark(level).sum(1)
+        assert rows.max() > 150  # a whole line lies in one row
+    blank = np.full((50, 40), 255, np.uint8)
+    assert images.deskew(blank)[1] == 0 and images.page_angle(blank) == 0 and images.top_heavy(images.dark(blank)) == 0
+    assert images.turn(page, 90).tolist() == np.rot90(page).tolist()
+
+
+def test_sizes_orientation_and_storyboards():
+    flat = np.full((30, 20), 77, np.uint8)
+    assert images.resize(flat, 50, 7).tolist() == np.full((7, 50), 77).tolist()
+    ramp = np.tile(np.arange(0, 250, 5, np.uint8), (10, 1))
+    up = images.resize(ramp, 100, 10).astype(int)
+    assert (np.diff(up[0, 8:-8]) >= 0).all() and abs(up[0, 50] - 126) <= 2
+    got, angle, warnings = images.prepared(np.full((90, 60), 255, np.uint8), smallest=180)
+    assert got.shape == (180, 120) and angle == 0 and warnings == ["Binärbild (L) von 60x90 auf 120x180 hochskaliert (LANCZOS) für robustere OCR"]
+    got, _, warnings = images.prepared(np.full((90, 61), 255, np.uint8), "RGB", smallest=180, largest=45)
+    assert got.shape == (45, 30) and warnings == ["Eingabe wurde von 61x90 auf 30x45 skaliert"]
+    a = np.array([[1, 2, 3], [4, 5, 6]], np.uint8)
+    assert [images.oriented(a, o)[0].tolist() for o in range(1, 10)] == [[1, 2, 3], [3, 2, 1], [6, 5, 4], [4, 5, 6], [1, 4], [4, 1], [6, 3], [3, 6], [1, 2, 3]]
+    board = images.storyboard([np.full((2, 2), i, np.uint8) for i in range(7)])
+    assert board.tolist() == [[0, 0, 2, 2]] * 2 + [[4, 4, 6, 6]] * 2
+    assert images.storyboard([a, a[:, :1]]).tolist() == [[1, 2, 3, 255, 1, 255], [4, 5, 6, 255, 4, 255]]
+    assert images.storyboard([a]).tolist() == a.tolist()
+
+
+def test_prepare(spark):
+    page = np.rot90(_lines(), 3)
+    rows = [(1, "RGB", 6, 240, 240, bytearray(page.tobytes())), (2, "RGB", None, 240, 240, bytearray(_lines().tobytes()))]
+    got = {r.image_id: r for r in images.prepare(spark.createDataFrame(rows, "image_id long, mode string, orientation int, width int, height int, pixels binary"), True).collect()}
+    assert got[2].angle == 0 and got[2].warnings == [] and (got[2].width, got[2].height) == (240, 240)
+    data = bytes(got[2].content)
+    at = data.index(b"IDAT")
+    raw = np.frombuffer(zlib.decompress(data[at + 4 : at + 4 + int.from_bytes(data[at - 4 : at], "big")]), np.uint8).reshape(240, 241)
+    assert raw[:, 1:].tolist() == _lines().tolist() and data.startswith(b"\x89PNG")
+    assert got[1].angle == 180 and got[1].warnings == ["Deskew: 180.0° CCW Korrektur angewendet"]
+
+
 def test_broken_archives_and_entries_are_left_out(spark):
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
