@@ -2,13 +2,16 @@
 
 Texts stay in Arrow's UTF-8 buffers: words, word hashes and word shingles come out as numpy arrays
 for a slice of documents at once, so no Python string is made per word. A word is a maximal run of
-bytes other than space, tab, LF, VT, FF and CR; A-Z are folded to a-z before hashing.
+bytes other than space, tab, LF, VT, FF and CR; A-Z are folded to a-z before hashing. Equal words of a
+slice are found by their bytes; each distinct one is hashed by BLAKE2b, whose collisions nobody can write.
 """
 
 from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from functools import cached_property
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +24,10 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-#: Codes that tell A-Z from a-z.
-EXACT = _BYTE_CODE.copy()
-_BYTE_CODE[65:91] = _BYTE_CODE[97:123]
+#: A-Z as a-z, and every byte as it is.
+_FOLD = np.arange(256, dtype=np.uint8)
+EXACT = _FOLD.copy()
+_FOLD[65:91] += 32
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[32, 9, 10, 11, 12, 13]] = False
 #: Word bytes where punctuation separates too.
@@ -70,6 +73,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
+def word_hashes(words: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join([blake2b(w, digest_size=8).digest() for w in words.to_pylist()]), "<u8")
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Yields (first row, bytes, offsets) for runs of rows of about ``limit`` bytes; nulls are empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -91,9 +98,9 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.
 
 
 class Words:
-    """Words of a slice: byte spans, 64-bit hashes, and per document the range of its words."""
+    """Words of a slice: byte spans, per document the range of its words, distinct words and 64-bit hashes."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = _IS_WORD, codes: np.ndarray = _BYTE_CODE):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = _IS_WORD, fold: np.ndarray = _FOLD):
         n = len(data)
         inside = inside[data]
         cut = np.zeros(n + 1, bool)
@@ -106,11 +113,22 @@ class Words:
         after[-1:] = False
         after[:-1] = inside[1:]
         self.ends = np.flatnonzero(inside & (~after | cut[1:])) + 1
-        power, inverse = _power_tables(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(codes[data] * power[:n], out=sums[1:])
-        self.hashes = mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts] + (self.ends - self.starts).astype(np.uint64))
         self.bounds = np.searchsorted(self.starts, offsets)
+        self._own = data, inside, fold
+
+    @cached_property
+    def distinct(self) -> tuple[np.ndarray, pa.Array]:
+        """(code of each word, the distinct words in order of their first places), told apart by their bytes."""
+        data, inside, fold = self._own
+        offsets = np.concatenate([[0], np.cumsum(self.ends - self.starts)]).astype(np.int64)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(offsets), pa.py_buffer(fold[data[inside]])])
+        words = words.dictionary_encode()
+        return words.indices.to_numpy().astype(np.int64), words.dictionary
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        code, words = self.distinct
+        return word_hashes(words)[code]
 
     def shingles(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each run of ``width`` words of one document, and per document the range of them.

@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 from pyspark import TaskContext
@@ -44,23 +43,32 @@ _encoders: dict[str, "WordEncoder"] = textvec.caches.setdefault("tokens", {})
 
 
 class Pieces:
-    """Ids of pieces by their 64-bit hash, in sorted arrays: some 30 bytes a piece."""
+    """Ids of pieces in arrays sorted by a 64-bit hash, with the pieces' bytes: some 50 bytes a piece."""
 
     def __init__(self):
         self.keys, self.begin, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which of ``keys`` are held, where)."""
-        at = np.searchsorted(self.keys, keys)
-        ok = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == keys) if len(self.keys) else np.zeros(0, np.int64)
+        self.at, self.length, self.raw = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+
+    def find(self, keys: np.ndarray, begin: np.ndarray, length: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the pieces, of hashes ``keys`` and at ``begin`` in ``raw``, are held, where): hash and bytes agree."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        ok = np.flatnonzero((self.keys[at] == keys) & (self.length[at] == length))
+        same = _gather(raw, begin[ok], length[ok]) == _gather(self.raw, self.at[at[ok]], length[ok])
+        ok = ok[np.logical_and.reduceat(same, np.cumsum(length[ok]) - length[ok])] if len(ok) else ok
         return ok, at[ok]
 
-    def add(self, keys: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
-        begin = len(self.flat) + np.cumsum(size) - size
-        order = np.argsort(keys)
+    def add(self, keys: np.ndarray, size: np.ndarray, flat: np.ndarray, length: np.ndarray, raw: np.ndarray) -> None:
+        """Pieces whose hash is held already are left out."""
+        begin, place = len(self.flat) + np.cumsum(size) - size, len(self.raw) + np.cumsum(length) - length
+        self.flat, self.raw = np.concatenate([self.flat, flat]), np.concatenate([self.raw, raw])
+        order = np.unique(keys, return_index=True)[1]
+        order = order[~np.isin(keys[order], self.keys)]
         at = np.searchsorted(self.keys, keys[order])
         self.begin, self.size = np.insert(self.begin, at, begin[order]), np.insert(self.size, at, size[order])
-        self.keys, self.flat = np.insert(self.keys, at, keys[order]), np.concatenate([self.flat, flat])
+        self.at, self.length = np.insert(self.at, at, place[order]), np.insert(self.length, at, length[order])
+        self.keys = np.insert(self.keys, at, keys[order])
 
 
 def _gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -73,8 +81,8 @@ class WordEncoder:
 
     The tokenizer's pattern never matches across white space and its normalisers don't look across it,
     so the ids of a text are those of its pieces, one after the other. Each distinct piece of a slice of
-    texts is looked up once, by a 64-bit hash, and its ids are copied to all its places by index. Of
-    pieces met for the first time, a plain word, lower-cased, goes straight to the library's model; others
+    texts is looked up once, by a 64-bit hash and its bytes, and its ids are copied to all its places by
+    index. Of pieces met for the first time, a plain word, lower-cased, goes straight to the library's model; others
     go through the whole tokenizer.
     """
 
@@ -107,17 +115,19 @@ class WordEncoder:
                 self.marks[plain[2]] = end
         return ids + end
 
-    def distinct(self, keys: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(begin, size, flat): the ids of the pieces ``raw[starts:ends]`` of hashes ``keys``."""
+    def distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, size, flat): the ids of distinct ``pieces`` (large binary)."""
+        keys, offsets = textvec.word_hashes(pieces), np.frombuffer(pieces.buffers()[1], np.int64, len(pieces) + 1, 8 * pieces.offset)
+        starts, length, raw = offsets[:-1], np.diff(offsets), np.frombuffer(pieces.buffers()[2] or b"", np.uint8)
         size, known = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         for cache in (self.new, self.old):
             rest = np.flatnonzero(~known)
-            ok, at = cache.find(keys[rest])
+            ok, at = cache.find(keys[rest], starts[rest], length[rest], raw)
             size[rest[ok]], known[rest[ok]] = cache.size[at], True
             parts.append((rest[ok], _gather(cache.flat, cache.begin[at], cache.size[at])))
         missed = np.flatnonzero(~known)
-        ids = [self.encode(raw[a:b]) for a, b in zip(starts[missed].tolist(), ends[missed].tolist())]
+        ids = [self.encode(p) for p in pieces.take(pa.array(missed)).to_pylist()]
         size[missed] = np.fromiter(map(len, ids), np.int64, len(ids))
         parts.append((missed, np.fromiter(chain.from_iterable(ids), "<u4", int(size[missed].sum()))))
         flat = np.concatenate([f for _, f in parts])
@@ -125,8 +135,8 @@ class WordEncoder:
         order = np.concatenate([w for w, _ in parts])
         begin[order] = np.cumsum(size[order]) - size[order]
         fresh = np.concatenate([parts[1][0], missed])  # what is used again moves back from the old ones
-        fresh = fresh[(ends - starts)[fresh] <= CACHE_BYTES]
-        self.new.add(keys[fresh], size[fresh], _gather(flat, begin[fresh], size[fresh]))
+        fresh = fresh[length[fresh] <= CACHE_BYTES]
+        self.new.add(keys[fresh], size[fresh], _gather(flat, begin[fresh], size[fresh]), length[fresh], _gather(raw, starts[fresh], length[fresh]))
         if len(self.new.keys) >= CACHE_PIECES:
             self.new, self.old = Pieces(), self.new
         return begin, size, flat
@@ -134,11 +144,9 @@ class WordEncoder:
     def texts(self, texts: pa.Array, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids, bounds of each text in them) of slices of ``texts``, an ``end`` after each text."""
         for first, data, offsets in textvec.slices(texts, SLICE_BYTES):
-            words = textvec.Words(data, offsets, codes=textvec.EXACT)
-            code, keys = pd.factorize(words.hashes)
-            at = np.empty(len(keys), np.int64)
-            at[code[::-1]] = np.arange(len(code) - 1, -1, -1)  # where each first occurs
-            begin, size, flat = self.distinct(keys, data.tobytes(), words.starts[at], words.ends[at])
+            words = textvec.Words(data, offsets, fold=textvec.EXACT)
+            code, pieces = words.distinct
+            begin, size, flat = self.distinct(pieces)
             n = size[code]
             before = np.concatenate([[0], np.cumsum(n)])
             doc = np.repeat(np.arange(len(offsets) - 1), np.diff(words.bounds))

@@ -50,3 +50,18 @@ def test_store_against_brute_force(spark, odd_docs, tmp_path):
 
 def test_empty_table(spark, no_docs, tmp_path):
     assert tokens.write(no_docs, f"file://{tmp_path}/s").documents().count() == 0
+
+
+def test_pieces_that_collide_under_polynomial_hashes(spark, tmp_path):
+    pieces = ["".join("ab"[(bin(i).count("1") + k) % 2] for i in range(1024)) for k in (0, 1)]
+    whole = Tokenizer.from_file(public_tokenizers.path(tokens.TOKENIZER))
+    got = tokens.write(spark.createDataFrame(list(enumerate(pieces)), "doc_id long, text string"), f"file://{tmp_path}/s").token_ids().collect()
+    assert {r.doc_id: list(r.token_ids) for r in got} == {i: [*whole.encode(p, add_special_tokens=False).ids, 1] for i, p in enumerate(pieces)}
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(tokens.textvec, "word_hashes", lambda words: np.arange(len(words), dtype=np.uint64) % 3)
+    path = public_tokenizers.path(tokens.TOKENIZER)
+    encode, whole = tokens.WordEncoder(path), Tokenizer.from_file(path)
+    for text in ("one two three four five", "two five one six", "six six three one seven two"):
+        assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
