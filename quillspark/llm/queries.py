@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontaminate, exact, langid, mixing, ngram_join, passages, quality, secrets, tokens, warc
+from quillspark.llm import decontaminate, exact, langid, minhash, mixing, ngram_join, passages, quality, secrets, tokens, warc
 from quillspark.llm.common import new_path
 
 
@@ -56,6 +56,10 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.find(_table(spark, sf_dir, "documents"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
     "op2_language_id": op2_language_id,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_passages": op10_passages,
+    "op13_minhash": op13_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -7,7 +7,7 @@ from quillspark.llm import ngram_join
 DOCS = "doc_id long, text string"
 
 
-def brute(rows):
+def brute(rows, percent=80):
     def shingles(t):
         w = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
         return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
@@ -25,7 +25,7 @@ def brute(rows):
 
     for i, x in enumerate(s):
         for j in {j for g in x for j in by[g] if j > i}:
-            if 100 * len(x & s[j]) >= 80 * len(x | s[j]):
+            if 100 * len(x & s[j]) >= percent * len(x | s[j]):
                 at[root(i)] = root(j)
     least = {}
     for i, r in enumerate(rows):
