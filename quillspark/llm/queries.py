@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontaminate, exact, langid, minhash, mixing, ngram_join, passages, quality, secrets, tokens, warc
+from quillspark.llm import align, decontaminate, exact, langid, minhash, mixing, ngram_join, passages, quality, resample, secrets, tokens, warc
 from quillspark.llm.common import new_path
 
 
@@ -56,6 +56,14 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.find(_table(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.Alignment(_table(spark, sf_dir, "documents")).documents()
+
+
 def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -71,9 +79,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_passages": op10_passages,
+    "op11_resampling": op11_resampling,
+    "op12_alignment": op12_alignment,
     "op13_minhash": op13_minhash,
 }
 
+#: Documents (sets) and the pairs of rows that links of at least PERCENT in a hundred connect (reach).
+_LINKED = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT r, doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM words),
+grams AS (SELECT r, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (SELECT a.r AS x, b.r AS y, a.n + b.n AS n, count(*) AS shared FROM grams a JOIN grams b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+links AS (SELECT x, y FROM pairs WHERE 100 * shared >= PERCENT * (n - shared)),
+reach AS (SELECT r AS x, r AS y FROM sets UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": r"""
 WITH sizes AS (
@@ -120,6 +143,10 @@ SELECT p.doc_id, size, source_size, target,
        CAST(CASE WHEN source_size = 0 THEN 0 ELSE size * (take // source_size) + greatest(0, least(size, take % source_size - before)) END AS BIGINT) AS taken,
        p.slots, CASE WHEN size > 0 AND before < take THEN s.slot END AS first_slot
 FROM placed p LEFT JOIN schedule s ON p.source IS NOT DISTINCT FROM s.source AND p.before // 4096 = s.block
+""",
+    "op6_ngram_join": _LINKED.replace("PERCENT", "80") + """
+SELECT a.doc_id, CAST(len(a.s) AS BIGINT) AS n_shingles, min(b.doc_id) AS component_id
+FROM reach JOIN sets a ON a.r = x JOIN sets b ON b.r = y GROUP BY x, a.doc_id, a.s
 """,
     "op7_warc": r"""
 WITH p AS (
@@ -138,5 +165,36 @@ r AS (
   SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS rn, count(*) OVER (PARTITION BY text_sha256) AS group_size
   FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id))
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, rn = 1 AS kept, text_sha256 FROM r
+""",
+    "op11_resampling": r"""
+WITH RECURSIVE step(v, c, i) AS (
+  SELECT v, v, 0 FROM range(256) r(v)
+  UNION ALL SELECT v, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i + 1 FROM step WHERE i < 8),
+crc AS (SELECT list(CAST(c AS BIGINT) ORDER BY v) AS t FROM step WHERE i = 8),
+texts AS (
+  SELECT true AS own, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT false, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+features AS (
+  SELECT own, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM texts),
+hashed AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(f))), lambda i: CAST('0x' || substr(hex(encode(f)), 2 * i + 1, 2) AS BIGINT))),
+                            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM features), crc),
+placed AS (SELECT own, id, bucket FROM features JOIN hashed USING (f)),
+sums AS (SELECT bucket, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM placed GROUP BY bucket),
+totals AS (SELECT sum(s)::DOUBLE AS all_s, sum(t)::DOUBLE AS all_t FROM sums),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * (all_s + 10000) / ((s + 1)::DOUBLE * (all_t + 10000)))) AS BIGINT) AS gain FROM sums, totals),
+weights AS (SELECT id, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight, count(*) AS n_features FROM placed JOIN gains USING (bucket) WHERE own GROUP BY id),
+scored AS (
+  SELECT id AS doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(w) >= 20 AS eligible,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM texts LEFT JOIN weights USING (id) WHERE own),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY eligible ORDER BY score DESC, doc_id) AS place, count(*) FILTER (eligible) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN eligible AND place <= 25 * n // 100 THEN place END AS rank FROM ranked
+""",
+    "op13_minhash": _LINKED.replace("PERCENT", "85") + """
+SELECT a.doc_id, CAST(len(a.s) AS BIGINT) AS n_shingles, min(b.doc_id) AS component_id, coalesce(a.doc_id = min(b.doc_id), false) AS kept
+FROM reach JOIN sets a ON a.r = x JOIN sets b ON b.r = y GROUP BY x, a.doc_id, a.s
 """,
 }
