@@ -56,15 +56,38 @@ def near(rng, docs, odd):
     return docs([(i, " ".join(r)) for i, r in enumerate(rows)], DOCS).repartition(3).union(odd.select("doc_id", "text"))
 
 
-@pytest.mark.parametrize("often", [2, 0])
-def test_against_brute_force(spark, odd_docs, monkeypatch, often):
-    monkeypatch.setattr(minhash, "PAIRS_A_POSTING", often)
+@pytest.mark.parametrize("hubs", [minhash.HUBS, 0])
+def test_against_brute_force(spark, odd_docs, monkeypatch, hubs):
+    monkeypatch.setattr(minhash, "HUBS", hubs)
     docs = near(random.Random(11), spark.createDataFrame, odd_docs)
     got = minhash.near_duplicates(docs).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(docs.collect(), 85)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_copies_edited_each_in_its_own_way(spark, monkeypatch):
+    """Hardly any is linked with the hub; pairs of them are, and so are two with the same edits."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base, rows = [word() for _ in range(160)], []
+    for i in range(80):
+        copy = list(base)
+        for _ in range(rng.choice([2, 3, 4, 5, 6])):
+            copy[rng.randrange(160)] = word()
+        rows.append(copy)
+        if i % 5 == 0:  # another near it, by some more edits
+            rows.append([word() if rng.random() < 0.015 else w for w in copy])
+    docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], DOCS)
+    want = brute(docs.collect(), 85)
+    assert 5 < len({w[2] for w in want}) < 90
+    met = []
+    by_difference = minhash._by_difference
+    monkeypatch.setattr(minhash, "_by_difference", lambda *a: met.append(by_difference(*a)) or met[-1])
+    got = minhash.near_duplicates(docs).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == want
+    assert met[0].count() < 400  # of 4,560 pairs
+
+
 def test_many_documents_to_verify(spark, odd_docs, monkeypatch):
     monkeypatch.setattr(minhash, "BROADCAST_ROWS", 0)
     docs = near(random.Random(12), spark.createDataFrame, odd_docs)
