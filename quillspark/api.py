@@ -11,6 +11,7 @@ from quillspark.functions import editdist
 from quillspark.functions import structured as S
 from quillspark.operators import inference, matching, metrics, projection
 from quillspark.plans import benchmark as plan
+from quillspark.plans import pages as page_flow
 from quillspark.sources import documents as sources
 
 
@@ -24,6 +25,11 @@ def ocr(documents: DataFrame, factory: Callable[[], inference.Client], prompt: s
     return done.unionByName(typed.filter("refused is not null").select("file_name", none.cast("string").alias("text"), F.col("refused").alias("error"), none.cast("int").alias("latency_ms")))
 
 
+def process_pages(pages: DataFrame, factory: Callable[[], inference.Client], prompt: str, model: str, run: str, **options) -> DataFrame:
+    """Documents read page by page and region by region; see ``plans.pages.process`` for columns and options."""
+    return page_flow.process(pages, factory, prompt, model, run, **options)
+
+
 def project(pages: DataFrame, model_id: str = "prebuilt-read", unit: str = "textElements") -> DataFrame:
     return projection.analyze_result(pages, model_id, unit=unit)
 

@@ -103,6 +103,32 @@ def with_task(boxes: Column, tasks: Column) -> Column:
     return F.filter(own, lambda b: b["task_type"] != "abandon")
 
 
+def detected(boxes: Column, width: Column, height: Column, tasks: Column, thresholds: Column | None = None, default: float = 0.2, ratio: tuple[float, float] = (1.0, 1.0), mode: str = "large") -> Column:
+    """A model's boxes of one page as regions: label, score, bbox_2d and polygon on a scale of 0 to 1000, task_type.
+
+    ``boxes``: structs of label, score, bbox_2d in pixels, order_seq and polygon (flat, null for the box itself);
+    ``tasks``: a map from labels. In this order: thresholds by label, suppression, oversized images, containment,
+    the model's order, scaling by ``ratio``, cutting to the page, polygons of the boxes they came from, tasks.
+    """
+    found = above_threshold(boxes, thresholds if thresholds is not None else F.create_map().cast("map<string,double>"), default)
+    kept = by_model_order(drop_contained(drop_oversized(nms(found), width, height), mode))
+    scaled = F.transform(kept, lambda b: b.withField("bbox_2d", G.unclip(b["bbox_2d"], *ratio)))
+    whole, polygons = F.transform(found, lambda b: b["bbox_2d"]), F.transform(found, lambda b: F.coalesce(b["polygon"], G.polygon_of(b["bbox_2d"])))
+    # A polygon is looked up by the scaled box, before it is cut; one that isn't found is the cut box's own.
+    placed = F.transform(scaled, lambda b: b.withField("polygon", own_polygon(b["bbox_2d"], whole, polygons)))
+    cut = clip(placed, width, height)
+    inside = lambda v, i: F.least(F.greatest(v, F.lit(0.0)), F.when(i % 2 == 0, width).otherwise(height))
+    side = lambda i: F.when(i % 2 == 0, width).otherwise(height)
+
+    def region(b: Column) -> Column:
+        polygon = F.coalesce(F.transform(b["polygon"], inside), G.polygon_of(b["bbox_2d"]))
+        scale = lambda v, i: G.per_mille(v, side(i))
+        box = F.transform(F.transform(b["bbox_2d"], lambda v: v.cast("int")), scale)
+        return F.struct(b["label"].alias("label"), b["score"].cast("double").alias("score"), box.alias("bbox_2d"), F.transform(polygon, scale).alias("polygon"))
+
+    return with_task(F.transform(cut, region), tasks)
+
+
 def large_enough(b: Column, least: int = MIN_CROP) -> Column:
     return (b[2] - b[0] >= least) & (b[3] - b[1] >= least)
 
@@ -139,6 +165,11 @@ def region_count(pages: DataFrame, by: str = "doc_id") -> DataFrame:
 
 def original_polygon(box: Column, boxes: Column, polygons: Column, near: float = 1.0, relative: float = 1e-5) -> Column:
     """The polygon at the place of the first of ``boxes`` within ``near`` (and a relative 1e-5) of ``box`` in all four values; the box's own where there is none."""
+    return F.coalesce(own_polygon(box, boxes, polygons, near, relative), G.polygon_of(box))
+
+
+def own_polygon(box: Column, boxes: Column, polygons: Column, near: float = 1.0, relative: float = 1e-5) -> Column:
+    """As ``original_polygon``, null where there is none."""
     close = lambda b: F.forall(F.sequence(F.lit(0), F.lit(3)), lambda i: F.abs(F.get(b, i) - F.get(box, i)) <= near + relative * F.abs(F.get(box, i)))
     at = F.array_position(F.transform(boxes, close), F.lit(True))
-    return F.coalesce(F.when(at > 0, F.get(polygons, (at - 1).cast("int"))), G.polygon_of(box))
+    return F.when(at > 0, F.get(polygons, (at - 1).cast("int")))
