@@ -1,13 +1,17 @@
 """Spatial, fuzzy and greedy one-to-one matching of words, lines and regions.
 
-Candidates come from equi-joins on the page (and the text, or a grid cell), so no page's words are ever
-crossed with another's; the greedy step, whose order is part of the result, gets a page's candidates as one array.
+Candidates come from equi-joins on the page (and a grid cell), so no page's words are ever crossed with
+another's; greedy steps, whose order is part of the result, get a page's words as one group.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -20,31 +24,49 @@ MISREAD_DISTANCE = 120.0
 MAX_JOIN = 6
 
 
-def words_to_regions(words: DataFrame, regions: DataFrame, share: float = 0.1, least_area: float = 1.0, cell: float = 100.0) -> DataFrame:
+def words_to_regions(words: DataFrame, regions: DataFrame, share: float = 0.1, least_area: float = 1.0) -> DataFrame:
     """page_id, word_idx, region_idx: the smallest region that holds more than ``share`` of a word, the first of equal ones.
 
     words: page_id, word_idx, bbox_2d; regions: page_id, region_idx, bbox_2d. Words without one are left out.
-    An equi-join on page and grid cell of width ``cell``: boxes that share area share a cell.
+    Equi-joins on page, level and cell: a box's level is that of its longer side, in powers of two, and it lies
+    in the cells of half that width that it touches, 9 at most whatever its size. Words look for regions of
+    their own level and higher ones in these cells, regions for words of higher levels. A page's boxes are
+    spread by cell, so a crowded page is no single task.
     """
-    reach = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-
-    def gridded(df: DataFrame, index: str, side: str) -> DataFrame:
-        """Sides of boxes as columns of their own, one row per cell."""
-        x1, y1, x2, y2 = (f"{side}{c}" for c in ("x1", "y1", "x2", "y2"))
-        rows = df.select("page_id", index, *(F.col("bbox_2d")[i].alias(c) for i, c in enumerate((x1, y1, x2, y2)))).filter(f"{x1} <= {x2} and {y1} <= {y2}")
-        return rows.withColumn("cx", F.explode(reach(x1, x2))).withColumn("cy", F.explode(reach(y1, y2)))
-
+    edge = lambda side: tuple(f"{side}{c}" for c in ("x1", "y1", "x2", "y2"))
+
+    def sized(df: DataFrame, index: str, side: str) -> DataFrame:
+        """Sides of boxes as columns of their own, and their level."""
+        x1, y1, x2, y2 = edge(side)
+        rows = df.select("page_id", index, *(F.col("bbox_2d")[i].alias(c) for i, c in enumerate((x1, y1, x2, y2)))).filter(f"{x1} < {x2} and {y1} < {y2}")
+        return rows.withColumn(f"{side}level", F.ceil(F.log2(F.greatest(F.col(x2) - F.col(x1), F.col(y2) - F.col(y1)))).cast("int"))
+
+    def celled(df: DataFrame, side: str, level: Column) -> DataFrame:
+        x1, y1, x2, y2 = map(F.col, edge(side))
+        df = df.withColumn("level", level)
+        width = F.pow(F.lit(2.0), F.col("level") - 1)
+        reach = lambda lo, hi: F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width)))
+        return df.withColumn("cx", reach(x1, x2)).withColumn("cy", reach(y1, y2))
+
+    def probing(df: DataFrame, side: str, other: DataFrame, levels: str, fits: Callable[[Column, Column], Column]) -> DataFrame:
+        """Rows of ``df`` in the cells of every level of the other side, some sixty at most, that ``fits``."""
+        held = other.agg(F.collect_set(levels).alias("levels"))
+        return celled(df.join(F.broadcast(held)), side, F.explode(F.filter("levels", lambda x: fits(x, F.col(f"{side}level"))))).drop("levels")
+
+    w, r = sized(words, "word_idx", "w"), sized(regions, "region_idx", "r")
+    on = ["page_id", "level", "cx", "cy"]
+    pairs = probing(w, "w", r, "rlevel", lambda x, own: x >= own).join(celled(r, "r", F.col("rlevel")), on)
+    pairs = pairs.unionByName(probing(r, "r", w, "wlevel", lambda x, own: x > own).join(celled(w, "w", F.col("wlevel")), on))
     area = lambda s: (F.col(f"{s}x2") - F.col(f"{s}x1")) * (F.col(f"{s}y2") - F.col(f"{s}y1"))
-    w, h = F.least("wx2", "rx2") - F.greatest("wx1", "rx1"), F.least("wy2", "ry2") - F.greatest("wy1", "ry1")
-    pairs = gridded(words, "word_idx", "w").join(gridded(regions, "region_idx", "r"), ["page_id", "cx", "cy"])
-    inside = pairs.filter((w > 0) & (h > 0) & (w * h / F.greatest(F.lit(least_area), area("w")) > share))
+    wide, high = F.least("wx2", "rx2") - F.greatest("wx1", "rx1"), F.least("wy2", "ry2") - F.greatest("wy1", "ry1")
+    inside = pairs.filter((wide > 0) & (high > 0) & (wide * high / F.greatest(F.lit(least_area), area("w")) > share))
     best = F.min(F.struct(area("r").alias("area"), "region_idx"))
     return inside.groupBy("page_id", "word_idx").agg(best["region_idx"].alias("region_idx"))
 
 
 def label_words(words: DataFrame, regions: DataFrame, unknown: str = "Unbekannt") -> DataFrame:
     """As ``words_to_regions`` on a scale of 0 to 1: every word with label and kind of its region, or unknown and other."""
-    found = words_to_regions(words, regions, least_area=1e-6, cell=0.1)
+    found = words_to_regions(words, regions, least_area=1e-6)
     own = found.join(regions.select("page_id", "region_idx", "label", "kind"), ["page_id", "region_idx"])
     out = words.join(own, ["page_id", "word_idx"], "left")
     return out.withColumns({"label": F.coalesce("label", F.lit(unknown)), "kind": F.coalesce("kind", F.lit("other"))})
@@ -112,47 +134,140 @@ def words_of_text(pages: DataFrame, polygons: DataFrame, detector_only: bool = F
     return rows.select("page_id", "idx", "w.content", "w.polygon", "w.confidence")
 
 
+class _Near:
+    """Points by cells of a grid; finds the nearest that is left, and forgets those that are taken."""
+
+    def __init__(self, at: np.ndarray, idx: np.ndarray):
+        span = float(np.ptp(at, axis=0).max()) if len(at) else 0.0
+        self.width = max(span / max(1.0, (len(at) / 2) ** 0.5), 1e-9 * (1 + span))
+        self.low = at.min(0) if len(at) else np.zeros(2)
+        cells = np.floor((at - self.low) / self.width).astype(np.int64)
+        self.most = cells.max(0) if len(at) else np.zeros(2, np.int64)
+        order = np.lexsort((idx, cells[:, 1], cells[:, 0]))
+        cells, self.at, self.idx = cells[order], at[order], idx[order]
+        cuts = np.flatnonzero(np.concatenate([[True], (np.diff(cells, axis=0) != 0).any(1)])) if len(at) else np.zeros(0, np.int64)
+        self.rows = {tuple(c): np.arange(a, b) for c, a, b in zip(cells[cuts].tolist(), cuts.tolist(), [*cuts.tolist()[1:], len(at)])}
+        self.place = {i: (k, tuple(c)) for k, (i, c) in enumerate(zip(self.idx.tolist(), cells.tolist()))}
+        self.left = np.ones(len(at), bool)
+        self.count = len(at)
+
+    def take(self, idx: int) -> None:
+        if idx in self.place:
+            k, cell = self.place.pop(idx)
+            self.left[k] = False
+            self.count -= 1
+            rows = self.rows[cell]
+            if 2 * self.left[rows].sum() <= len(rows):
+                self.rows[cell] = rows[self.left[rows]]
+
+    def nearest(self, x: float, y: float, most: float = np.inf) -> tuple[float, int] | None:
+        """(distance, idx) of the nearest point left, the least idx of several, if within ``most``."""
+        if not self.count:
+            return None
+        cx, cy = (int(v) for v in np.floor((np.array([x, y]) - self.low) / self.width))
+        best = None
+        # Rings from the first that touches the grid to the last; what lies beyond ring r is at least r widths away.
+        ring = max(0, -cx, cx - int(self.most[0]), -cy, cy - int(self.most[1]))
+        last = max(cx, int(self.most[0]) - cx, cy, int(self.most[1]) - cy)
+        while ring <= last and (ring - 1) * self.width <= most and (best is None or (ring - 1) * self.width <= best[0]):
+            for cell in _ring(cx, cy, ring, self.most):
+                rows = self.rows.get(cell)
+                if rows is None or not len(rows):
+                    continue
+                rows = rows[self.left[rows]]
+                if not len(rows):
+                    continue
+                d = np.sqrt((self.at[rows, 0] - x) ** 2 + (self.at[rows, 1] - y) ** 2)
+                k = int(d.argmin())  # rows of a cell are in order of idx
+                if d[k] <= most and (best is None or (float(d[k]), int(self.idx[rows[k]])) < best):
+                    best = float(d[k]), int(self.idx[rows[k]])
+            ring += 1
+        return best
+
+
+def _ring(cx: int, cy: int, r: int, most: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The cells of the grid at distance ``r`` from a cell."""
+    if r == 0:
+        yield cx, cy
+        return
+    for x in range(max(0, cx - r), min(int(most[0]), cx + r) + 1):
+        for y in (cy - r, cy + r):
+            if 0 <= y <= most[1]:
+                yield x, y
+    for y in range(max(0, cy - r + 1), min(int(most[1]), cy + r - 1) + 1):
+        for x in (cx - r, cx + r):
+            if 0 <= x <= most[0]:
+                yield x, y
+
+
+def _greedy(a: dict[int, tuple[float, float] | None], b: dict[int, tuple[float, float] | None], most: float = np.inf) -> list[tuple[int, int]]:
+    """Pairs of a and b (idx: centre) in order of (distance, a, b), every idx once; a missing centre is at distance 0 from all.
+
+    The same as sorting all pairs, but only each a's nearest b that is left is ever looked up.
+    """
+    placed = [(i, p) for i, p in b.items() if p is not None]
+    near = _Near(np.array([p for _, p in placed], float).reshape(-1, 2), np.array([i for i, _ in placed], np.int64))
+    anywhere, every = [i for i, p in sorted(b.items()) if p is None], sorted(b)
+    used: set[int] = set()
+
+    def first(rest: list[int]) -> int | None:
+        while rest and rest[0] in used:
+            heapq.heappop(rest)
+        return rest[0] if rest else None
+
+    def best(p: tuple[float, float] | None) -> tuple[float, int] | None:
+        i = first(every if p is None else anywhere)
+        found = [] if i is None else [(0.0, i)]
+        if p is not None and (x := near.nearest(*p, most)) is not None:
+            found.append(x)
+        return min(found, default=None)
+
+    heap = [(d, i, j) for i, p in a.items() if (x := best(p)) is not None for d, j in [x]]
+    heapq.heapify(heap)
+    out = []
+    while heap:
+        _, i, j = heap[0]
+        if j not in used:
+            heapq.heappop(heap)
+            used.add(j)
+            near.take(j)
+            out.append((i, j))
+        elif (x := best(a[i])) is None:
+            heapq.heappop(heap)
+        else:
+            heapq.heapreplace(heap, (x[0], i, x[1]))
+    return out
+
+
 def word_diff(ours: DataFrame, theirs: DataFrame, misread: float = MISREAD_DISTANCE) -> DataFrame:
     """page_id, status, ours_idx, theirs_idx: matched, mismatched, only_ours, only_theirs; every word once.
 
     Words of equal text (lower case, without punctuation) pair by nearness; what is left pairs with words
-    at most ``misread`` away. Both: page_id, idx, content, polygon.
+    at most ``misread`` away. Both: page_id, idx, content, polygon. Both sides of a page meet in one group: the
+    greedy order is part of the result; candidates are looked up one at a time, so no pairs are listed.
     """
-    side = lambda df: df.select("page_id", "idx", T.diff_key(T.text("content")).alias("key"), G.bounds(F.col("polygon")).alias("box"))
-    a, b = side(ours), side(theirs)
-    far = F.coalesce(G.distance(F.col("x.box"), F.col("y.box")), F.lit(0.0))
-    on = lambda more: F.col("x.page_id").eqNullSafe(F.col("y.page_id")) & more
-    chosen = [F.col("x.page_id").alias("page_id"), F.col("x.idx").alias("a"), F.col("y.idx").alias("b")]
-    same = a.filter("key <> ''").alias("x").join(b.alias("y"), on(F.col("x.key") == F.col("y.key"))).select(*chosen, far.alias("distance"), F.lit(0).alias("kind"))
-    # Within reach: an equi-join on cells of a grid as wide as the reach, each word on the other side in nine.
-    cell = lambda i: F.floor((F.col("box")[i] + F.col("box")[i + 2]) / 2 / misread)
-    ca = a.filter("box is not null").withColumns({"cx": cell(0), "cy": cell(1)})
-    around = F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i, j))))")
-    cb = b.filter("box is not null").withColumns({"cx": cell(0), "cy": cell(1)}).withColumn("d", F.explode(around)).withColumns({"cx": F.col("cx") + F.col("d.i"), "cy": F.col("cy") + F.col("d.j")})
-    near = ca.alias("x").join(cb.alias("y"), on((F.col("x.cx") == F.col("y.cx")) & (F.col("x.cy") == F.col("y.cy")))).select(*chosen, far.alias("distance"), F.lit(1).alias("kind")).filter(F.col("distance") <= misread)
-    none = F.lit(None).cast("double")
-    alone = a.select("page_id", F.col("idx").alias("a"), F.lit(-1).alias("b"), none.alias("distance"), F.lit(2).alias("kind")).union(b.select("page_id", F.lit(-1).alias("a"), F.col("idx").alias("b"), none, F.lit(2)))
-
-    @F.pandas_udf("array<struct<status: string, ours_idx: int, theirs_idx: int>>")
-    def pair(pages: pd.Series) -> pd.Series:
-        def one(rows) -> list[dict]:
-            used, out = (set(), set()), []
-            for kind, status in ((0, "matched"), (1, "mismatched")):
-                for _, x, y in sorted((r["distance"], r["a"], r["b"]) for r in rows if r["kind"] == kind):
-                    if x not in used[0] and y not in used[1]:
-                        used[0].add(x)
-                        used[1].add(y)
-                        out.append({"status": status, "ours_idx": x, "theirs_idx": y})
-            alone = sorted((r["a"], r["b"]) for r in rows if r["kind"] == 2)
-            out += [{"status": "only_ours", "ours_idx": x, "theirs_idx": None} for x, y in alone if y < 0 and x not in used[0]]
-            out += [{"status": "only_theirs", "ours_idx": None, "theirs_idx": y} for x, y in alone if x < 0 and y not in used[1]]
-            return out
-
-        return pages.map(one)
-
-    all_ = same.union(near).union(alone.select("page_id", "a", F.coalesce("b", F.lit(-1)), "distance", "kind"))
-    pages = all_.groupBy("page_id").agg(F.collect_list(F.struct("kind", F.coalesce("distance", F.lit(0.0)).alias("distance"), "a", "b")).alias("rows"))
-    return pages.select("page_id", F.inline(pair("rows")))
+    side = lambda df: df.select("page_id", F.col("idx").cast("int").alias("idx"), T.diff_key(T.text("content")).alias("key"), G.bounds(F.col("polygon")).alias("b")).select("page_id", "idx", "key", ((F.col("b")[0] + F.col("b")[2]) / 2).alias("x"), ((F.col("b")[1] + F.col("b")[3]) / 2).alias("y"))
+    kind = ours.schema["page_id"].dataType.simpleString()
+
+    def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        page = (left if len(left) else right)["page_id"].iloc[0]
+        a, b = ([(i, k, None if pd.isna(x) or pd.isna(y) else (x, y)) for i, k, x, y in zip(df["idx"], df["key"], df["x"], df["y"])] for df in (left, right))
+        texts: dict[str, tuple[dict, dict]] = {}
+        for rows, at in ((a, 0), (b, 1)):
+            for i, k, p in rows:
+                if k:
+                    texts.setdefault(k, ({}, {}))[at][i] = p
+        out = [("matched", i, j) for x, y in texts.values() if x and y for i, j in _greedy(x, y)]
+        used = {i for _, i, _ in out}, {j for _, _, j in out}
+        left_over = [{i: p for i, _, p in rows if i not in used[at] and p is not None} for at, rows in enumerate((a, b))]
+        out += [("mismatched", i, j) for i, j in _greedy(*left_over, misread)]
+        used = {i for _, i, _ in out}, {j for _, _, j in out}
+        out += [("only_ours", i, None) for i, _, _ in a if i not in used[0]] + [("only_theirs", None, j) for j, _, _ in b if j not in used[1]]
+        found = pd.DataFrame(out, columns=["status", "ours_idx", "theirs_idx"]).astype({"ours_idx": "Int64", "theirs_idx": "Int64"})
+        found.insert(0, "page_id", page)
+        return found
+
+    return side(ours).groupBy("page_id").cogroup(side(theirs).groupBy("page_id")).applyInPandas(pair, f"page_id {kind}, status string, ours_idx int, theirs_idx int")
 
 
 def diff_totals(diff: DataFrame, by: list[str]) -> DataFrame:

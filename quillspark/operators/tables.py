@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -43,30 +46,96 @@ def grid(rows: DataFrame, columns: DataFrame, headers: DataFrame, spans: DataFra
 
     All: table_id, bbox_2d. Rows are numbered from the top, columns from the left; a cell is where both
     meet; it is a header if its centre lies in a header box. A spanning box covers the cells of which it
-    holds half, and counts if these lie in several rows or columns; the last such box wins.
+    holds half, and counts if these lie in several rows or columns; the last such box wins, in order of idx
+    where ``spans`` has it, else of the boxes. Tables go through numpy in batches: the rows and columns that a
+    box can reach are found by binary search in their edges, for all boxes of a batch at once.
     """
-    boxes = lambda df, name, i: df.groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("bbox_2d")[i].alias("k"), "bbox_2d"))), lambda x: x["bbox_2d"]).alias(name))
-    plain = lambda df, name: df.groupBy("table_id").agg(F.collect_list("bbox_2d").alias(name))
-    none = lambda c: F.coalesce(c, F.array().cast("array<array<double>>"))
-    all_ = boxes(rows, "r", 1).join(boxes(columns, "c", 0), "table_id").join(plain(headers, "h"), "table_id", "left").join(plain(spans, "s"), "table_id", "left")
-    cell = lambda a, i, b, j: F.struct(i.alias("row"), j.alias("column"), G.intersection(a, b).alias("bbox_2d"))
-    cells = F.filter(F.flatten(F.transform("r", lambda a, i: F.transform("c", lambda b, j: cell(a, i, b, j)))), lambda x: x["bbox_2d"].isNotNull())
-    out = all_.withColumn("cells", cells)
-
-    def covered(s: Column) -> Column:
-        mine = F.filter("cells", lambda x: G.overlap_ratio(x["bbox_2d"], s) >= 0.5)
-        distinct = lambda c: F.array_distinct(F.transform(mine, lambda x: x[c]))
-        return F.struct(distinct("row").alias("rows"), distinct("column").alias("columns"))
-
-    out = out.withColumn("covered", F.filter(F.transform(none(F.col("s")), covered), lambda x: (F.size(x["rows"]) > 1) | (F.size(x["columns"]) > 1)))
-    out = out.select("table_id", "h", "covered", F.explode("cells").alias("x")).select("table_id", "x.*", "h", "covered")
+    boxes = lambda df, name, key: df.groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), "bbox_2d"))), lambda x: x["bbox_2d"]).alias(name))
     box = F.col("bbox_2d")
-    center = (box[0] + box[2]) / 2, (box[1] + box[3]) / 2
-    mine = F.filter("covered", lambda s: F.array_contains(s["rows"], F.col("row")) & F.array_contains(s["columns"], F.col("column")))
-    out = out.withColumns({"is_header": F.exists(none(F.col("h")), lambda b: G.center_in(*center, b)), "span": F.try_element_at(mine, F.lit(-1))})
-    root = (F.col("row") == F.array_min("span.rows")) & (F.col("column") == F.array_min("span.columns"))
-    size = lambda c: F.when(F.col("span").isNotNull(), F.size(f"span.{c}"))
-    return out.select("table_id", "row", "column", "bbox_2d", "is_header", size("rows").alias("row_span"), size("columns").alias("col_span"), F.when(F.col("span").isNotNull(), root).alias("span_root"))
+    last = F.col("idx") if "idx" in spans.columns else box
+    all_ = boxes(rows, "r", box[1]).join(boxes(columns, "c", box[0]), "table_id").join(boxes(headers, "h", box), "table_id", "left").join(boxes(spans, "s", last), "table_id", "left")
+    kind = rows.schema["table_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _cells(batch.column(0), *(_boxes(batch.column(i)) for i in range(1, 5)))
+
+    cast = [F.coalesce(F.col(c).cast("array<array<double>>"), F.array().cast("array<array<double>>")).alias(c) for c in "rchs"]
+    return all_.select("table_id", *cast).mapInArrow(run, f"table_id {kind}, row int, column int, bbox_2d array<double>, is_header boolean, row_span int, col_span int, span_root boolean")
+
+
+def _boxes(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(table of each box, boxes by row)."""
+    each = np.diff(lists.offsets.to_numpy())
+    flat = lists.flatten().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, 4)
+    return np.repeat(np.arange(len(each)), each), flat
+
+
+def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, position) of n[0] rows of 0, n[1] rows of 1 and so on."""
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _reach(table: np.ndarray, low: np.ndarray, high: np.ndarray, own: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For boxes from ``start`` to ``end`` of tables ``own``: the first and behind the last of the table's edges (by low) that may touch it."""
+    values = np.unique(np.concatenate([low, high, start, end]))
+    rank = lambda t, v: t * (len(values) + 1) + np.searchsorted(values, v)
+    behind = np.searchsorted(rank(table, low), rank(own, end), "right")
+    so_far = np.maximum.accumulate(rank(table, high))  # within a table: the farthest end up to here
+    return np.searchsorted(so_far, rank(own, start), "left"), behind
+
+
+def _cells(ids: pa.Array, rows: tuple, columns: tuple, headers: tuple, spans: tuple) -> pa.RecordBatch:
+    (rt, r), (ct, c) = rows, columns
+    wide = np.bincount(ct, minlength=len(ids))
+    first_row, first_column = np.searchsorted(rt, np.arange(len(ids))), np.searchsorted(ct, np.arange(len(ids)))
+    i, j = _spread(wide[rt])  # each row with every column of its table
+    j = j + first_column[rt[i]]
+    start = np.concatenate([[0], np.cumsum(wide[rt])])[:-1]
+    box = np.stack([np.maximum(r[i, 0], c[j, 0]), np.maximum(r[i, 1], c[j, 1]), np.minimum(r[i, 2], c[j, 2]), np.minimum(r[i, 3], c[j, 3])], 1)
+    there = (box[:, 0] < box[:, 2]) & (box[:, 1] < box[:, 3])
+
+    def near(t: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(box, cell) of all cells that a box may touch."""
+        y0, y1 = _reach(rt, r[:, 1], r[:, 3], t, b[:, 1], b[:, 3])
+        x0, x1 = _reach(ct, c[:, 0], c[:, 2], t, b[:, 0], b[:, 2])
+        k, n = _spread(np.maximum(y1 - y0, 0) * np.maximum(x1 - x0, 0))
+        across = np.maximum(x1 - x0, 1)[k]
+        cell = start[y0[k] + n // across] + x0[k] + n % across - first_column[t[k]] if len(k) else np.zeros(0, np.int64)
+        return k[there[cell]], cell[there[cell]]
+
+    header = np.zeros(len(box), bool)
+    k, cell = near(*headers)
+    x, y, h = (box[cell, 0] + box[cell, 2]) / 2, (box[cell, 1] + box[cell, 3]) / 2, headers[1][k]
+    header[cell[(h[:, 0] <= x) & (x <= h[:, 2]) & (h[:, 1] <= y) & (y <= h[:, 3])]] = True
+    st, s = spans
+    k, cell = near(st, s)
+    shared = np.maximum(0, np.minimum(box[cell, 2], s[k, 2]) - np.maximum(box[cell, 0], s[k, 0])) * np.maximum(0, np.minimum(box[cell, 3], s[k, 3]) - np.maximum(box[cell, 1], s[k, 1]))
+    half = shared / ((box[cell, 2] - box[cell, 0]) * (box[cell, 3] - box[cell, 1])) >= 0.5
+    k, cell = k[half], cell[half]
+    in_rows, in_columns = np.unique(np.stack([k, i[cell]], 1), axis=0), np.unique(np.stack([k, j[cell]], 1), axis=0)
+    n_rows, n_columns = (np.bincount(x[:, 0], minlength=len(s)) for x in (in_rows, in_columns))
+    # Each covered row with each covered column of its span: these cells are the span's.
+    own = in_rows[:, 0]
+    p, q = _spread(np.where((n_rows > 1) | (n_columns > 1), n_columns, 0)[own])
+    column = in_columns[(np.cumsum(n_columns) - n_columns)[own[p]] + q, 1] if len(p) else np.zeros(0, np.int64)
+    cell = start[in_rows[p, 1]] + column - first_column[rt[in_rows[p, 1]]] if len(p) else np.zeros(0, np.int64)
+    span = np.full(len(box), -1)
+    np.maximum.at(span, cell, own[p])
+    least_row, least_column = np.full(len(s), len(r)), np.full(len(s), len(c))
+    np.minimum.at(least_row, in_rows[:, 0], in_rows[:, 1])
+    np.minimum.at(least_column, in_columns[:, 0], in_columns[:, 1])
+    out = np.flatnonzero(there)
+    span, none = span[out], span[out] < 0
+    of = lambda values: pa.array((values[span] if len(s) else np.zeros(len(out), np.int64)).astype(np.int32), mask=none)
+    root = (least_row[span] == i[out]) & (least_column[span] == j[out]) if len(s) else np.zeros(len(out), bool)
+    table = rt[i[out]]
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(out) + 1, 4), pa.int32()), pa.array(box[out].ravel()))
+    return pa.RecordBatch.from_arrays(
+        [ids.take(pa.array(table)), pa.array((i[out] - first_row[table]).astype(np.int32)), pa.array((j[out] - first_column[table]).astype(np.int32)), lists, pa.array(header[out]), of(n_rows), of(n_columns), pa.array(root, mask=none)],
+        ["table_id", "row", "column", "bbox_2d", "is_header", "row_span", "col_span", "span_root"],
+    )
 
 
 def shape(cells: DataFrame) -> DataFrame:

@@ -347,3 +347,73 @@ def test_words_meet_regions_across_grid_cells(spark):
         if found:
             want.add((p, i, min(found)[1]))
     assert {tuple(r) for r in got} == want
+
+
+def test_greedy_pairs_equal_sorting_all_pairs():
+    rng = random.Random(8)
+    for n, m, span, missing in ((0, 5, 10, 0), (30, 25, 100, 0.2), (60, 60, 3, 0.1), (40, 90, 1000, 0), (50, 50, 0, 0)):
+        point = lambda: None if rng.random() < missing else (rng.randint(0, span) * 1.5, rng.randint(0, span) * 0.5)  # noqa: B023,E731
+        a, b = {i: point() for i in rng.sample(range(500), n)}, {i: point() for i in rng.sample(range(500), m)}
+        for most in (np.inf, span / 8):
+            far = lambda p, q: 0.0 if p is None or q is None else float(np.hypot(p[0] - q[0], p[1] - q[1]))
+            used, want = (set(), set()), []
+            for d, i, j in sorted((far(p, q), i, j) for i, p in a.items() for j, q in b.items()):
+                if d <= most and i not in used[0] and j not in used[1]:
+                    used[0].add(i), used[1].add(j)
+                    want.append((i, j))
+            got = matching._greedy(a, b, most)
+            assert sorted(got) == sorted(want)
+    many = {i: (float(i % 7), 0.0) for i in range(10_000)}  # 10,000 equal words of a page, many in one place
+    assert len(matching._greedy(many, {i: (x + 0.25, y) for i, (x, y) in many.items()})) == 10_000
+
+
+def test_boxes_of_all_sizes_meet(spark):
+    rng = random.Random(9)
+
+    def box():
+        size = 2 ** rng.uniform(-3, 13)
+        return [x := rng.uniform(-5000, 5000), y := rng.uniform(-5000, 5000), x + size, y + size * rng.uniform(0.2, 1)]
+
+    words, regions = [(i % 2, i, box()) for i in range(300)], [(i % 2, i, box()) for i in range(300)]
+    regions += [(0, 300, [-5000.0, -5000.0, 5000.0, 5000.0]), (1, 301, [0.0, 0.0, 0.0, 9.0])]
+    got = matching.words_to_regions(spark.createDataFrame(words, "page_id int, word_idx int, bbox_2d array<double>"), spark.createDataFrame(regions, "page_id int, region_idx int, bbox_2d array<double>")).collect()
+    area, want = (lambda b: (b[2] - b[0]) * (b[3] - b[1])), set()
+    for p, i, w in words:
+        found = [(area(r), k) for q, k, r in regions if p == q and min(w[2], r[2]) > max(w[0], r[0]) and min(w[3], r[3]) > max(w[1], r[1]) and (min(w[2], r[2]) - max(w[0], r[0])) * (min(w[3], r[3]) - max(w[1], r[1])) / max(1.0, area(w)) > 0.1]
+        if found:
+            want.add((p, i, min(found)[1]))
+    assert {tuple(r) for r in got} == want and len(want) > 150
+
+
+def test_grids_against_loops(spark):
+    rng = random.Random(10)
+    tables_, want = [], {}
+    for t in range(60):
+        edges = lambda n, size: sorted(rng.uniform(0, size) for _ in range(2 * n))
+        ys, xs = edges(rng.randint(1, 6), 100), edges(rng.randint(1, 5), 200)
+        rows = [[0.0, ys[2 * i] - rng.choice([0, 5]), 200.0, ys[2 * i + 1] + rng.choice([0, 5, 30])] for i in range(len(ys) // 2)]
+        columns = [[xs[2 * i] - rng.choice([0, 9]), 0.0, xs[2 * i + 1], 100.0] for i in range(len(xs) // 2)]
+        some = lambda n: [[x := rng.uniform(-10, 150), y := rng.uniform(-10, 80), x + rng.uniform(1, 160), y + rng.uniform(1, 80)] for _ in range(n)]
+        tables_.append((rows, columns, some(rng.randint(0, 2)), some(rng.randint(0, 5))))
+        rows, columns = sorted(rows, key=lambda b: (b[1], b)), sorted(columns)
+        cells = {}
+        for i, a in enumerate(rows):
+            for j, b in enumerate(columns):
+                x = [max(a[0], b[0]), max(a[1], b[1]), min(a[2], b[2]), min(a[3], b[3])]
+                if x[0] < x[2] and x[1] < x[3]:
+                    cx, cy = (x[0] + x[2]) / 2, (x[1] + x[3]) / 2
+                    cells[i, j] = [x, any(h[0] <= cx <= h[2] and h[1] <= cy <= h[3] for h in tables_[t][2]), None, None, None]
+        for s in tables_[t][3]:
+            share = lambda x: max(0, min(x[2], s[2]) - max(x[0], s[0])) * max(0, min(x[3], s[3]) - max(x[1], s[1])) / ((x[2] - x[0]) * (x[3] - x[1]))  # noqa: B023,E731
+            mine = [k for k, v in cells.items() if share(v[0]) >= 0.5]
+            over, along = {i for i, _ in mine}, {j for _, j in mine}
+            if len(over) > 1 or len(along) > 1:
+                for i, j in cells:
+                    if i in over and j in along:
+                        cells[i, j][2:] = [len(over), len(along), i == min(over) and j == min(along)]
+        want |= {(t, *k): v for k, v in cells.items()}
+    of = lambda n, extra=(): spark.createDataFrame([(t, *((i,) if extra else ()), b) for t, x in enumerate(tables_) for i, b in enumerate(x[n])], f"table_id int, {'idx int, ' if extra else ''}bbox_2d array<double>")
+    got = tables.grid(of(0), of(1), of(2), of(3, True)).collect()
+    assert {(r.table_id, r.row, r.column): [r.bbox_2d, r.is_header, r.row_span, r.col_span, r.span_root] for r in got} == want and any(v[4] for v in want.values())
+    none = of(2).limit(0)
+    assert all(r.row_span is None and not r.is_header for r in tables.grid(of(0), of(1), none, none).collect())
