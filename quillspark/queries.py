@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,9 +14,10 @@ from quillspark.functions import structured as S
 from quillspark.functions import text as T
 from quillspark.operators import layout, matching, metrics, projection, tables
 from quillspark.plans import benchmark
+from quillspark.session import shared_dir
 from quillspark.sources import documents as sources
 from quillspark.sources import sinks
-from quillspark.streaming import jobs
+from quillspark.streaming import jobs, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -31,15 +33,16 @@ def query(sql: str | None = None):
     return add
 
 
-#: Tables with much work a row, by a key to deal them by, and up to how many bytes they are dealt out.
-DEALT, SMALL = {"documents": "doc_id", "pages": "page_id", "benchmark": "item_id", "conversations": "conv_id", "lineitem": "l_orderkey"}, 1 << 30
+#: Tables with much work a row, by a key to deal them by.
+DEALT = {"documents": "doc_id", "pages": "page_id", "benchmark": "item_id", "conversations": "conv_id", "lineitem": "l_orderkey"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A small table may be one row group, i.e. one task: it is dealt out over all cores. Large ones come in parts enough."""
+    """A table of a few files that make few parts may be one row group, i.e. one task: it is dealt out over all cores."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in DEALT and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL:
-        return df.repartition(2 * spark.sparkContext.defaultParallelism, DEALT[name])
+    cores = spark.sparkContext.defaultParallelism
+    if name in DEALT and df.rdd.getNumPartitions() <= 2 * cores and len(df.inputFiles()) < cores:
+        return df.repartition(2 * cores, DEALT[name])
     return df
 
 
@@ -443,16 +446,26 @@ def job_ttl(spark, d):
 @query(f"""
 SELECT user_id AS id, arg_max({_STATUS}, event_id + epoch_us(ts)::HUGEINT * 1000000000) AS status, count(*)::BIGINT AS n_events FROM events GROUP BY 1""")
 def streaming_job_status(spark, d):
-    """The same from the events as a stream of files, read with availableNow."""
-    import uuid
+    """The same from the events as a stream of files, with keyed state; every operation, dropped ones too."""
+    return state.settled(_changes(spark, d)).select("id", "status", "n_events")
 
-    name = f"status_{uuid.uuid4().hex}"
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp"
+
+def _changes(spark, d) -> DataFrame:
+    """The changes of all operations by the files of events, read with availableNow."""
     schema = table(spark, d, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    q = jobs.lifecycle(_operations(events)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{at}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select("id", "status", "n_events")
+    events = events.select(F.col("user_id").alias("id"), F.expr(_STATUS).alias("status"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
+    at = f"{shared_dir(spark)}/states-{uuid.uuid4().hex}"
+    state.follow(events, f"{at}/changes", f"{at}/checkpoint")
+    return spark.read.parquet(f"{at}/changes")
+
+
+@query("""
+WITH l AS (SELECT user_id AS id, max(ts) AS updated_at, count(*)::BIGINT AS n_events FROM events GROUP BY 1)
+SELECT id, n_events FROM l WHERE updated_at > (SELECT max(ts) FROM events) - INTERVAL 3600 SECOND""")
+def streaming_job_ttl(spark, d):
+    """The states that timers of event time have left."""
+    return state.kept(_changes(spark, d)).select("id", "n_events")
 
 
 @query(r"""

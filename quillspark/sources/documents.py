@@ -96,7 +96,11 @@ def expand_zip(archives: DataFrame) -> DataFrame:
                             rows.append((archive, name, z.read(name)))
             yield pd.DataFrame(rows, columns=["archive", "path", "content"])
 
-    files = archives.select("archive", "content").mapInPandas(run, "archive string, path string, content binary")
+    return with_text_references(archives.select("archive", "content").mapInPandas(run, "archive string, path string, content binary"))
+
+
+def with_text_references(files: DataFrame) -> DataFrame:
+    """archive, file_name, content, content_type, reference of entries (archive, path, content); see ``expand_zip``."""
     stem = F.regexp_replace("path", r"\.[^./]*$", "")
     texts = files.filter(F.lower("path").endswith(".txt")).select("archive", stem.alias("stem"), T.strip(F.decode("content", "UTF-8")).alias("text"))
     typed = files.filter(~F.lower("path").endswith(".txt")).withColumn("content_type", sniff(F.col("content"))).filter(F.col("content_type").isin(*ALLOWED))

@@ -1,20 +1,28 @@
 """Runs of a benchmark sent to an experiment tracker over the public REST interface of MLflow.
 
 A side channel: without a server's address nothing is sent, and what fails is counted, never raised. Only
-addresses over HTTP are served; files of a tracker's local store aren't written. A task that is retried
-logs its rows once more.
+addresses over HTTP are served; files of a tracker's local store aren't written. ``save_runs`` is a data
+source's writer: tasks write their rows to a staging folder, and only the commit of the whole job sends
+them, those of successful attempts, once. A job that fails sends nothing.
 """
 
 from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from urllib import parse, request
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+
+from quillspark.session import shared_dir
+from quillspark.sources import files
 
 #: Bounds of the interface for one request.
 MOST_PARAMS, MOST_METRICS = 100, 1000
@@ -92,7 +100,8 @@ def _number(v) -> bool:
 def log_rows(rows: DataFrame, tracker: Tracker, name: str, params: list[str], metrics: list[str], parent: str | None = None) -> DataFrame:
     """run_name, run_id: each of ``rows`` logged as a run of its own, named by its column ``name``; run_id is null where the tracker can't be reached.
 
-    Nothing is sent before an action runs on the result.
+    Nothing is sent before an action runs on the result, and a task that is retried logs its rows once more;
+    ``save_runs`` logs once.
     """
     tracker.open()
 
@@ -106,3 +115,81 @@ def log_rows(rows: DataFrame, tracker: Tracker, name: str, params: list[str], me
             yield pd.DataFrame({"run_name": b[name].astype(str), "run_id": pd.Series(ids, b.index, object)})
 
     return rows.select(*dict.fromkeys([name, *params, *metrics])).mapInPandas(run, "run_name string, run_id string")
+
+
+@dataclass
+class Staged(WriterCommitMessage):
+    path: str | None
+
+
+class RunsWriter(DataSourceArrowWriter):
+    """Rows (name, params, metrics: maps) staged by tasks, logged by the commit, which keeps one task's rows in memory at a time."""
+
+    def __init__(self, options: dict):
+        self.folder, self.parent = options["path"], options.get("parent") or None
+        self.tracker = Tracker(**json.loads(options["tracker"]))
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Staged:
+        system, root = files.opened(self.folder)
+        path = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            if path is None:
+                system.create_dir(root, recursive=True)
+                path = f"{root}/{uuid.uuid4().hex}.staged"
+                out = system.open_output_stream(path)
+            for row in batch.select(["name", "params", "metrics"]).to_pylist():
+                out.write(json.dumps(row, default=str).encode() + b"\n")
+        if path is not None:
+            out.close()
+        return Staged(path)
+
+    def commit(self, messages: list[Staged | None]) -> None:
+        system, root = files.opened(self.folder)
+        system.create_dir(root, recursive=True)
+        with system.open_output_stream(f"{root}/runs.jsonl") as ids:
+            for path in [m.path for m in messages if m and m.path]:
+                with system.open_input_stream(path) as f:
+                    rows = f.read().splitlines()
+                for row in map(json.loads, rows):
+                    run = self.tracker.start(row["name"], self.parent)
+                    self.tracker.log(run, dict(row["params"]), dict(row["metrics"]))
+                    self.tracker.end(run)
+                    ids.write(json.dumps({"run_name": row["name"], "run_id": run}).encode() + b"\n")
+        self._clear(system, root)
+
+    def abort(self, messages: list[Staged | None]) -> None:
+        system, root = files.opened(self.folder)
+        self._clear(system, root)
+
+    @staticmethod
+    def _clear(system, root: str) -> None:
+        """Staged files go, those of attempts that failed among them."""
+        for info in files.listed(system, root, ".staged"):
+            system.delete_file(info.path)
+
+
+class RunsDataSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "tracker"
+
+    def schema(self) -> str:
+        return "name string, params map<string,string>, metrics map<string,double>"
+
+    def writer(self, schema, overwrite: bool) -> RunsWriter:
+        return RunsWriter(dict(self.options))
+
+
+def save_runs(rows: DataFrame, tracker: Tracker, name: str, params: list[str], metrics: list[str], parent: str | None = None) -> DataFrame:
+    """run_name, run_id: each of ``rows`` logged as a run of its own, once, named by its column ``name``; run_id is null where the tracker can't be reached."""
+    spark = rows.sparkSession
+    tracker.open()
+    spark.dataSource.register(RunsDataSource)
+    folder = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    pairs = lambda columns, kind: F.map_from_arrays(F.array(*map(F.lit, columns)).cast("array<string>"), F.array(*(F.col(c).cast(kind) for c in columns)).cast(f"array<{kind}>"))
+    staged = rows.select(F.col(name).cast("string").alias("name"), pairs(params, "string").alias("params"), pairs(metrics, "double").alias("metrics"))
+    given = {k: v for k, v in asdict(tracker).items() if k != "failures"}
+    staged.write.format("tracker").mode("append").options(tracker=json.dumps(given), parent=parent or "").save(folder)
+    return spark.read.schema("run_name string, run_id string").json(f"{folder}/runs.jsonl")

@@ -1,8 +1,8 @@
-"""Lifecycles of jobs and operations as append-only events, the same in batch and as a stream."""
+"""Lifecycles of jobs and operations as append-only events; ``state`` has them as a stream."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # States of an operation in order, final ones, and how long states are kept.
@@ -31,11 +31,3 @@ def alive(states: DataFrame, now, ttl: int = TTL_SECONDS) -> DataFrame:
 
 def can_follow(before: str, after: str) -> bool:
     return after in ALLOWED.get(before, ())
-
-
-def stream_lifecycle(spark: SparkSession, path: str, schema, table: str, checkpoint: str, to_event=lambda df: df):
-    """Keeps ``lifecycle`` of the events in the files of ``path`` in a memory table; stops when all are read."""
-    events = to_event(spark.readStream.schema(schema).parquet(path))
-    query = lifecycle(events).writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(table)

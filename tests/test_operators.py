@@ -237,14 +237,11 @@ def test_retries_and_routes(spark):
     assert got["a"].data["total"] == '"5"' and got["b"].data["total"] is None and any(w.startswith("Seite 2: ") for w in got["a"].warnings)
 
 
-def test_jobs_in_batch_and_as_a_stream(spark, tmp_path):
+def test_jobs_in_batch(spark):
     rows = [("a", "notStarted", 1), ("a", "succeeded", 3), ("a", "running", 2), ("b", "running", 1)]
     df = spark.createDataFrame(rows, "id string, status string, t long").select("id", "status", F.timestamp_seconds("t").alias("updated_at"))
-    df.coalesce(1).write.parquet(f"{tmp_path}/e")
     batch = sorted((r.id, r.status, r.n_events, r.is_final) for r in jobs.lifecycle(df).collect())
     assert batch == [("a", "succeeded", 3, True), ("b", "running", 1, False)]
-    stream = jobs.stream_lifecycle(spark, f"{tmp_path}/e", df.schema, "job_states", f"{tmp_path}/c")
-    assert sorted((r.id, r.status, r.n_events, r.is_final) for r in stream.collect()) == batch
     assert {(r.id, r.status) for r in jobs.latest(df).collect()} == {("a", "succeeded"), ("b", "running")}
     assert jobs.can_follow("running", "succeeded") and not jobs.can_follow("succeeded", "running")
 

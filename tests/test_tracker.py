@@ -3,8 +3,9 @@ import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
+from pyspark.sql import functions as F
 
-from quillspark.sources.tracker import Tracker, log_rows
+from quillspark.sources.tracker import Tracker, log_rows, save_runs
 
 
 @pytest.fixture
@@ -60,3 +61,20 @@ def test_failures_are_swallowed(spark):
         tracker.end(None)
         assert tracker.url(None) is None
         assert tracker.failures == (4 if uri.startswith("http") else 0)  # looked for and created, twice
+
+
+def test_runs_are_logged_once_when_all_rows_are_there(spark, server, tmp_path):
+    uri, calls = server
+    tracker = Tracker(uri, "bench marks").open()
+    rows = spark.createDataFrame([(f"r{i}", None if i else "x", float("nan") if i == 1 else i / 2) for i in range(9)], "runner string, model string, cer double").repartition(3)
+    with pytest.raises(Exception, match="lost"):  # one task fails after others have staged their rows: nothing is sent
+        save_runs(rows.withColumn("cer", F.when(F.col("runner") == "r5", F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("cer"))), tracker, "runner", ["model"], ["cer"])
+    assert not [1 for path, _ in calls if path == "runs/create"]
+    got = {r.run_name: r.run_id for r in save_runs(rows, tracker, "runner", ["model"], ["cer"], "p").collect()}
+    assert got == {f"r{i}": f"r-r{i}" for i in range(9)}
+    created = [b["run_name"] for path, b in calls if path == "runs/create"]
+    assert sorted(created) == sorted(got) and sum(path == "runs/update" for path, _ in calls) == 9
+    logged = {b["run_id"]: ({p["key"]: p["value"] for p in b["params"]}, {m["key"]: m["value"] for m in b["metrics"]}) for path, b in calls if path == "runs/log-batch"}
+    assert logged["r-r0"] == ({"model": "x"}, {"cer": 0.0}) and logged["r-r1"] == ({"model": ""}, {}) and logged["r-r4"] == ({"model": ""}, {"cer": 2.0})
+    assert {r.run_id for r in save_runs(rows.limit(2), Tracker(""), "runner", [], ["cer"]).collect()} == {None}
+    assert save_runs(rows.limit(0), tracker, "runner", [], ["cer"]).count() == 0
