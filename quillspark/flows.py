@@ -55,8 +55,8 @@ def archive_entries(spark, d):
     path = F.concat(F.lit("site"), (k % 7).cast("string"), F.lit("/"), k.cast("string"), F.when(k % 3 == 0, ".txt").otherwise(".html"))
     at = f"{shared_dir(spark)}/zips-{uuid.uuid4().hex}"
     zips.write(table(spark, d, "pages").select(path.alias("path"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content")), at)
-    own = zips.read(spark, at, partitionbytes=1 << 20)
-    some = own.filter(F.col("path").startswith("site3/")).unionByName(own.filter(F.col("path").endswith(".txt")).filter(~F.col("path").startswith("site0/") & ~F.col("path").startswith("site3/")))
+    own = lambda: zips.read(spark, at, partitionbytes=1 << 20)
+    some = own().filter(F.col("path").startswith("site3/")).unionByName(own().filter(F.col("path").endswith(".txt")).filter(~F.col("path").startswith("site0/") & ~F.col("path").startswith("site3/")))
     return some.select("path", "size", F.sha2("content", 256).alias("digest"))
 
 

@@ -51,15 +51,25 @@ class Job:
 
     def cancel(self) -> bool:
         """Whether the job is cancelled by this or an earlier call: a job that has ended stays as it is."""
-        if self.status in (PENDING, RUNNING):
+        if self.status in (PENDING, RUNNING) and not self._cancelled.is_set():
             self._cancelled.set()
-            self.spark.interruptTag(self.tag)
+            InheritableThread(target=self._interrupt, daemon=True, session=self.spark).start()
         return self._cancelled.is_set()
 
+    def _interrupt(self) -> None:
+        """Again until the job has ended: a wave may be about to begin."""
+        while self._thread is not None and self._thread.is_alive():
+            self.spark.sparkContext.cancelJobsWithTag(self.tag)
+            self._thread.join(0.5)
+
     def _work(self) -> None:
+        if self._cancelled.is_set():
+            self.status = CANCELLED
+            return
         self.status = RUNNING
-        self.spark.addTag(self.tag)
-        self.spark.sparkContext.setInterruptOnCancel(True)
+        context = self.spark.sparkContext
+        context.addJobTag(self.tag)
+        context.setInterruptOnCancel(True)
         try:
             last = self.rows_in.agg(F.max("file_index")).first()[0]
             for wave in sorted(set(range(self.waves)) - self.finished()):
@@ -73,7 +83,7 @@ class Job:
             self.error = None if self._cancelled.is_set() else f"{type(e).__name__}: {e}"
             self.status = CANCELLED if self._cancelled.is_set() else FAILED
         finally:
-            self.spark.removeTag(self.tag)
+            context.removeJobTag(self.tag)
 
     def finished(self) -> set[int]:
         """The waves that have been committed."""

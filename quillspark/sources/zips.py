@@ -4,7 +4,9 @@ Reading plans by size: small archives are read whole by one task, several togeth
 directory alone is read first, and their entries are dealt to tasks. Files are read by range: the directory
 at the end, then the entries that are wanted. Predicates on archive and path (equality, membership, prefix,
 suffix, containment) are taken before anything is inflated, and with option ``content`` false nothing is.
-A task holds one entry at a time besides some 8 MB of rows that wait to be passed on.
+A task holds one entry at a time besides some 8 MB of rows that wait to be passed on. In Spark 4.1 all uses
+of one such DataFrame within a plan share its reader, and with it the predicates of the last: call ``read``
+once for each way of filtering.
 
 Defined cases: directories and resource forks (__MACOSX) aren't entries; entries that can't be read, for damage or a
 password, and those longer than option ``most`` have null content and an error; archives that can't be

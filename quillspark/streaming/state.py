@@ -79,7 +79,8 @@ class Lifecycle(StatefulProcessor):
 def changes(events: DataFrame, ttl: int = TTL_SECONDS, late: str = "0 seconds") -> DataFrame:
     """A stream of changes (see CHANGE) from a stream of events (id, status, at, seq), which may come ``late``. A null seq counts as the lowest."""
     events.sparkSession.conf.set(*STORE)
-    own = events.select("id", "status", "at", F.coalesce("seq", F.lit(-(2**63))).alias("seq"), F.unix_micros("at").alias("micros"))
+    own = events.select("id", "status", F.col("at").cast("timestamp").alias("at"), F.coalesce("seq", F.lit(-(2**63))).alias("seq"))
+    own = own.withColumn("micros", F.unix_micros("at"))
     schema = CHANGE.format(events.schema["id"].dataType.simpleString())
     return own.withWatermark("at", late).groupBy("id").transformWithStateInPandas(Lifecycle(ttl), schema, "Append", "EventTime")
 

@@ -178,4 +178,4 @@ def test_written_archives_come_back(spark, tmp_path):
 
 
 def test_threads_keep_their_own_tags(spark):
-    assert threading.current_thread() is threading.main_thread() and not any(t.startswith("benchmark-") for t in spark.getTags())
+    assert threading.current_thread() is threading.main_thread() and not any(t.startswith("benchmark-") for t in spark.sparkContext.getJobTags())
