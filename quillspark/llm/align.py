@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import textvec
-from quillspark.llm.common import map_arrow, materialize
+from quillspark.llm.common import map_arrow, materialize, tidy
 
 A_NAME, B_NAME = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text a block, about; segments of blocks that one bucket takes, about; blocks whose segments meet.
@@ -229,7 +229,7 @@ def bucketed(held: DataFrame, buckets: int, sets: int) -> DataFrame:
                 order = np.argsort(by, kind="stable")
                 cuts = np.flatnonzero(np.concatenate([[True], np.diff(by[order]) != 0, [True]]))
                 packed = [_packed(segments.take(pa.array(order[x:y]))) for x, y in zip(cuts, cuts[1:])]
-                codes = [order[x:y].astype("<u4").tobytes() for x, y in zip(cuts, cuts[1:])]
+                codes = [_planes(np.diff(order[x:y], prepend=0)) for x, y in zip(cuts, cuts[1:])]
                 k = len(packed)
                 yield pa.RecordBatch.from_arrays([pa.array(by[order[cuts[:-1]]].astype(np.int32)), pa.array(np.full(k, block * 0x9E3779B1 % sets, np.int32)), pa.array(np.full(k, block, np.int64)), pa.array(codes, pa.binary()), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary())], ["bucket", "part", "block", "codes", "sizes", "data"])
 
@@ -241,22 +241,27 @@ def _packed(strings: pa.Array) -> tuple[bytes, bytes]:
     strings = strings.cast(pa.large_binary())
     offsets = np.frombuffer(strings.buffers()[1], np.int64, len(strings) + 1, 8 * strings.offset)
     data = strings.buffers()[2]
-    return np.diff(offsets).astype("<u4").tobytes(), b"" if data is None else memoryview(data)[offsets[0] : offsets[-1]].tobytes()
+    return _planes(np.diff(offsets)), b"" if data is None else memoryview(data)[offsets[0] : offsets[-1]].tobytes()
 
 
-#: What a block knows of its segments, packed: per code ok, n_a, n_b, n_links; of all of them a, b and ends.
-_KINDS = {"codes": "<u4", "ok": "u1", "n_a": "<u4", "n_b": "<u4", "n_links": "<u4", "a": "<u4", "b": "<u4", "ends": "u1"}
-_ALIGNED = f"block long, {', '.join(f'{c} binary' for c in _KINDS)}"
+#: What a block knows of its segments, packed: ascending codes as differences; per code ok, n_a, n_b, n_links; of all of them
+#: a and b, and the bits of ends.
+_ALIGNED = "block long, codes binary, ok binary, n_a binary, n_b binary, n_links binary, a binary, b binary, ends binary"
 
 
-def _read(table: pa.Table, column: str) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, _KINDS[column]) for x in table[column].to_pylist()])
+def _bits(ends: np.ndarray) -> bytes:
+    return np.packbits(np.concatenate([ends & 1, ends >> 1])).tobytes()
+
+
+def _ends(bits: bytes, n: int) -> np.ndarray:
+    both = np.unpackbits(np.frombuffer(bits, np.uint8), count=2 * n)
+    return both[:n] | both[n:] << 1
 
 
 def _aligned_bucket(a_path: str, b_path: str):
     def run(table: pa.Table) -> pa.Table:
         textvec.only("align")
-        sizes = [np.frombuffer(x, "<u4").astype(np.int64) for x in table["sizes"].to_pylist()]
+        sizes = [_numbers(x) for x in table["sizes"].to_pylist()]
         each = np.concatenate(sizes)
         offsets = np.concatenate([[0], np.cumsum(each)]).astype(np.int64)
         segments = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(each), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(table["data"].to_pylist()))])
@@ -265,10 +270,12 @@ def _aligned_bucket(a_path: str, b_path: str):
         of, at = coded.indices.to_numpy().astype(np.int64), np.cumsum([0, *map(len, sizes)])
         first = {c: np.cumsum(found[n]) - found[n] for c, n in (("a", "n_a"), ("b", "n_b"), ("ends", "n_links"))}
         out = {"block": table["block"], "codes": table["codes"]}
-        for c in ("ok", "n_a", "n_b", "n_links"):
-            out[c] = pa.array([found[c][of[x:y]].astype(_KINDS[c]).tobytes() for x, y in zip(at, at[1:])], pa.binary())
-        for c, n in (("a", "n_a"), ("b", "n_b"), ("ends", "n_links")):
-            out[c] = pa.array([found[c][_runs(first[c][of[x:y]], found[n][of[x:y]])].astype(_KINDS[c]).tobytes() for x, y in zip(at, at[1:])], pa.binary())
+        rows = [of[x:y] for x, y in zip(at, at[1:])]
+        out["ok"] = pa.array([np.packbits(found["ok"][r]).tobytes() for r in rows], pa.binary())
+        for c in ("n_a", "n_b", "n_links"):
+            out[c] = pa.array([_planes(found[c][r]) for r in rows], pa.binary())
+        for c, n, pack in (("a", "n_a", _planes), ("b", "n_b", _planes), ("ends", "n_links", _bits)):
+            out[c] = pa.array([pack(found[c][_runs(first[c][r], found[n][r])]) for r in rows], pa.binary())
         textvec.trim()
         return pa.table(out)
 
@@ -282,11 +289,17 @@ class _Block:
         whole, parts = rows.filter(pc.is_valid(rows["doc_ids"])).to_pylist()[0], rows.filter(pc.is_null(rows["doc_ids"]))
         self.doc_ids, self.bounds, self.places = whole["doc_ids"], np.array(whole["bounds"], np.int64), _numbers(whole["places"])
         self.doc = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
-        read = {c: _read(parts, c).astype(np.int64) if len(parts) else np.zeros(0, np.int64) for c in _KINDS}
-        order = np.argsort(read["codes"])
-        self.ok, self.n_a, self.n_b, self.n_links = (read[c][order] for c in ("ok", "n_a", "n_b", "n_links"))
-        own = lambda c, n: read[c][_runs((np.cumsum(read[n]) - read[n])[order], read[n][order])]
-        self.a, self.b, self.ends = own("a", "n_a"), own("b", "n_b"), own("ends", "n_links")
+        parts = [{c: parts[c][i].as_py() for c in parts.column_names} for i in range(len(parts))]
+        per_code = [np.stack([np.cumsum(_numbers(r["codes"])), *(_numbers(r[c]) for c in ("n_a", "n_b", "n_links"))]) for r in parts]
+        ok = [np.unpackbits(np.frombuffer(r["ok"], np.uint8), count=x.shape[1]) for r, x in zip(parts, per_code)]
+        flat = [[_numbers(r["a"]), _numbers(r["b"]), _ends(r["ends"], int(x[3].sum()))] for r, x in zip(parts, per_code)]
+        none = np.zeros(0, np.int64)
+        codes, n_a, n_b, n_links = np.concatenate(per_code, 1) if parts else (none,) * 4
+        a, b, ends = (np.concatenate([f[i] for f in flat]).astype(np.int64) if parts else none for i in range(3))
+        order = np.argsort(codes)
+        own = lambda values, n: values[_runs((np.cumsum(n) - n)[order], n[order])]
+        self.a, self.b, self.ends = own(a, n_a), own(b, n_b), own(ends, n_links)
+        self.ok, self.n_a, self.n_b, self.n_links = (np.concatenate(ok) if parts else none)[order], n_a[order], n_b[order], n_links[order]
         #: Of each link the code, and the places of its tokens in a and b.
         self.code = np.repeat(np.arange(len(order)), self.n_links)
         ends_a, ends_b = self.ends & 1, self.ends >> 1
@@ -353,6 +366,7 @@ class Alignment:
         self.aligned = materialize(packed.groupBy("bucket", "part").applyInArrow(_aligned_bucket(a_path, b_path), _ALIGNED), "alignments")
         #: block, link (a << 32 | b), own: in how many documents of the block a is linked with b.
         self.links = materialize(self._each(_counted, "block long, link long, own long"), "links")
+        tidy(docs.sparkSession, True)  # what was shuffled to count goes before the same is shuffled to compose
         found = materialize(self.links.groupBy("link").agg(F.sum("own").alias("n")), "link-counts")
         found = found.select("link", F.shiftright("link", 32).alias("a"), F.col("link").bitwiseAND(2**32 - 1).alias("b"), "n")
         best = found.groupBy("a").agg(F.max("n").alias("most"))  # a row for each id of A

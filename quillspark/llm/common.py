@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
-import tempfile
+import gc
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import textvec
+from quillspark.session import shared_dir
 
 #: Bounds of the batches that Python workers receive, unless the session sets its own.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": (str(64 << 20), str(8 << 20))}
@@ -26,15 +27,6 @@ HOT_KEYS = 10_000
 _made: list[tuple[SparkSession, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a temporary one of this machine."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -59,9 +51,10 @@ def _clean() -> None:
             return
 
 
-def tidy(spark: SparkSession) -> None:
+def tidy(spark: SparkSession, now: bool = False) -> None:
     """Lets the driver's collector run, and with it Spark's cleaner: shuffles and broadcasts that nothing refers to go, everywhere."""
-    if time.monotonic() - _tidied[0] > TIDY_SECONDS:
+    if now or time.monotonic() - _tidied[0] > TIDY_SECONDS:
+        gc.collect()
         textvec.trim()
         spark.sparkContext._jvm.System.gc()
         _tidied[0] = time.monotonic()

@@ -8,14 +8,17 @@ far as its headers first, and inflates payloads only where the record passes and
 (option ``payload``, default true). Archives without the field, or uncompressed, are read too, by
 running through them.
 
-Writing goes through the commit protocol of data sources: a task writes files of its own name, and the
-commit writes the list of those that count. Files roll at ``FILE_BYTES``. Paths are URIs of any file
-system that pyarrow opens.
+Writing goes through the commit protocol of data sources: a task writes files of its own name, and each
+commit adds a list of those that count; readers take all lists together. An overwriting commit takes the
+place of all lists before it, and deletes their files. Files roll at ``FILE_BYTES``. Paths are URIs of any
+file system that pyarrow opens. In Spark 4.1 all uses of one such DataFrame within a plan share its reader, and
+with it the predicates of the last: call ``read`` once for each way of filtering.
 
 Defined cases: null html is an empty payload; a null url becomes ``urn:page:`` and the id; control
 characters in a url are percent-encoded; a null page_id is written as empty and read as null; of equal
 payloads of ``REVISIT_BYTES`` or more, rows with the smallest page_id (null last) are responses, all
-others revisits; an empty table gives an empty archive.
+others revisits; an empty table gives an empty archive; a payload of any length is one record, held in memory
+as a row is. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ SCHEMA = "page_id long, record_type string, uri string, record_id string, payloa
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _DATE = "2024-01-01T00:00:00Z"
 _HEADER_CHUNK = 1 << 12
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest"
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -172,11 +175,9 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         system, root = _open(self.path)
-        try:
-            with system.open_input_stream(f"{root}/{MANIFEST}") as f:
-                names = json.loads(f.read())
-            infos = system.get_file_info([f"{root}/{n}" for n in names])
-        except FileNotFoundError:
+        if lists := _manifests(system, root):
+            infos = system.get_file_info([f"{root}/{n}" for n in _listed(system, lists)])
+        else:
             infos = [i for i in system.get_file_info(fs.FileSelector(root, recursive=True)) if i.path.endswith((".warc", ".warc.gz"))]
         out: list[Files] = []
         room, most = 0, min(PARTITION_BYTES, max(LEAST_BYTES, sum(i.size for i in infos) // self.tasks))
@@ -213,14 +214,27 @@ class WarcReader(DataSourceReader):
             yield flush()
 
 
+def _manifests(system: fs.FileSystem, root: str) -> list[str]:
+    """The lists of all commits to a folder."""
+    return [i.path for i in system.get_file_info(fs.FileSelector(root, allow_not_found=True)) if i.base_name.startswith(MANIFEST)]
+
+
+def _listed(system: fs.FileSystem, lists: list[str]) -> list[str]:
+    names: list[str] = []
+    for path in lists:
+        with system.open_input_stream(path) as f:
+            names += json.loads(f.read())
+    return names
+
+
 @dataclass
 class Written(WriterCommitMessage):
     names: list[str]
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
-        self.path = options["path"]
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.overwrite = options["path"], overwrite
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         system, root = _open(self.path)
@@ -242,8 +256,12 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         system, root = _open(self.path)
         system.create_dir(root, recursive=True)
-        with system.open_output_stream(f"{root}/{MANIFEST}") as f:
+        before = _manifests(system, root) if self.overwrite else []
+        gone = _listed(system, before)
+        with system.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps([n for m in messages if m for n in m.names]).encode())
+        for path in [*before, *(f"{root}/{n}" for n in gone)]:
+            system.delete_file(path)
 
     def abort(self, messages: list[Written | None]) -> None:
         system, root = _open(self.path)
@@ -263,7 +281,7 @@ class WarcDataSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -282,9 +300,10 @@ def plan(pages: DataFrame) -> DataFrame:
     return out.select("page_id", "url", "payload", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
 
-def write(pages: DataFrame, path: str) -> None:
+def write(pages: DataFrame, path: str, mode: str = "append") -> None:
+    """Adds records of ``pages`` to the archives in ``path``, or, with mode overwrite, puts them in their place."""
     register(pages.sparkSession)
-    plan(pages).write.format("warc").mode("append").save(path)
+    plan(pages).write.format("warc").mode(mode).save(path)
 
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:

@@ -55,3 +55,15 @@ def test_other_archives(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     warc.write(spark.createDataFrame([], PAGES), f"file://{tmp_path}/e")
     assert warc.read(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_records_are_added_or_replaced(spark, tmp_path):
+    path = f"file://{tmp_path}/a"
+    some = lambda ids: spark.createDataFrame([(i, f"http://e.org/{i}", f"page {i}") for i in ids], PAGES)
+    warc.write(some(range(5)), path)
+    warc.write(some(range(5, 8)), path)
+    assert {r.page_id: bytes(r.payload) for r in warc.read(spark, path).collect()} == {i: f"page {i}".encode() for i in range(8)}
+    warc.write(some([9]), path, mode="overwrite")
+    assert [r.page_id for r in warc.read(spark, path).collect()] == [9]
+    warc.write(some([10]).withColumn("payload", F.lit("another")).withColumn("record_type", F.lit(1)), path)
+    assert {r.page_id for r in warc.read(spark, path).collect()} == {9, 10}
