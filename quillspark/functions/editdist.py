@@ -1,15 +1,19 @@
-"""Edit distance and indel similarity: bit-parallel routines on Python integers in Arrow UDFs.
+"""Edit distance and indel similarity: bit-parallel routines in Arrow UDFs.
 
 Distances follow Myers (1999) in Hyyrö's form (2003), the common subsequence Crochemore et al. (2001);
-both take any sequences, so characters and words go the same way. Common ends are cut off first.
+both take any sequences, so characters and words go the same way. Common ends are cut off first. Distances
+of an Arrow batch are found together: numpy lanes of 64 rows within a band about the diagonal, which widens
+for the pairs that turn out to lie farther apart; very different ones go through Python's long integers.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,25 +76,181 @@ def ratio(a: Sequence, b: Sequence) -> float:
     return 200.0 * common(a, b) / (len(a) + len(b)) if len(a) + len(b) else 100.0
 
 
+#: Half the width of the first band; beyond the widest, pairs go one at a time. Pairs and masks that are worked on together.
+BAND, WIDEST, TOGETHER, MASKS = 64, 1024, 512, 1 << 22
+_FULL = np.uint64(2**64 - 1)
+
+
+def distances(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Unit-cost edit distances of pairs of sequences of integers."""
+    out = np.zeros(len(pairs), np.int64)
+    todo: list[tuple[int, np.ndarray, np.ndarray]] = []
+    for i, (a, b) in enumerate(pairs):
+        n = min(len(a), len(b))
+        head = _equal(a[:n], b[:n])
+        tail = _equal(a[len(a) - n + head :][::-1], b[len(b) - n + head :][::-1])
+        a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+        if len(a) > len(b):
+            a, b = b, a
+        if len(a):
+            todo.append((i, a, b))
+        else:
+            out[i] = len(b)
+    todo.sort(key=lambda x: len(x[2]))
+    band = BAND
+    while todo and band <= WIDEST:
+        ready, later = [x for x in todo if len(x[2]) - len(x[1]) <= band], [x for x in todo if len(x[2]) - len(x[1]) > band]
+        chunk: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for x in [*ready, None]:
+            # Pairs of like length, not too many at a time, and masks that fit a cache or so.
+            if chunk and (x is None or len(chunk) >= TOGETHER or len(x[2]) > 1.5 * len(chunk[0][2]) + 64 or (len(chunk) + 1) * len(x[1]) * min(len(x[1]), 256) > 64 * MASKS):
+                found = _banded([(a, b) for _, a, b in chunk], band)
+                for (i, a, b), d in zip(chunk, found.tolist()):
+                    if d <= band:
+                        out[i] = d
+                    else:
+                        later.append((i, a, b))
+                chunk = []
+            if x is not None:
+                chunk.append(x)
+        todo, band = sorted(later, key=lambda x: len(x[2])), 4 * band
+    for i, a, b in todo:
+        out[i] = distance(a.tolist(), b.tolist())
+    return out
+
+
+def _equal(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements two sequences of one length have in common from the start."""
+    differ = a != b
+    return int(differ.argmax()) if differ.any() else len(a)
+
+
+def _banded(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray:
+    """Distances of pairs (shorter, longer) that lie within ``band``; others come out larger than it.
+
+    Word w of a pair, its rows 64 w + 1 to 64 w + 64, goes through column t - w at time t, one behind the word
+    above it, whose step it needs. So the words of all pairs are lanes of one array. A word takes part from the
+    column where its first row enters the band to that where its last one leaves; lanes are used in turn. Both
+    sequences are filled up with as many signs of their own, which match, until rows fill whole words.
+    """
+    words = np.array([-(-len(a) // 64) for a, _ in pairs])
+    fill = 64 * words - np.array([len(a) for a, _ in pairs])
+    columns = np.array([len(b) for _, b in pairs]) + fill
+    signs, base, masks, n = [], [], [], 0
+    codes = np.zeros((int(columns.max()), len(pairs)), np.int64)
+    for p, (a, b) in enumerate(pairs):
+        kinds, code = np.unique(a, return_inverse=True)
+        k = len(kinds) + 2  # 0: not in a; last: fills
+        rows = np.concatenate([code + 1, np.full(fill[p], k - 1)])
+        own = np.zeros(words[p] * k, np.uint64)
+        np.add.at(own, np.arange(len(rows)) // 64 * k + rows, np.uint64(1) << (np.arange(len(rows)) % 64).astype(np.uint64))
+        at = np.minimum(np.searchsorted(kinds, b), len(kinds) - 1)
+        codes[: len(b), p] = np.where(kinds[at] == b, at + 1, 0)
+        codes[len(b) : columns[p], p] = k - 1
+        signs.append(k)
+        base.append(n)
+        masks.append(own)
+        n += len(own)
+    mask, sign, base = np.concatenate(masks), np.array(signs), np.array(base)
+    lanes = (2 * band + 63) // 65 + 2
+    shape = (lanes, len(pairs))
+    plus, minus, score = np.full(shape, _FULL), np.zeros(shape, np.uint64), np.zeros(shape, np.int64)
+    up, down = np.zeros(shape, np.uint64), np.zeros(shape, np.uint64)  # steps along a word's last row: 1 where it rises, falls
+    out = np.zeros(len(pairs), np.int64)
+    ends = columns + words - 1
+    order = np.argsort(ends)
+    done, high, row, word = 0, -1, np.zeros(shape, np.int64), np.zeros(lanes, np.int64)
+    before, one, top, last = np.arange(-1, lanes - 1) % lanes, np.uint64(1), np.uint64(63), len(codes) - 1
+    most = int(words.max()) - 1
+    for t in range(1, int(ends.max()) + 1):
+        low = max(0, -(-(t - 64 - band) // 65))
+        first_up, first_down = up[before], down[before]
+        while high < min(t - 1, (t - 1 + band) // 65, most):
+            high += 1
+            at, above = high % lanes, (high - 1) % lanes
+            plus[at], minus[at] = _FULL, 0
+            score[at] = 64 if high == 0 else score[above] - up[above].view(np.int64) + down[above].view(np.int64) + 64
+            word = high - (high - np.arange(lanes)) % lanes  # of each lane: the last that took it
+            row[at] = base + np.minimum(high, words - 1) * sign
+        first_up[low % lanes], first_down[low % lanes] = 1, 0
+        eq = mask[row + codes[np.minimum(np.maximum(t - 1 - word, 0), last)]]
+        either = eq | minus
+        eq |= first_down
+        across = eq & plus
+        across += plus
+        across ^= plus
+        across |= eq
+        left = plus & across
+        across |= plus
+        right = minus | ~across
+        up, down = right >> top, left >> top
+        score += up.view(np.int64)
+        score -= down.view(np.int64)
+        right <<= one
+        right |= first_up
+        left <<= one
+        left |= first_down
+        minus = right & either
+        either |= right
+        plus = left | ~either
+        while done < len(order) and ends[order[done]] == t:
+            p = order[done]
+            out[p] = score[(words[p] - 1) % lanes, p]
+            done += 1
+    return out
+
+
 def word_diff(a: Sequence[str], b: Sequence[str]) -> list[tuple[str, str]]:
-    """eq, ins and del steps from a to b along a longest common subsequence; on ties insertions come last in the walk back."""
-    table = [[0] * (len(b) + 1)]
-    for x in a:
-        row, last = [0], table[-1]
-        for j, y in enumerate(b):
-            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
-        table.append(row)
+    """eq, ins and del steps from a to b along a longest common subsequence; on ties insertions come last in the walk back.
+
+    Rows of the table of lengths are kept as bits, set where a length doesn't grow; only each n-th row, n the
+    root of their number, and the rows between two of them while the walk is there. So 50,000 words a side take
+    a few megabytes.
+    """
+    at, full = _masks(b), (1 << len(b)) - 1
+
+    def below(row: int, x: str) -> int:
+        hit = row & at.get(x, 0)
+        return ((row + hit) | (row - hit)) & full
+
+    every = max(1, math.isqrt(len(a)))
+    kept, row = [full], full
+    for i, x in enumerate(a):
+        row = below(row, x)
+        if (i + 1) % every == 0:
+            kept.append(row)
+    block, rows = -1, [full]
+
+    def get(i: int) -> int:
+        nonlocal block, rows
+        if i // every != block:
+            block = i // every
+            rows = [kept[block]]
+            for x in a[block * every : block * every + every - 1]:
+                rows.append(below(rows[-1], x))
+        return rows[i % every]
+
+    def length(row: int, j: int) -> int:
+        return j - (row & ((1 << j) - 1)).bit_count()
+
     i, j, out = len(a), len(b), []
+    here, above = get(i), get(i - 1) if i else full
+    own, over = length(here, j), length(above, j)  # lengths at (i, j) and (i - 1, j)
     while i or j:
         if i and j and a[i - 1] == b[j - 1]:
+            out.append(("eq", a[i - 1]))
             i, j = i - 1, j - 1
-            out.append(("eq", a[i]))
-        elif j and (not i or table[i][j - 1] >= table[i - 1][j]):
+            here, above = above, get(i - 1) if i else full
+            own, over = length(here, j), length(above, j)
+        elif j and (not i or own - (not here >> (j - 1) & 1) >= over):
             j -= 1
             out.append(("ins", b[j]))
+            own, over = own - (not here >> j & 1), over - (not above >> j & 1)
         else:
             i -= 1
             out.append(("del", a[i]))
+            here, above = above, get(i - 1) if i else full
+            own, over = over, length(above, j)
     return out[::-1]
 
 
@@ -103,11 +263,14 @@ def _udf(split: str) -> Column:
 
     @F.pandas_udf("struct<distance: int, reference: int, hypothesis: int>")
     def measure(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-        rows = []
+        pairs = []
         for r, h in zip(ref, hyp):
-            x, y = cut(r or ""), cut(h or "")
-            rows.append((distance(x, y), len(x), len(y)))
-        return pd.DataFrame(rows, columns=["distance", "reference", "hypothesis"])
+            x, y = (np.frombuffer((s or "").encode("utf-32-le", "surrogatepass"), "<u4") if split == "chars" else cut(s or "") for s in (r, h))
+            if split != "chars":
+                code = pd.factorize(np.array([*x, *y], object))[0]
+                x, y = code[: len(x)], code[len(x) :]
+            pairs.append((x, y))
+        return pd.DataFrame({"distance": distances(pairs), "reference": [len(x) for x, _ in pairs], "hypothesis": [len(y) for _, y in pairs]})
 
     return measure
 

@@ -275,6 +275,46 @@ def diff_totals(diff: DataFrame, by: list[str]) -> DataFrame:
     return diff.groupBy(*by).agg(*(count(s) for s in ("matched", "mismatched", "only_ours", "only_theirs")))
 
 
+class _Lines:
+    """The lines of a text with counts of their characters, for the best of them, or of runs of them joined by spaces."""
+
+    def __init__(self, lines: list[str]):
+        self.lines = lines
+        self.letters = {c: i for i, c in enumerate(sorted({c for x in lines for c in x} | {" "}))}
+        self.counts = np.zeros((len(lines) + 1, len(self.letters)), np.int64)
+        for i, x in enumerate(lines):
+            np.add.at(self.counts[i + 1], [self.letters[c] for c in x], 1)
+        self.counts = self.counts.cumsum(0)
+
+    def best(self, want: str, runs: list[tuple[int, int]], threshold: float) -> tuple[float, int] | None:
+        """(score, which of ``runs``) of the first run most like ``want``, if like enough.
+
+        No common subsequence is longer than what two texts share of each character: that bounds a run's score, and
+        runs whose bound is below the best score so far are never compared.
+        """
+        if not runs:
+            return None
+        lo, hi = np.array(runs).T
+        have = self.counts[hi] - self.counts[lo]
+        have[:, self.letters[" "]] += hi - lo - 1
+        own, more = np.zeros(len(self.letters), np.int64), 0
+        for c in want:
+            if c in self.letters:
+                own[self.letters[c]] += 1
+            else:
+                more += 1
+        total = have.sum(1) + len(want)
+        bound = 200.0 * np.minimum(have, own).sum(1) / np.maximum(total, 1)
+        score, at = 0.0, -1
+        for k in np.lexsort((np.arange(len(runs)), -bound)).tolist():
+            if bound[k] < score or bound[k] < threshold:
+                break
+            s = editdist.ratio(want, " ".join(self.lines[lo[k] : hi[k]]))
+            if s > score or s == score and k < at:
+                score, at = s, k
+        return (score, at) if score > 0 and score >= threshold else None
+
+
 def align(candidate: str, source: str, threshold: float = ANCHOR) -> str:
     """The stretch of ``source`` lines that reads as ``candidate``; the candidate itself if its first line has no likeness there.
 
@@ -284,15 +324,16 @@ def align(candidate: str, source: str, threshold: float = ANCHOR) -> str:
     wanted = [x for x in (candidate or "").splitlines() if x.strip()]
     if not lines or not wanted:
         return candidate
-    score, first = max(((editdist.ratio(wanted[0], x), -i) for i, x in enumerate(lines)))
-    if score <= 0 or score < threshold:
+    known = _Lines(lines)
+    found = known.best(wanted[0], [(i, i + 1) for i in range(len(lines))], threshold)
+    if found is None:
         return candidate
-    end = first = -first
+    end = first = found[1]
     for want in wanted[1:]:
-        runs = ((i, i + n) for i in range(end, min(len(lines), end + 2 * MAX_JOIN)) for n in range(1, min(MAX_JOIN, len(lines) - i) + 1))
-        score, _, last = max(((editdist.ratio(want, " ".join(lines[i:j])), -k, j - 1) for k, (i, j) in enumerate(runs)), default=(0.0, 0, end))
-        if score > 0 and score >= threshold:
-            end = last
+        runs = [(i, i + n) for i in range(end, min(len(lines), end + 2 * MAX_JOIN)) for n in range(1, min(MAX_JOIN, len(lines) - i) + 1)]
+        found = known.best(want, runs, threshold)
+        if found is not None:
+            end = runs[found[1]][1] - 1
     return "\n".join(lines[first : end + 1])
 
 
