@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import calls
+from quillspark.functions import geometry as G
+from quillspark.functions import text as T
+from quillspark.operators import calls, matching
 from quillspark.plans import jobs, pages
 from quillspark.queries import query, table
 from quillspark.session import shared_dir
@@ -79,3 +81,50 @@ def benchmark_waves(spark, d):
     if job.start().wait() != jobs.DONE:
         raise RuntimeError(job.error)
     return job.rows().groupBy("runner_label").agg(F.count(F.lit(1)).alias("doc_count"), F.count_if(F.col("status") == "done").alias("success_count"), F.round(F.avg("text_chars"), 6).alias("mean_chars"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k, p_partkey % 7 AS i, p_size AS s FROM part)
+SELECT k, CASE WHEN i IN (0, 1) THEN list_transform(range(0, 2 * (2 + s % 5)), lambda v: (v * s)::DOUBLE / 4) END AS polygon FROM p WHERE NOT (i IN (0, 1) AND s % 5 < 2)
+UNION ALL SELECT k, NULL FROM p WHERE i IN (0, 1) AND s % 5 < 2""")
+def polygon_inputs(spark, d):
+    """Flat lists, lists of points, and what is neither; of two to six points."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
+    flat = F.transform(F.sequence(F.lit(0), 2 * (2 + F.col("s") % 5) - 1), lambda v: v * F.col("s") / 4)
+    points = F.transform(F.sequence(F.lit(0), 1 + F.col("s") % 5), lambda v: F.array(2 * v * F.col("s") / 4, (2 * v + 1) * F.col("s") / 4))
+    i = F.col("k") % 7
+    odd = F.when(i == 2, F.to_json(F.slice(flat, 2, 7))).when(i == 3, F.lit('[[0,0],[1],[1,1],[0,1]]')).when(i == 4, F.lit('["0",0,1,0,1,1,0,1]')).when(i == 5, F.lit("{}"))
+    return p.select("k", G.polygon(F.when(i == 0, F.to_json(flat)).when(i == 1, F.to_json(points)).otherwise(odd)).alias("polygon"))
+
+
+@query()
+def adopted_tokens(spark, d):
+    """The words of every turn, some misread or empty, with the tokens of the turn as its region; tested against a loop, as each choice depends on those before."""
+    turns = _turns(spark, d)
+    words = turns.select("page_id", F.posexplode(T.words(T.text("text"))).alias("word_idx", "w"))
+    words = words.select("page_id", "word_idx", F.lit(0).alias("region_idx"), F.when(F.col("word_idx") % 9 == 0, "").when(F.col("word_idx") % 4 == 0, F.translate("w", "eo", "co")).otherwise(F.col("w")).alias("content"))
+    return matching.adopt_tokens(words, turns.select("page_id", F.lit(0).alias("region_idx"), F.col("text").alias("content"))).select("page_id", "word_idx", "content")
+
+
+@query()
+def placed_tokens(spark, d):
+    """Every turn's tokens with the polygons of words that a detector read a little differently; tested on worked examples."""
+    turns = _turns(spark, d)
+    boxes = turns.select("page_id", F.posexplode(T.words(T.text("text"))).alias("idx", "w")).filter("idx % 7 <> 0")
+    x = (F.col("idx") * 10).cast("double")
+    boxes = boxes.select("page_id", "idx", F.upper("w").alias("content"), F.array(x, F.lit(0.0), x + 9, F.lit(0.0), x + 9, F.lit(5.0), x, F.lit(5.0)).alias("polygon"), F.lit(0.5).alias("confidence"))
+    return matching.words_of_text(turns.select("page_id", "text"), boxes).select("page_id", "idx", "content", F.size("polygon").alias("sides"), "confidence")
+
+
+@query()
+def anchored_lines(spark, d):
+    """The first lines of every document, misread, found again in the whole; tested against comparing all lines."""
+    docs = table(spark, d, "documents").select("doc_id", T.text("text").alias("text"))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    read = F.translate(F.array_join(F.slice(lines, 2, 3), "\n"), "eo", "c0")
+    return docs.select("doc_id", F.sha2(matching.source_text(read, F.col("text")), 256).alias("digest"))
+
+
+def _turns(spark, d):
+    """page_id, text of every turn."""
+    return table(spark, d, "conversations").select(F.xxhash64("conv_id", "turn", "role", "text").alias("page_id"), "text").dropDuplicates(["page_id"])

@@ -125,6 +125,18 @@ def flat(points: Column) -> Column:
     return F.flatten(points)
 
 
+def polygon(raw: Column) -> Column:
+    """A flat polygon of JSON that holds one, or a list of points of two numbers each; null for anything else, and for fewer than four points."""
+    own = F.when(raw.rlike(r"^\s*\["), raw)
+    kinds = F.get_json_object(own, "$")  # as a number or list; strings within keep their quotes
+    numbers = F.when(~kinds.contains('"'), F.from_json(own, "array<double>"))
+    points = F.when(~kinds.contains('"'), F.from_json(own, "array<array<double>>"))
+    whole = lambda c: F.forall(c, lambda v: v.isNotNull())
+    listed = F.when(whole(numbers) & (F.size(numbers) >= 8) & (F.size(numbers) % 2 == 0), numbers)
+    paired = F.when(whole(points) & F.forall(points, lambda q: (F.size(q) == 2) & F.forall(q, lambda v: v.isNotNull())) & (F.size(points) >= 4), F.flatten(points))
+    return F.coalesce(listed, paired)
+
+
 def confidence(raw: Column, kind: Column | None = None) -> Column:
     """A number of 0 to 1 from a string, else null; null too where ``kind`` says bool."""
     x = raw.cast("string").try_cast("double")

@@ -362,7 +362,7 @@ class Alignment:
         self.blocks = materialize(blocks(docs, aligner(a_path, b_path).breaks, block_bytes), "blocks")
         n = self.blocks.agg(F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum("n"), F.lit(0)).alias("segments")).first()
         packed = bucketed(self.blocks.select("block", "segments"), max(64, -(-n.segments // bucket_segments)), -(-n.blocks // SALTED) or 1)
-        #: A row for each block and bucket of segments: their alignments, packed as in _KINDS.
+        #: A row for each block and bucket of segments: their alignments, packed as _ALIGNED says.
         self.aligned = materialize(packed.groupBy("bucket", "part").applyInArrow(_aligned_bucket(a_path, b_path), _ALIGNED), "alignments")
         #: block, link (a << 32 | b), own: in how many documents of the block a is linked with b.
         self.links = materialize(self._each(_counted, "block long, link long, own long"), "links")

@@ -72,11 +72,60 @@ def label_words(words: DataFrame, regions: DataFrame, unknown: str = "Unbekannt"
     return out.withColumns({"label": F.coalesce("label", F.lit(unknown)), "kind": F.coalesce("kind", F.lit("other"))})
 
 
-def _best(text: str, tokens: list[str], used: set[int], threshold: float) -> int | None:
-    """The first of the unused tokens most like ``text``, if like enough."""
-    scored = [(editdist.ratio(text.lower(), t.lower()), -i) for i, t in enumerate(tokens) if i not in used and t]
-    score, at = max(scored, default=(0.0, 0))
-    return -at if scored and score > 0 and score >= threshold else None
+class _Tokens:
+    """Tokens that are taken one by one, each the first of those left that is most like a text, if like enough.
+
+    One that equals the text needs no search; of the others only those are compared that share enough
+    characters to be better than the best so far.
+    """
+
+    def __init__(self, tokens: list[str], threshold: float = MATCH):
+        self.low, self.threshold = [t.lower() for t in tokens], threshold
+        self.letters = {c: i for i, c in enumerate(sorted({c for t in self.low for c in t}))}
+        self.counts = np.zeros((len(tokens), len(self.letters)), np.int32)
+        for i, t in enumerate(self.low):
+            for c in t:
+                self.counts[i, self.letters[c]] += 1
+        self.sizes = np.array([len(t) for t in self.low], np.int64)
+        self.left = np.ones(len(tokens), bool)
+        self.equal: dict[str, list[int]] = {}
+        for i in range(len(tokens) - 1, -1, -1):
+            self.equal.setdefault(self.low[i], []).append(i)
+        self.next = 0
+
+    def take(self, text: str) -> int | None:
+        if not text:
+            return None
+        text = text.lower()
+        same = self.equal.get(text, [])
+        while same and not self.left[same[-1]]:
+            same.pop()
+        if same:
+            return self._taken(same[-1])
+        own = np.zeros(len(self.letters), np.int32)
+        for c in text:
+            if c in self.letters:
+                own[self.letters[c]] += 1
+        bound = np.where(self.left & (self.sizes > 0), 200.0 * np.minimum(self.counts, own).sum(1) / np.maximum(self.sizes + len(text), 1), 0.0)
+        some = np.flatnonzero((bound >= self.threshold) & (bound > 0))
+        score, at = 0.0, None
+        for k in some[np.lexsort((some, -bound[some]))].tolist():
+            if bound[k] < score:
+                break
+            s = editdist.ratio(text, self.low[k])
+            if s >= self.threshold and (s > score or s == score and k < at):
+                score, at = s, k
+        return None if at is None else self._taken(at)
+
+    def take_first(self) -> int | None:
+        """The first one left, whatever it reads."""
+        while self.next < len(self.low) and not self.left[self.next]:
+            self.next += 1
+        return self._taken(self.next) if self.next < len(self.low) else None
+
+    def _taken(self, k: int) -> int:
+        self.left[k] = False
+        return k
 
 
 def adopt_tokens(words: DataFrame, regions: DataFrame) -> DataFrame:
@@ -91,12 +140,11 @@ def adopt_tokens(words: DataFrame, regions: DataFrame) -> DataFrame:
     def adopt(rows: pd.Series, found: pd.Series) -> pd.Series:
         out = []
         for own, tokens_ in zip(rows, found):
-            tokens_, used, texts = [] if tokens_ is None else list(tokens_), set(), []
+            tokens_, texts = [] if tokens_ is None else list(tokens_), []
+            left = _Tokens(tokens_)
             for w in own:
                 content = (w["content"] or "").strip()
-                at = _best(content, tokens_, used, MATCH) if content else next((i for i in range(len(tokens_)) if i not in used), None)
-                if at is not None:
-                    used.add(at)
+                at = left.take(content) if content else left.take_first()
                 texts.append({"word_idx": w["word_idx"], "content": content if at is None else tokens_[at]})
             out.append(texts)
         return pd.Series(out)
@@ -117,10 +165,10 @@ def words_of_text(pages: DataFrame, polygons: DataFrame, detector_only: bool = F
         out = []
         for own, rows in zip(tokens, found):
             rows = [] if rows is None else list(rows)
-            texts, used, words = [(r["content"] or "").strip() for r in rows], set(), []
+            left, used, words = _Tokens([(r["content"] or "").strip() for r in rows]), set(), []
             word = lambda i, content: {"content": content, "polygon": list(rows[i]["polygon"]), "confidence": 1.0 if rows[i]["confidence"] is None else rows[i]["confidence"]}  # noqa: B023,E731
             for t in own:
-                at = _best(t, texts, used, MATCH)
+                at = left.take(t)
                 if at is not None:
                     used.add(at)
                 words.append({"content": t, "polygon": [], "confidence": 1.0} if at is None else word(at, t))

@@ -15,9 +15,11 @@ SCORES = ("token_jaccard", "token_precision", "token_recall", "token_f1")
 def with_token_scores(df: DataFrame, ref: str, hyp: str, names: tuple[str, ...] = SCORES) -> DataFrame:
     """Adds Jaccard, precision, recall and F1 of the sets of word tokens; ``ref`` is the reference side.
 
-    In steps, so that each text is tokenised once and not once per use.
+    In steps, so that each text is tokenised once and not once per use. The reference's distinct tokens are taken
+    from a column named ``ref``_tokens where there is one.
     """
-    out = df.withColumns({"_r": F.array_distinct(T.tokens(T.text(ref))), "_h": F.array_distinct(T.tokens(T.text(hyp)))})
+    known = F.col(f"{ref}_tokens") if f"{ref}_tokens" in df.columns else F.array_distinct(T.tokens(T.text(ref)))
+    out = df.withColumns({"_r": known, "_h": F.array_distinct(T.tokens(T.text(hyp)))})
     out = out.withColumns({"_both": F.size(F.array_intersect("_r", "_h")).cast("double"), "_nr": F.size("_r").cast("double"), "_nh": F.size("_h").cast("double")})
     both, r, h = F.col("_both"), F.col("_nr"), F.col("_nh")
     p, q = T.safe_div(both, h), T.safe_div(both, r)

@@ -27,9 +27,10 @@ def jobs(files: DataFrame, runners: DataFrame, most: int = MAX_RUNNERS) -> DataF
 
 
 def corrupted(documents: DataFrame, runners: dict = CORRUPTIONS) -> DataFrame:
-    """The documents once per runner: runner_label, hypothesis, reference. One scan, no join."""
+    """The documents once per runner: runner_label, hypothesis, reference and its distinct tokens, made once. One scan, no join."""
     made = F.array(*(F.struct(F.lit(n).alias("runner_label"), f(T.text("text")).alias("hypothesis")) for n, f in runners.items()))
-    return documents.select("doc_id", T.text("text").alias("reference"), F.inline(made))
+    own = documents.select("doc_id", "text", T.text("text").alias("reference"), F.array_distinct(T.tokens(T.text("text"))).alias("reference_tokens"))
+    return own.select("doc_id", "reference", "reference_tokens", F.inline(made))
 
 
 def with_references(files: DataFrame, references: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def score(rows: DataFrame, full: bool = False) -> DataFrame:
     """Adds text_chars, text_tokens, status and the token scores, with ``full`` the error rates too; scores are null without a reference."""
     ok = F.col("hypothesis").isNotNull()
     out = rows.withColumns({"status": F.when(ok, "done").otherwise("error"), "text_chars": F.length("hypothesis"), "text_tokens": F.size(T.tokens(T.text("hypothesis")))})
-    return metrics.against_reference(out, "reference", "hypothesis", rates=full)
+    return metrics.against_reference(out, "reference", "hypothesis", rates=full).drop("reference_tokens")
 
 
 def summary(scored: DataFrame) -> DataFrame:
