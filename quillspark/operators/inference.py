@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import structured as S
 from quillspark.functions import text as T
+from quillspark.session import written
 
 TASKS = ("ocr_text", "describe_image", "read_scene_text", "table_markdown", "summarize_document")
 # Messages that results carry.
@@ -90,7 +91,8 @@ def with_retries(requests: DataFrame, factory: Callable[[], Client], prompts: di
     """Rows with task, prompt, custom (bool), image, model, max_tokens, and text, doubts: up to three calls.
 
     ``prompts``: per task the shorter prompts of the second and third call. Rows in doubt, and only those,
-    are asked again; custom prompts never are. An answer that still echoes its first prompt is replaced.
+    are asked again; custom prompts never are. An answer that still echoes its first prompt is replaced. Each
+    round's answers are written before they are read: no action, and no executor lost later, asks again.
     """
     again = lambda i: F.element_at(F.create_map(*(F.lit(x) for t, p in prompts.items() for x in (t, p[i]))), F.col("task"))
     keep = requests.columns
@@ -98,12 +100,12 @@ def with_retries(requests: DataFrame, factory: Callable[[], Client], prompts: di
     out = complete(requests, factory).withColumns({"doubts": F.when(F.col("custom"), no_doubt).otherwise(doubtful(F.col("task"), F.col("prompt"), F.col("output"))), "first_prompt": F.col("prompt")})
     done = None
     for i in range(2):
-        out = out.persist()
+        out = written(out, "answers")
         settled = out.filter(F.size("doubts") == 0)
         done = settled if done is None else done.unionByName(settled)
         ask = out.filter(F.size("doubts") > 0).withColumn("prompt", again(i)).select(*keep, F.col("doubts").alias("earlier"), "first_prompt")
         out = complete(ask, factory).withColumn("doubts", doubtful(F.col("task"), F.col("prompt"), F.col("output"))).drop("earlier")
-    out = done.unionByName(out)
+    out = done.unionByName(written(out, "answers"))
     text = T.unwrap_fence(T.text("output"))
     text = F.when((text == "") & T.is_empty_fence(T.text("output")), T.empty_output_text(F.col("task"))).otherwise(text)
     echoed = ~F.col("custom") & F.col("task").isin("ocr_text", "describe_image") & T.prompt_echo(F.col("first_prompt"), text)

@@ -390,7 +390,14 @@ def page_offsets(spark, d):
     return projection.offsets(projection.contents(p)).select("doc_id", "page_number", "offset", F.length("content").alias("length"))
 
 
-@query()
+@query(r"""
+WITH c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS rn, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM conversations),
+o AS (SELECT *, coalesce(sum(CASE WHEN t <> '' THEN length(t) + 2 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+  regexp_extract_all(t, '\S+') AS ws, len(list_filter(regexp_split_to_array(t, '\r\n|[\n\r]'), lambda x: trim(x) <> '')) AS own FROM c),
+l AS (SELECT *, list_reduce(list_transform(ws, lambda w: {'n': 1, 'size': length(w)}), lambda x, y: CASE WHEN x.size + 1 + y.size <= 36 THEN {'n': x.n, 'size': x.size + 1 + y.size} ELSE {'n': x.n + 1, 'size': y.size} END) AS wrapped FROM o WHERE t <> ''
+  UNION ALL SELECT *, NULL FROM o WHERE t = '')
+SELECT conv_id AS doc_id, rn::INT AS page_number, (CASE WHEN t = '' THEN 0 WHEN own = 1 THEN wrapped.n ELSE own END)::INT AS n_lines, len(ws)::INT AS n_words, (t <> '')::INT AS n_paragraphs,
+  CASE WHEN t <> '' THEN (start + length(t) - length(list_last(ws)))::INT END AS last_offset FROM l""")
 def document_projection(spark, d):
     """Lines, words and paragraphs of every turn, with spans; tested on worked examples and by cutting spans out."""
     w = Window.partitionBy("conv_id").orderBy("turn", "text")
