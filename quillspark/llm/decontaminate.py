@@ -5,14 +5,14 @@ shingles are its 5-word runs (an item of fewer words is one shingle as a whole).
 document where a shingle of an item of m shingles occurs makes windows of m shingles that contain it;
 windows that share no shingle with any item can't be similar to one, so none is left out. Windows get a
 64-bit weighted SimHash. Item fingerprints are indexed by 8 blocks of 8 bits: two fingerprints within
-``RADIUS`` differ by at most RADIUS // 8 bits in some block, so looking up each block among the values
-that near finds all of them. What is found is verified by the weighted Jaccard similarity of the two
+``RADIUS`` differ by at most RADIUS // 8 bits in some block, so looking up each block among the items sorted
+by theirs, with all values that near, finds all of them. What is found is verified by the weighted Jaccard similarity of the two
 multisets of shingles; a shingle weighs 1 + ln(items / items that hold it).
 
 Benchmarks go to all tasks as an index of bounded size: one of more than ``PART_CHARS`` characters is
 dealt into parts by hash, and the corpus is read once per part. Documents are never shuffled.
 
-Defined cases: null texts are empty; an item without words matches nothing; equal items are each
+Defined cases: null texts are empty; texts of any length are searched whole; an item without words matches nothing; equal items are each
 reported; an item longer than the document is compared with the whole document; a null doc_id or
 item_id is passed through; empty tables give empty results. Extra columns are not read by ``matches``
 and are kept by ``clean``.
@@ -35,6 +35,8 @@ WIDTH, SIMILARITY = 5, 0.8
 #: A similarity of 0.8 makes 10 differing bits of 64 on average; 19 is more than three deviations above.
 RADIUS, BLOCKS = 19, 8
 PART_CHARS = 1 << 24
+#: Words of a text, and pairs of windows and items, that are worked on at a time.
+STRETCH, PAIRS = 1 << 16, 1 << 20
 _U = np.uint64
 _NEAR = np.array([sum(1 << b for b in bits) for k in range(RADIUS // BLOCKS + 1) for bits in combinations(range(8), k)], np.uint8)
 
@@ -85,12 +87,10 @@ class Index:
         self.tables = {}
         for key in {(w, m) for w, m in zip(self.widths.tolist(), self.sizes.tolist()) if w}:
             of = np.flatnonzero((self.widths == key[0]) & (self.sizes == key[1]))
-            near = np.zeros((BLOCKS, 256, len(of)), bool)
-            blocks = self.prints[of].view(np.uint8).reshape(-1, BLOCKS)
-            for j in range(len(of)):
-                for b in range(BLOCKS):
-                    near[b, blocks[j, b] ^ _NEAR, j] = True
-            self.tables[key] = (of, near)
+            blocks = self.prints[of].view(np.uint8).reshape(-1, BLOCKS).T
+            order = np.argsort(blocks, axis=1, kind="stable").astype(np.int32)  # per block the items by its value, and where each value begins
+            first = np.stack([np.searchsorted(np.sort(b), np.arange(257)) for b in blocks])
+            self.tables[key] = (of, order, first)
 
     def weights(self, tokens: np.ndarray) -> np.ndarray:
         if not len(self.df_keys):
@@ -99,9 +99,40 @@ class Index:
         return np.where(self.df_keys[at] == tokens, self.df_weight[at], self.most)
 
     def fingerprints(self, tokens: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-        sums = np.zeros((len(tokens) + 1, 64), np.float64)
-        np.cumsum(signs(tokens) * self.weights(tokens)[:, None], axis=0, out=sums[1:])
-        return np.packbits(sums[np.minimum(starts + size, len(tokens))] - sums[starts] > 0, axis=1).view(np.uint64).ravel()
+        """Of the windows at ``starts``, in ascending order; a stretch of the text at a time, so a long one takes no more memory."""
+        out = [np.zeros(0, np.uint64)]
+        at = 0
+        while at < len(starts):
+            base = int(starts[at])
+            end = int(np.searchsorted(starts, base + STRETCH))
+            own = tokens[base : int(starts[end - 1]) + size]
+            sums = np.zeros((len(own) + 1, 64), np.float64)
+            np.cumsum(signs(own) * self.weights(own)[:, None], axis=0, out=sums[1:])
+            mine = starts[at:end] - base
+            out.append(np.packbits(sums[np.minimum(mine + size, len(own))] - sums[mine] > 0, axis=1).view(np.uint64).ravel())
+            at = end
+        return np.concatenate(out)
+
+    def near(self, key: tuple[int, int], prints: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(window, item) of all fingerprints of items of width and size ``key`` within the radius, windows in order.
+
+        Each block of a window is looked up among the items sorted by theirs, with every value that near. Windows go
+        in chunks, so memory is bounded however many items there are.
+        """
+        of, order, first = self.tables[key]
+        own, step = self.prints[of], max(1, PAIRS // len(of))
+        for at in range(0, len(prints), step):
+            some = prints[at : at + step]
+            found = [np.zeros(0, np.int64)]
+            for b, values in enumerate(some.view(np.uint8).reshape(-1, BLOCKS).T):
+                v = (values[:, None] ^ _NEAR).astype(np.int64)
+                lo, n = first[b][v].ravel(), (first[b][v + 1] - first[b][v]).ravel()
+                window = np.repeat(np.repeat(np.arange(len(some)), len(_NEAR)), n)
+                item = order[b][np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)]
+                ok = np.bitwise_count(some[window] ^ own[item]) <= RADIUS
+                found.append(window[ok] * len(of) + item[ok])
+            for pair in np.unique(np.concatenate(found)).tolist():
+                yield at + pair // len(of), int(of[pair % len(of)])
 
     def score(self, tokens: np.ndarray, item: int) -> float:
         x, nx = np.unique(tokens, return_counts=True)
@@ -126,7 +157,6 @@ class Index:
         items = item[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         found: dict[int, tuple[float, int]] = {}
         for size in np.unique(self.sizes[items]).tolist():
-            of, near = self.tables[(width, size)]
             last = max(0, len(tokens) - size)
             edge = np.zeros(last + 2, np.int64)
             mine = np.unique(hits[self.sizes[items] == size])
@@ -134,13 +164,8 @@ class Index:
             np.add.at(edge, np.minimum(mine, last) + 1, -1)
             starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
             prints = self.fingerprints(tokens, starts, size)
-            blocks = prints.view(np.uint8).reshape(-1, BLOCKS)
-            close = np.zeros((len(starts), len(of)), bool)
-            for b in range(BLOCKS):
-                close |= near[b, blocks[:, b]]
-            i, j = np.nonzero(close)
-            ok = np.bitwise_count(prints[i] ^ self.prints[of[j]]) <= RADIUS
-            for s, k in zip(starts[i[ok]].tolist(), of[j[ok]].tolist()):
+            for i, k in self.near((width, size), prints):
+                s = int(starts[i])
                 if found.get(k, (0, 0))[0] < 1:
                     score = self.score(tokens[s : s + size], k)
                     if score >= self.similarity and score > found.get(k, (0, 0))[0]:

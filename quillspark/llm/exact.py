@@ -1,10 +1,11 @@
 """Exact dedup: a tree merge of digest runs, in DataFrame operations only.
 
 Texts are equal when identical after every character of ``[\\x20\\x09-\\x0D]`` is deleted. Each input
-partition's rows first shrink to a run: one entry per digest with the row that would stay and a count.
-Runs are then merged in rounds, ``FAN_IN`` neighbours into one (binomial rounds, several at a time):
-a round groups by (digest, run number >> bits), merging within the sending task first, so a digest that
-holds a third of all rows sends one entry per run and round. Every level keeps the entry with the most
+partition's rows first shrink to a run: one entry per digest, in order of digest, with the row that would
+stay and a count. Runs are then merged in rounds, eight neighbours into one (binomial rounds, three at a
+time): what eight runs hold of a digest meets in one task, by its hash; the task merges equal digests and
+writes its part of the new run in order. Each level is written, so a lost executor costs a round at most, and a
+digest that holds a third of all rows is one entry per run and round. Every level keeps the entry with the most
 code points, then the smallest doc_id, and carries a second, independent hash and the length of the
 normalised text; entries merge only where those agree too, so two texts with one SHA-256 would stay
 apart.
@@ -41,14 +42,19 @@ def digests(docs: DataFrame) -> DataFrame:
 def merged(rows: DataFrame, bits: int = FAN_IN_BITS) -> DataFrame:
     """The root of the tree: text_sha256, check, size, best (length, doc_id, row), copies."""
     rank = F.struct((-F.col("length")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    runs = rows.groupBy(*_KEYS, "run").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("copies"))
-    last = rows.agg(F.max("run")).first()[0] or 0
+    runs = _level(rows.groupBy(*_KEYS, "run").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("copies")), 0)
+    last, level = rows.agg(F.max("run")).first()[0] or 0, 0
     while last:
-        runs = runs.withColumn("run", F.shiftright("run", bits)).groupBy(*_KEYS, "run").agg(F.min("best").alias("best"), F.sum("copies").alias("copies"))
-        last >>= bits
+        last, level = last >> bits, level + 1
+        runs = _level(runs.withColumn("run", F.shiftright("run", bits)).groupBy(*_KEYS, "run").agg(F.min("best").alias("best"), F.sum("copies").alias("copies")), level)
     return runs.drop("run")
 
 
+def _level(runs: DataFrame, level: int) -> DataFrame:
+    """A level of the tree, written: the entries of each run in order of digest, parted by its hash."""
+    return materialize(runs.sortWithinPartitions("run", *_KEYS), f"runs-{level}")
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = materialize(digests(docs), "digests")

@@ -84,3 +84,35 @@ def test_parts_weigh_as_the_whole_benchmark(spark):
     whole, dealt = (sorted(map(tuple, decontaminate.matches(docs, bench, part_chars=n).collect())) for n in (1 << 24, 1500))
     assert len(whole) and [x[:2] for x in dealt] == [x[:2] for x in whole]
     assert all(abs(x[2] - y[2]) < 1e-6 for x, y in zip(dealt, whole))
+
+
+def test_lookup_in_chunks_finds_all_that_is_near(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(decontaminate, "PAIRS", 500)
+    index = decontaminate.Index.__new__(decontaminate.Index)
+    index.prints = rng.integers(0, 2**64, 120, dtype=np.uint64)
+    blocks = index.prints.view(np.uint8).reshape(-1, 8).T
+    index.tables = {(5, 9): (np.arange(120), np.argsort(blocks, axis=1, kind="stable"), np.stack([np.searchsorted(np.sort(b), np.arange(257)) for b in blocks]))}
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 30), replace=False)) for _ in range(200)], np.uint64)
+    prints = index.prints[rng.integers(0, 120, 200)] ^ flips
+    want = [(i, j) for i, p in enumerate(prints) for j, q in enumerate(index.prints) if bin(int(p) ^ int(q)).count("1") <= decontaminate.RADIUS]
+    assert list(index.near((5, 9), prints)) == want and len(want) > 100
+
+
+def test_long_texts_in_stretches(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    item = " ".join(word() for _ in range(40))
+    text = " ".join([*(word() for _ in range(3000)), item, *(word() for _ in range(3000)), item.replace(" ", "  ", 3)])
+    docs, bench = spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
+    whole = decontaminate.matches(docs, bench).collect()
+    monkeypatch.setattr(decontaminate, "STRETCH", 50)
+    index = next(decontaminate.indexes(bench, 1 << 20, 0.8))
+    import pyarrow as pa
+
+    assert [(i, [(k, s) for k, _, s in m]) for i, m in index.documents(pa.array([text, "x"]))] == [(0, [(0, 3000)])]
+    assert [(r.doc_id, r.item_id, r.start_word) for r in whole] == [(1, 7, 3000)]
