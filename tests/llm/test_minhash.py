@@ -56,10 +56,11 @@ def near(rng, docs, odd):
     return docs([(i, " ".join(r)) for i, r in enumerate(rows)], DOCS).repartition(3).union(odd.select("doc_id", "text"))
 
 
-@pytest.mark.parametrize("hubs", [minhash.HUBS, 0])
-def test_against_brute_force(spark, odd_docs, monkeypatch, hubs):
+@pytest.mark.parametrize("hubs, few", [(minhash.HUBS, minhash.BROADCAST_ROWS), (0, 0)])
+def test_against_brute_force(spark, odd_docs, monkeypatch, hubs, few):
     monkeypatch.setattr(minhash, "HUBS", hubs)
-    docs = near(random.Random(11), spark.createDataFrame, odd_docs)
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", few)
+    docs = near(random.Random(11 + hubs), spark.createDataFrame, odd_docs)
     got = minhash.near_duplicates(docs).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(docs.collect(), 85)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
@@ -88,13 +89,6 @@ def test_copies_edited_each_in_its_own_way(spark, monkeypatch):
     assert met[0].count() < 400  # of 4,560 pairs
 
 
-def test_many_documents_to_verify(spark, odd_docs, monkeypatch):
-    monkeypatch.setattr(minhash, "BROADCAST_ROWS", 0)
-    docs = near(random.Random(12), spark.createDataFrame, odd_docs)
-    got = minhash.near_duplicates(docs).collect()
-    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(docs.collect(), 85)
-
-
 def test_empty_table_and_no_links(spark, no_docs):
     assert minhash.near_duplicates(no_docs).count() == 0
     docs = spark.createDataFrame([(1, "a b c d e f g"), (2, None), (None, "h i")], DOCS)
