@@ -3,7 +3,9 @@
 Texts stay in Arrow's UTF-8 buffers: words, word hashes and word shingles come out as numpy arrays
 for a slice of documents at once, so no Python string is made per word. A word is a maximal run of
 bytes other than space, tab, LF, VT, FF and CR; A-Z are folded to a-z before hashing. Equal words of a
-slice are found by their bytes; each distinct one is hashed by BLAKE2b, whose collisions nobody can write.
+slice are found by their bytes. Hashes of words of up to eight bytes are a bijection of their bytes; longer
+ones are hashed by SipHash-2-4 (Aumasson and Bernstein, 2012), very long ones by BLAKE2b: nobody can write
+words that collide but by trying some 2**32 of them.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 19
+#: Longer words are hashed one at a time.
+SIP_BYTES = 256
 #: What operators keep in a Python worker between tasks, by operator; see ``only``.
 caches: dict[str, dict] = {}
 _U = np.uint64
@@ -32,6 +36,9 @@ _IS_WORD = np.ones(256, bool)
 _IS_WORD[[32, 9, 10, 11, 12, 13]] = False
 #: Word bytes where punctuation separates too.
 ALNUM = np.array([chr(b).isalnum() or b >= 128 for b in range(256)])
+#: Of words of up to eight bytes: which bytes are theirs, and the mark of their length.
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_LENGTH = np.array([(0xF8 + n << 56) % (1 << 64) for n in range(8)] + [0], np.uint64)
 _SHINGLE = _rng.integers(1, 1 << 63, 16, dtype=np.uint64) | _U(1)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -73,8 +80,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def word_hashes(words: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join([blake2b(w, digest_size=8).digest() for w in words.to_pylist()]), "<u8")
+def word_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words of ``sizes`` at ``starts`` in UTF-8 ``data``.
+
+    A word of up to eight bytes is one number: its bytes and, if it has fewer, a last byte that tells how many,
+    which is none that UTF-8 has. So no two of them have one hash.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    each = np.ndarray((len(padded) - 7,), "<u8", padded.data, 0, (1,))  # the eight bytes at every place
+    short = np.minimum(sizes, 8)
+    out = mix(each[starts] & _BYTES[short] | _LENGTH[short])
+    some = np.flatnonzero((sizes > 8) & (sizes <= SIP_BYTES))
+    out[some] = siphash(each, starts[some], sizes[some])
+    for i in np.flatnonzero(sizes > SIP_BYTES).tolist():
+        out[i] = int.from_bytes(blake2b(data[starts[i] : starts[i] + sizes[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def siphash(each: np.ndarray, starts: np.ndarray, sizes: np.ndarray, key: tuple[int, int] = (0x0706050403020100, 0x0F0E0D0C0B0A0908)) -> np.ndarray:
+    """SipHash-2-4 of the words at ``starts``, all at once; ``each``: the eight bytes at every place of the data."""
+    order = np.argsort(-sizes, kind="stable")  # words of as many parts lie in front of those of fewer
+    starts, sizes = starts[order], sizes[order]
+    parts = sizes >> 3
+    k0, k1 = map(_U, key)
+    # The initial state.
+    v = [np.full(len(starts), c, np.uint64) for c in (_U(0x736F6D6570736575) ^ k0, _U(0x646F72616E646F6D) ^ k1, _U(0x6C7967656E657261) ^ k0, _U(0x7465646279746573) ^ k1)]
+
+    def turned(x: np.ndarray, n: int) -> np.ndarray:
+        return x << _U(n) | x >> _U(64 - n)
+
+    def take(m: np.ndarray | None, rounds: int, n: int) -> None:
+        a, b, c, d = (x[:n] for x in v)
+        if m is not None:
+            d = d ^ m
+        for _ in range(rounds):
+            a, c = a + b, c + d
+            b, d = turned(b, 13) ^ a, turned(d, 16) ^ c
+            a = turned(a, 32)
+            a, c = a + d, c + b
+            d, b = turned(d, 21) ^ a, turned(b, 17) ^ c
+            c = turned(c, 32)
+        if m is not None:
+            a = a ^ m
+        for x, y in zip(v, (a, b, c, d)):
+            x[:n] = y
+
+    for i in range(int(parts.max(initial=0))):
+        n = int(np.searchsorted(-parts, -i, "left"))  # words of more than i parts
+        take(each[starts[:n] + 8 * i], 2, n)
+    take(each[starts + 8 * parts] & _BYTES[sizes & 7] | (sizes & 255).astype(np.uint64) << _U(56), 2, len(starts))
+    v[2] ^= _U(0xFF)
+    take(None, 4, len(starts))
+    out = np.empty(len(starts), np.uint64)
+    out[order] = v[0] ^ v[1] ^ v[2] ^ v[3]
+    return out
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -127,8 +186,8 @@ class Words:
 
     @cached_property
     def hashes(self) -> np.ndarray:
-        code, words = self.distinct
-        return word_hashes(words)[code]
+        data, _, fold = self._own
+        return word_hashes(fold[data], self.starts, self.ends - self.starts)
 
     def shingles(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each run of ``width`` words of one document, and per document the range of them.

@@ -117,8 +117,9 @@ class WordEncoder:
 
     def distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(begin, size, flat): the ids of distinct ``pieces`` (large binary)."""
-        keys, offsets = textvec.word_hashes(pieces), np.frombuffer(pieces.buffers()[1], np.int64, len(pieces) + 1, 8 * pieces.offset)
+        offsets = np.frombuffer(pieces.buffers()[1], np.int64, len(pieces) + 1, 8 * pieces.offset)
         starts, length, raw = offsets[:-1], np.diff(offsets), np.frombuffer(pieces.buffers()[2] or b"", np.uint8)
+        keys = textvec.word_hashes(raw, starts, length)
         size, known = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         for cache in (self.new, self.old):

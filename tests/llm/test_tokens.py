@@ -60,8 +60,24 @@ def test_pieces_that_collide_under_polynomial_hashes(spark, tmp_path):
 
 
 def test_pieces_of_one_hash_are_told_apart(monkeypatch):
-    monkeypatch.setattr(tokens.textvec, "word_hashes", lambda words: np.arange(len(words), dtype=np.uint64) % 3)
+    monkeypatch.setattr(tokens.textvec, "word_hashes", lambda data, starts, sizes: np.arange(len(starts), dtype=np.uint64) % 3)
     path = public_tokenizers.path(tokens.TOKENIZER)
     encode, whole = tokens.WordEncoder(path), Tokenizer.from_file(path)
     for text in ("one two three four five", "two five one six", "six six three one seven two"):
         assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from("ab\0é中\U0001f600"), st.characters(exclude_categories=["Cs"])), min_size=1, max_size=12), min_size=1, max_size=30))
+def test_hashes_tell_words_apart(words):
+    raw = [w.encode() for w in words]
+    sizes = np.array([len(w) for w in raw])
+    got = tokens.textvec.word_hashes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes, sizes)
+    assert len(set(zip(got.tolist(), raw))) == len(set(raw)) == len(set(got.tolist()))
+
+
+def test_siphash_as_published():
+    data = np.arange(64, dtype=np.uint8)
+    each = np.ndarray((57,), "<u8", data.data, 0, (1,))
+    got = tokens.textvec.siphash(each, np.array([0, 0, 0, 0]), np.array([15, 0, 8, 7]))
+    assert [hex(int(g)) for g in got] == ["0xa129ca6149be45e5", "0x726fdb47dd0e0e31", "0x93f5f5799a932462", "0xab0200f58b01d137"]
