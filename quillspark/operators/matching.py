@@ -18,6 +18,7 @@ from pyspark.sql.types import StringType
 from quillspark.functions import editdist
 from quillspark.functions import geometry as G
 from quillspark.functions import text as T
+from quillspark.functions.batches import by_row
 
 MATCH, ANCHOR = 70.0, 60.0
 MISREAD_DISTANCE = 120.0
@@ -136,19 +137,16 @@ def adopt_tokens(words: DataFrame, regions: DataFrame) -> DataFrame:
     tokens = regions.select("page_id", "region_idx", T.words(T.text("content")).alias("tokens"))
     grouped = words.groupBy("page_id", "region_idx").agg(F.array_sort(F.collect_list(F.struct("word_idx", "content"))).alias("words")).join(tokens, ["page_id", "region_idx"], "left")
 
-    @F.pandas_udf("array<struct<word_idx: int, content: string>>")
-    def adopt(rows: pd.Series, found: pd.Series) -> pd.Series:
-        out = []
-        for own, tokens_ in zip(rows, found):
-            tokens_, texts = [] if tokens_ is None else list(tokens_), []
-            left = _Tokens(tokens_)
-            for w in own:
-                content = (w["content"] or "").strip()
-                at = left.take(content) if content else left.take_first()
-                texts.append({"word_idx": w["word_idx"], "content": content if at is None else tokens_[at]})
-            out.append(texts)
-        return pd.Series(out)
+    def own(words: list[dict], tokens: list[str] | None) -> list[dict]:
+        tokens, texts = tokens or [], []
+        left = _Tokens(tokens)
+        for w in words:
+            content = (w["content"] or "").strip()
+            at = left.take(content) if content else left.take_first()
+            texts.append({"word_idx": w["word_idx"], "content": content if at is None else tokens[at]})
+        return texts
 
+    adopt = by_row(own, "array<struct<word_idx: int, content: string>>")
     return grouped.select("page_id", "region_idx", F.inline(adopt("words", "tokens"))).select("page_id", "word_idx", "region_idx", "content")
 
 
@@ -160,23 +158,20 @@ def words_of_text(pages: DataFrame, polygons: DataFrame, detector_only: bool = F
     """
     boxes = polygons.filter("size(polygon) > 0").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("idx", "content", "polygon", "confidence"))).alias("boxes"))
 
-    @F.pandas_udf("array<struct<content: string, polygon: array<double>, confidence: double>>")
-    def attach(tokens: pd.Series, found: pd.Series) -> pd.Series:
-        out = []
-        for own, rows in zip(tokens, found):
-            rows = [] if rows is None else list(rows)
-            left, used, words = _Tokens([(r["content"] or "").strip() for r in rows]), set(), []
-            word = lambda i, content: {"content": content, "polygon": list(rows[i]["polygon"]), "confidence": 1.0 if rows[i]["confidence"] is None else rows[i]["confidence"]}  # noqa: B023,E731
-            for t in own:
-                at = left.take(t)
-                if at is not None:
-                    used.add(at)
-                words.append({"content": t, "polygon": [], "confidence": 1.0} if at is None else word(at, t))
-            if detector_only:
-                words += [word(i, rows[i]["content"] or "") for i in range(len(rows)) if i not in used]
-            out.append(words)
-        return pd.Series(out)
-
+    def placed(tokens: list[str], rows: list[dict] | None) -> list[dict]:
+        rows = rows or []
+        left, used, words = _Tokens([(r["content"] or "").strip() for r in rows]), set(), []
+        word = lambda i, content: {"content": content, "polygon": rows[i]["polygon"], "confidence": 1.0 if rows[i]["confidence"] is None else rows[i]["confidence"]}
+        for t in tokens:
+            at = left.take(t)
+            if at is not None:
+                used.add(at)
+            words.append({"content": t, "polygon": [], "confidence": 1.0} if at is None else word(at, t))
+        if detector_only:
+            words += [word(i, rows[i]["content"] or "") for i in range(len(rows)) if i not in used]
+        return words
+
+    attach = by_row(placed, "array<struct<content: string, polygon: array<double>, confidence: double>>")
     joined = pages.select("page_id", T.words(T.text("text")).alias("tokens")).join(boxes, "page_id", "left")
     rows = joined.select("page_id", F.posexplode(attach("tokens", "boxes")).alias("idx", "w"))
     return rows.select("page_id", "idx", "w.content", "w.polygon", "w.confidence")
