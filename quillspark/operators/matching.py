@@ -32,7 +32,8 @@ def words_to_regions(words: DataFrame, regions: DataFrame, share: float = 0.1, l
     Equi-joins on page, level and cell: a box's level is that of its longer side, in powers of two, and it lies
     in the cells of half that width that it touches, 9 at most whatever its size. Words look for regions of
     their own level and higher ones in these cells, regions for words of higher levels. A page's boxes are
-    spread by cell, so a crowded page is no single task.
+    spread by cell, so a crowded page is no single task. Equal boxes of a page are looked up once: words share the
+    answer, and of equal regions only the first can be one.
     """
     edge = lambda side: tuple(f"{side}{c}" for c in ("x1", "y1", "x2", "y2"))
 
@@ -54,7 +55,10 @@ def words_to_regions(words: DataFrame, regions: DataFrame, share: float = 0.1, l
         held = other.agg(F.collect_set(levels).alias("levels"))
         return celled(df.join(F.broadcast(held)), side, F.explode(F.filter("levels", lambda x: fits(x, F.col(f"{side}level"))))).drop("levels")
 
-    w, r = sized(words, "word_idx", "w"), sized(regions, "region_idx", "r")
+    every, r = sized(words, "word_idx", "w"), sized(regions, "region_idx", "r")
+    box = ["page_id", *edge("w")]
+    w = every.select(*box, "wlevel").distinct()
+    r = r.groupBy("page_id", *edge("r"), "rlevel").agg(F.min("region_idx").alias("region_idx"))
     on = ["page_id", "level", "cx", "cy"]
     pairs = probing(w, "w", r, "rlevel", lambda x, own: x >= own).join(celled(r, "r", F.col("rlevel")), on)
     pairs = pairs.unionByName(probing(r, "r", w, "wlevel", lambda x, own: x > own).join(celled(w, "w", F.col("wlevel")), on))
@@ -62,7 +66,8 @@ def words_to_regions(words: DataFrame, regions: DataFrame, share: float = 0.1, l
     wide, high = F.least("wx2", "rx2") - F.greatest("wx1", "rx1"), F.least("wy2", "ry2") - F.greatest("wy1", "ry1")
     inside = pairs.filter((wide > 0) & (high > 0) & (wide * high / F.greatest(F.lit(least_area), area("w")) > share))
     best = F.min(F.struct(area("r").alias("area"), "region_idx"))
-    return inside.groupBy("page_id", "word_idx").agg(best["region_idx"].alias("region_idx"))
+    found = inside.groupBy(*box).agg(best.alias("best"))
+    return every.join(found, box).groupBy("page_id", "word_idx").agg(F.min("best")["region_idx"].alias("region_idx"))
 
 
 def label_words(words: DataFrame, regions: DataFrame, unknown: str = "Unbekannt") -> DataFrame:
