@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -44,6 +45,11 @@ def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def given(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once for each row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(c, f"^{_SPACE}+|{_SPACE}+$", "")
@@ -108,23 +114,28 @@ def prompt_echo(prompt: Column, output: Column) -> Column:
     """Whether a model gave back its instructions: equality, prefixes, containment, markers, fragments, overlap."""
     plain = lambda c: squeeze(F.regexp_replace(F.lower(strip(c)), "[^0-9a-zA-ZäöüÄÖÜß]+", " "))
     long = lambda c: F.filter(F.split(c, " "), lambda t: F.length(t) >= 3)
-    p, o = plain(prompt), plain(output)
-    np, no = F.length(p), F.length(o)
-    enough = F.greatest(F.lit(12), F.floor(np * 0.35).cast("int"))
-    mine, theirs = long(o), F.array_distinct(long(p))
-    hits = reduce(lambda a, b: a + b, (o.contains(m).cast("int") for m in INSTRUCTION_MARKERS))
-    shared = F.size(F.filter(mine, lambda t: F.array_contains(theirs, t)))
-    rules = [
-        o == p,
-        (no >= 12) & p.startswith(o),
-        (np >= 12) & o.startswith(p),
-        (no >= enough) & p.contains(o),
-        (np >= enough) & o.contains(p),
-        (hits >= 2) & (F.size(F.split(o, " ")) <= 34),
-        contains_any(o, INSTRUCTION_FRAGMENTS),
-        (F.size(mine) > 0) & (F.size(theirs) > 0) & (F.size(mine) <= 24) & (safe_div(shared.cast("double"), F.size(mine).cast("double")) >= 0.72),
-    ]
-    return (p != "") & (o != "") & reduce(or_, rules)
+
+    def overlap(mine: Column, theirs: Column) -> Column:
+        shared = F.size(F.filter(mine, lambda t: F.array_contains(theirs, t)))
+        return (F.size(theirs) > 0) & (safe_div(shared.cast("double"), F.size(mine).cast("double")) >= 0.72)
+
+    def echoes(p: Column, o: Column) -> Column:
+        np, no = F.length(p), F.length(o)
+        enough = F.greatest(F.lit(12), F.floor(np * 0.35).cast("int"))
+        hits = reduce(lambda a, b: a + b, (o.contains(m).cast("int") for m in INSTRUCTION_MARKERS))
+        rules = [
+            o == p,
+            (no >= 12) & p.startswith(o),
+            (np >= 12) & o.startswith(p),
+            (no >= enough) & p.contains(o),
+            (np >= enough) & o.contains(p),
+            (hits >= 2) & (F.size(F.split(o, " ")) <= 34),
+            contains_any(o, INSTRUCTION_FRAGMENTS),
+            given(long(o), lambda mine: F.size(mine).between(1, 24) & given(F.array_distinct(long(p)), lambda theirs: overlap(mine, theirs))),
+        ]
+        return (p != "") & (o != "") & reduce(or_, rules)
+
+    return given(plain(prompt), lambda p: given(plain(output), lambda o: echoes(p, o)))
 
 
 def image_description(output: Column) -> Column:
@@ -138,20 +149,21 @@ def no_visible_text(output: Column) -> Column:
 
 def ocr_transcript(output: Column) -> Column:
     """Whether an output looks like transcribed lines: short lines with figures, fields or capitals."""
-    all_ = lines(output)
-    n = F.size(all_)
-    count = lambda test: F.size(F.filter(all_, test))
-    short = count(lambda x: F.size(words(x)) <= 5)
-    numeric = count(lambda x: x.rlike(r"\p{Nd}"))
-    fields = count(lambda x: x.rlike(r"[:#=/|]"))
-    upper = count(lambda x: (F.length(x) >= 6) & (F.regexp_count(x, F.lit(r"\p{Lu}")) > 0.6 * F.greatest(F.lit(1), F.regexp_count(x, F.lit(r"\p{L}")))))
-    rules = [
-        (short >= F.greatest(F.lit(3), F.floor(n * 0.6).cast("int"))) & ((numeric >= 2) | (fields >= 2)),
-        (n == 2) & (numeric >= 1) & (fields >= 1) & (short == 2),
-        (numeric >= 3) & (fields >= 1),
-        (upper >= 2) & (numeric >= 1),
-    ]
-    return (n >= 2) & reduce(or_, rules)
+    is_upper = lambda x: (F.length(x) >= 6) & (F.regexp_count(x, F.lit(r"\p{Lu}")) > 0.6 * F.greatest(F.lit(1), F.regexp_count(x, F.lit(r"\p{L}"))))
+    tests = {"short": lambda x: F.size(words(x)) <= 5, "numeric": lambda x: x.rlike(r"\p{Nd}"), "fields": lambda x: x.rlike(r"[:#=/|]"), "upper": is_upper}
+
+    def transcribed(c: Column) -> Column:
+        n, short, numeric, fields, upper = (c[x] for x in ("n", *tests))
+        rules = [
+            (short >= F.greatest(F.lit(3), F.floor(n * 0.6).cast("int"))) & ((numeric >= 2) | (fields >= 2)),
+            (n == 2) & (numeric >= 1) & (fields >= 1) & (short == 2),
+            (numeric >= 3) & (fields >= 1),
+            (upper >= 2) & (numeric >= 1),
+        ]
+        return reduce(or_, rules)
+
+    counts = lambda all_: F.struct(F.size(all_).alias("n"), *(F.size(F.filter(all_, test)).alias(name) for name, test in tests.items()))
+    return given(lines(output), lambda all_: (F.size(all_) >= 2) & given(counts(all_), transcribed))
 
 
 def empty_output_text(task: Column) -> Column:
@@ -176,10 +188,10 @@ def wrap(c: Column, width: Column | int) -> Column:
 
 def paragraphs(c: Column) -> Column:
     """Blocks between blank lines if there are several; else 2 to 12 lines; else the whole."""
-    whole = strip(c)
-    blocks = F.filter(F.transform(F.split(whole, "\n\n"), strip), lambda x: x != "")
-    rows = lines(whole)
-    return F.when(whole == "", F.array().cast("array<string>")).when(F.size(blocks) > 1, blocks).when(F.size(rows).between(2, 12), rows).otherwise(F.array(whole))
+    blocks = lambda whole: F.filter(F.transform(F.split(whole, "\n\n"), strip), lambda x: x != "")
+    by_line = lambda whole: given(lines(whole), lambda rows: F.when(F.size(rows).between(2, 12), rows).otherwise(F.array(whole)))
+    by_block = lambda whole: given(blocks(whole), lambda own: F.when(F.size(own) > 1, own).otherwise(by_line(whole)))
+    return given(strip(c), lambda whole: F.when(whole == "", F.array().cast("array<string>")).otherwise(by_block(whole)))
 
 
 def page_content(regions: Column) -> Column:
