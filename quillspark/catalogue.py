@@ -132,13 +132,14 @@ def quad_cells(spark, d):
     a, k = F.col("a"), F.col("k")
     points = F.array(F.array(a[0] + 1, a[1]), F.array(a[2], a[1] + 1), F.array(a[2] - 1, a[3]), F.array(a[0], a[3] - 1))
     turned = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.get(points, ((i + k) % 4).cast("int")))
-    df = _boxed(spark, d).select("k", G.flat(points).alias("p"), G.quad(G.flat(turned)).alias("q"))
     nine = lambda c: F.transform(c, lambda x: F.round(x, 9))
-    corner = lambda c: F.array(F.col(f"q.{c}.x"), F.col(f"q.{c}.y")).alias(c)
-    half, one = F.lit(0.5), F.lit(1.0)
-    middle = F.slice(G.cell_in_quad(F.col("q"), half, one, half, one), 1, 2)
+    names, half, one = ("tl", "tr", "br", "bl"), F.lit(0.5), F.lit(1.0)
+    middle = lambda q: nine(F.slice(G.cell_in_quad(q, half, one, half, one), 1, 2)).alias("center")
+    whole = lambda q: F.struct(*(F.array(q[c]["x"], q[c]["y"]).alias(c) for c in names), middle(q))
+    quad = T.given(G.flat(turned), lambda p: T.given(G.quad(p), whole))
+    df = _boxed(spark, d).select("k", G.flat(points).alias("p"), F.inline(F.array(quad)))
     page = F.array(*map(F.lit, (100.0, 50.0, 400.0, 250.0)))
-    return df.select("k", *map(corner, ("tl", "tr", "br", "bl")), nine(middle).alias("center"), nine(F.slice(G.to_page(F.col("p"), page), 1, 2)).alias("on_page"), nine(F.slice(G.scale_polygon(F.col("p"), F.lit(500), F.lit(250)), 1, 2)).alias("scaled"))
+    return df.select("k", *names, "center", nine(F.slice(G.to_page(F.col("p"), page), 1, 2)).alias("on_page"), nine(F.slice(G.scale_polygon(F.col("p"), F.lit(500), F.lit(250)), 1, 2)).alias("scaled"))
 
 
 _ANSWERS = ["invoice_basic", " `Receipt_Basic` fits", "it is TABLE_BASIC", "invoice_basic or receipt_basic", "none", "", "business_card_basic\n"]

@@ -71,14 +71,13 @@ def distance(a: Column, b: Column) -> Column:
 
 def quad(p: Column) -> Column:
     """struct(tl, tr, br, bl) of the first four points by sums and differences; null if there are fewer."""
-    points = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(F.get(p, i * 2).alias("x"), F.get(p, i * 2 + 1).alias("y"), i.alias("i")))
+    points = [(F.get(p, F.lit(2 * i)), F.get(p, F.lit(2 * i + 1))) for i in range(4)]
 
     def pick(by, largest: bool) -> Column:
-        keyed = F.transform(points, lambda q: F.struct((-by(q) if largest else by(q)).alias("k"), q["i"].alias("i"), q["x"].alias("x"), q["y"].alias("y")))
-        best = F.array_min(keyed)
-        return F.struct(best["x"].alias("x"), best["y"].alias("y"))
+        keyed = [F.struct((-by(x, y) if largest else by(x, y)).alias("k"), F.lit(i).alias("i"), F.struct(x.alias("x"), y.alias("y")).alias("at")) for i, (x, y) in enumerate(points)]
+        return F.least(*keyed)["at"]
 
-    total, lean = lambda q: q["x"] + q["y"], lambda q: q["x"] - q["y"]
+    total, lean = lambda x, y: x + y, lambda x, y: x - y
     corners = F.struct(pick(total, False).alias("tl"), pick(lean, True).alias("tr"), pick(total, True).alias("br"), pick(lean, False).alias("bl"))
     return F.when(F.size(p) >= 8, corners)
 

@@ -2,6 +2,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quillspark.functions import editdist as E
+from quillspark.functions import geometry as G
 from quillspark.functions import text as T
 from quillspark.operators import matching
 
@@ -28,3 +29,12 @@ def test_equal_pairs_are_measured_once(spark, monkeypatch):
 def test_texts_are_worked_on_once(spark):
     for made in (T.paragraphs(F.col("own_text")), T.ocr_transcript(F.col("own_text")), T.prompt_echo(F.lit("read"), F.col("own_text"))):
         assert str(made).count("own_text") == 1
+
+
+def test_corners_are_picked_without_functions_of_higher_order(spark):
+    got = str(G.quad(F.col("own_polygon")))
+    assert "lambda" not in got
+    points = spark.createDataFrame([([5.0, 6.0, 0.0, 0.0, 6.0, 0.0, 0.0, 5.0],), ([1.0, 1.0] * 4,), ([1.0, 2.0],)], "p array<double>")
+    rows = [r.q for r in points.select(G.quad(F.col("p")).alias("q")).collect()]
+    assert [tuple(map(tuple, (rows[0].tl, rows[0].tr, rows[0].br, rows[0].bl)))] == [((0.0, 0.0), (6.0, 0.0), (5.0, 6.0), (0.0, 5.0))]
+    assert tuple(rows[1].tl) == (1.0, 1.0) and rows[2] is None
