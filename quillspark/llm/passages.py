@@ -61,10 +61,15 @@ _SEEDS = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, 4, dtype=n
 _PLACES = "key long, ctx long, node long, c int, left int, right int, first int, last int"
 
 
+def text_hashes(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Of each text's sequence of tokens, as signed longs."""
+    place = np.arange(1, len(tokens) + 1) - np.repeat(bounds[:-1], np.diff(bounds))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(textvec.mix(tokens + place.astype(np.uint64) * _U(0x9E3779B97F4A7C15)), dtype=np.uint64)])
+    return textvec.mix(sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64)
+
+
 def text_hash(tokens: np.ndarray) -> int:
-    """Of a sequence of tokens, as a signed long."""
-    h = textvec.mix(tokens + np.arange(1, len(tokens) + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)
-    return int(textvec.mix(np.array([h], np.uint64)).view(np.int64)[0])
+    return int(text_hashes(tokens, np.array([0, len(tokens)]))[0])
 
 
 def windows(tokens: np.ndarray, bounds: np.ndarray, f: int, often: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
@@ -111,15 +116,14 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
     for batch in batches:
         for _, data, offsets in textvec.slices(batch.column(0)):
             tokens, bounds = textvec.Words(data, offsets).shingles(WIDTH)
-            nodes, fresh = [], np.zeros(len(offsets) - 1, bool)
-            for d, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-                node = text_hash(tokens[a:b]) if b - a >= TOKENS else 0
-                nodes.append(node)
-                if b - a >= TOKENS and node not in seen:
+            large = np.diff(bounds) >= TOKENS
+            nodes, fresh = np.where(large, text_hashes(tokens, bounds), 0).tolist(), np.zeros(len(offsets) - 1, bool)
+            for d in np.flatnonzero(large).tolist():
+                if nodes[d] not in seen:
                     fresh[d] = True
                     if len(seen) >= _SEEN:
                         seen.clear()
-                    seen.add(node)
+                    seen.add(nodes[d])
             yield tokens, bounds, nodes, fresh
 
 
@@ -171,12 +175,11 @@ def shared_tokens(docs: DataFrame, total: int) -> np.ndarray:
 
     def two_tags(marks: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each mark with its least and, if there are others, its greatest tag."""
-        order = np.lexsort((tags, marks))
-        marks, tags = marks[order], tags[order]
-        edge = np.flatnonzero(np.concatenate([[True], marks[1:] != marks[:-1]])) if len(marks) else np.zeros(0, np.int64)
-        last = np.append(edge[1:], len(marks))[: len(edge)] - 1
-        more = last[tags[last] != tags[edge]]
-        return np.concatenate([marks[edge], marks[more]]), np.concatenate([tags[edge], tags[more]])
+        both = np.sort(marks.astype(np.uint64) << _U(16) | tags)  # a mark has 40 bits: a sort of numbers, not by two keys
+        both = both[np.append(True, both[1:] != both[:-1])[: len(both)]]
+        step = both[1:] >> _U(16) != both[:-1] >> _U(16)
+        both = both[(np.append(True, step) | np.append(step, True))[: len(both)]]
+        return both >> _U(16), (both & _U(0xFFFF)).astype(np.uint16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -220,6 +223,15 @@ def places_of(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
     def posted(tokens: np.ndarray, bounds: np.ndarray, nodes: np.ndarray, fresh: np.ndarray) -> Iterator[pa.RecordBatch]:
         often = _has(shared.value, tokens)
+        # Only texts with a run of so many shared tokens, different or not, can have a place; the others' tokens end here.
+        many = np.concatenate([[0], np.cumsum(often)])
+        many = np.flatnonzero(many[TOKENS:] - many[:-TOKENS] >= NEED) if len(often) >= TOKENS else np.zeros(0, np.int64)
+        at = np.searchsorted(many, bounds[:-1])
+        some = np.flatnonzero(fresh & (np.append(many, len(tokens))[at] + TOKENS <= bounds[1:]))
+        if not len(some):
+            return
+        size, own = np.diff(bounds)[some], np.repeat(np.isin(np.arange(len(nodes)), some), np.diff(bounds))
+        tokens, often, bounds, nodes, fresh = tokens[own], often[own], np.concatenate([[0], np.cumsum(size)]), nodes[some], fresh[some]
         good = np.flatnonzero(different(tokens, often) >= NEED)
         if not len(good):
             return

@@ -146,3 +146,10 @@ def test_recall_and_precision_against_brute_force(spark):
         return least
 
     assert sum(x == y for x, y in zip(classes(got), classes(near))) >= 0.97 * len(docs)
+
+
+def test_hashes_of_many_texts_are_those_of_each():
+    rng = np.random.Generator(np.random.PCG64(3))
+    tokens, bounds = rng.integers(0, 1 << 63, 400, dtype=np.uint64), np.array([0, 0, 46, 130, 130, 400])
+    each = [passages.text_hash(tokens[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+    assert passages.text_hashes(tokens, bounds).tolist() == each and len(set(each)) == 4
