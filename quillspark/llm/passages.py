@@ -15,9 +15,9 @@ line said over and over is no passage, unless the whole text has copies.
    repeat each other, whatever stands between, and only the first of them goes on. A variant holds any
    number of windows; it is made by aggregation, never gathered.
 4. Variants of one signature are joined by interval (what two windows have in common around c must hold a
-   run): first with one hub, the variant of the least text; what repeats the hub leaves, the rest goes on
-   with another one, then with ``FAN`` times as many each time, until none is left. So every two variants
-   are compared or linked to a hub.
+   run): first with one hub, the variant of the least text; what repeats the hub with all its runs that may
+   repeat leaves, the rest goes on with another one, then with ``FAN`` times as many each time, until none
+   is left. So every two variants are compared, or one of them repeats a hub from end to end.
 5. Candidates are verified on the tokens of the regions around the places, one region per pair of texts
    and offset.
 
@@ -315,8 +315,8 @@ def _interval(a: str, b: str):
 def repeats(docs: DataFrame, total: int, texts: int) -> DataFrame:
     """node, other, first, last: stretches of text ``node`` that repeat in text ``other``; ``total`` tokens in ``texts`` texts."""
     places = materialize(places_of(docs, shared_tokens(docs, total)), "places")
-    variants = places.groupBy("key", "ctx").agg(F.min(F.struct("node", "c")).alias("rep"), F.max("node").alias("most"), F.max("left").alias("left"), F.max("right").alias("right"))
-    variants = materialize(variants.select("key", "ctx", F.col("rep.node").alias("node"), F.col("rep.c").alias("c"), "most", "left", "right"), "variants")
+    variants = places.groupBy("key", "ctx").agg(F.min(F.struct("node", "c", "first", "last")).alias("rep"), F.max("node").alias("most"), F.max("left").alias("left"), F.max("right").alias("right"))
+    variants = materialize(variants.select("key", "ctx", F.col("rep.node").alias("node"), F.col("rep.c").alias("c"), F.col("rep.first").alias("start"), F.col("rep.last").alias("stop"), "most", "left", "right"), "variants")
     lists = materialize(variants.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("most").alias("hi")).filter("lo <> hi").select("key", "n"), "lists")
     # What repeats within a variant, and the other places of its first text.
     wide = variants.join(lists, "key").select("key", "ctx", F.col("node").alias("rep"), F.col("c").alias("rep_c"), "most", "n")
@@ -324,7 +324,7 @@ def repeats(docs: DataFrame, total: int, texts: int) -> DataFrame:
     other = F.when(F.col("node") == F.col("rep"), F.col("most")).otherwise(F.col("rep"))
     long = lambda df: df.select("node", "other", F.col("first").cast("long"), F.col("last").cast("long"))
     found = [long(inside.filter("rep <> most").select("node", other.alias("other"), "first", "last"))]
-    rest = materialize(variants.join(lists.filter("n > 1"), "key").select("key", "ctx", "node", "c", "left", "right"), "rest")
+    rest = materialize(variants.join(lists.filter("n > 1"), "key").select("key", "ctx", "node", "c", "start", "stop", "left", "right"), "rest")
     twins = inside.filter("n > 1 and node = rep and c <> rep_c").select("key", "ctx", (F.col("c") - F.col("rep_c")).alias("shift"))
     if rest.isEmpty():
         return found[0].distinct()
@@ -337,16 +337,17 @@ def repeats(docs: DataFrame, total: int, texts: int) -> DataFrame:
         by = F.xxhash64("node") if hubs_each <= FAN else F.xxhash64("node", "ctx")
         hub = rest.groupBy("key", F.pmod(by, F.lit(hubs_each))).agg(F.min(F.struct("node", "c", "ctx", "left", "right")).alias("hub"))
         hub = hub.select("key", *(F.col(f"hub.{x}").alias(f"hub_{x}") for x in ("node", "c", "ctx", "left", "right")))
-        tested = materialize(rest.join(hub, "key").filter("node <> hub_node").filter(_interval("", "hub_")).select("key", "ctx", "node", "c", "hub_node", "hub_c"), "tested")
+        tested = materialize(rest.join(hub, "key").filter("node <> hub_node").filter(_interval("", "hub_")).select("key", "ctx", "node", "c", "start", "stop", "hub_node", "hub_c"), "tested")
         first = F.col("node") < F.col("hub_node")
         pairs = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("node", "hub_node", "a"), ("c", "hub_c", "ca"), ("hub_node", "node", "b"), ("hub_c", "c", "cb"))]
         got = materialize(verified(materialize(_regions(tested.select(*pairs)), "regions"), held), "verified")
         found.append(got)
         mine = _islands(got, ["node", "other"]).withColumnRenamed("other", "hub_node")
-        same = materialize(tested.join(mine, ["node", "hub_node"]).filter("c >= first and c < last").select("key", "ctx", "node", "c", F.col("hub_node").alias("other"), "first", "last"), "matched")
+        same = materialize(tested.join(mine, ["node", "hub_node"]).filter("c >= first and c < last").select("key", "ctx", "node", "c", "start", "stop", F.col("hub_node").alias("other"), "first", "last"), "matched")
         near = lambda x, edge: x(F.col(edge), F.col("c") + (TOKENS if edge == "last" else 1 - TOKENS)) + F.col("shift")
         found.append(long(same.join(twins, ["key", "ctx"]).select("node", "other", near(F.greatest, "first").alias("first"), near(F.least, "last").alias("last"))))
-        gone = same.select("key", "ctx").union(hub.select("key", F.col("hub_ctx").alias("ctx"))).distinct()
+        # Who shares only a part with the hub may share more with another: all of the runs that may repeat must be the hub's too.
+        gone = same.filter("start >= first and stop <= last").select("key", "ctx").union(hub.select("key", F.col("hub_ctx").alias("ctx"))).distinct()
         left = materialize(rest.join(gone, ["key", "ctx"], "left_anti"), "left")
         alive = left.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
         rest = materialize(left.join(alive, "key", "left_semi"), "rest")
