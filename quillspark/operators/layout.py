@@ -1,11 +1,14 @@
 """Post-processing of detected boxes: thresholds, suppression, containment, reading order, labels.
 
 Each operator takes an array column of one page's boxes, so a page never meets another one's shuffle;
-the folds keep Catalyst's code generation and need no Python.
+the folds keep Catalyst's code generation. Only containment, which compares all pairs, goes through Arrow.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,19 +78,45 @@ def drop_contained(boxes: Column, mode: str = "large", labels: tuple[str, ...] |
     """
     if mode == "union":
         return boxes
-    numbered = F.transform(boxes, lambda b, i: F.struct(i.alias("i"), b.alias("b")))
-    guarded = lambda x: x["b"]["label"].isin(*PRESERVED)
-    mine = lambda x: x["b"]["label"].isin(*labels) if labels else F.lit(True)
-    inside = lambda a, b: (a["i"] != b["i"]) & ~guarded(a) & G.contained(a["b"]["bbox_2d"], b["b"]["bbox_2d"])
-
-    def stays(x: Column) -> Column:
-        inner = F.exists(numbered, lambda y: inside(x, y) & (mine(y) if mode == "large" else mine(x)))
-        if mode == "large":
-            return ~inner
-        outer = F.exists(numbered, lambda y: inside(y, x) & mine(y))
-        return ~outer | inner
-
-    return F.transform(F.filter(numbered, stays), lambda x: x["b"])
+    stays = _stays(mode, labels)(boxes["bbox_2d"].cast("array<array<double>>"), boxes["label"])
+    return F.filter(F.zip_with(boxes, stays, lambda b, s: F.struct(b.alias("b"), s.alias("s"))), lambda x: x["s"])["b"]
+
+
+def _stays(mode: str, labels: tuple[str, ...] | None, together: int = 1 << 20):
+    """Which boxes of a page ``drop_contained`` keeps, for all pairs of boxes of the pages of a batch, so many pairs at a time."""
+
+    @F.arrow_udf("array<boolean>")
+    def run(boxes: pa.Array, names: pa.Array) -> pa.Array:
+        size = np.asarray(pc.fill_null(pc.list_value_length(boxes), 0), np.int64)
+        flat, own = pc.list_flatten(boxes), pc.list_flatten(names)
+        left, top, right, bottom = (pc.list_element(flat, k).to_numpy(zero_copy_only=False).astype(float) if len(flat) else np.zeros(0) for k in range(4))
+        area = (right - left) * (bottom - top)
+        unknown = own.is_null().to_numpy(zero_copy_only=False)
+        guarded = np.asarray(pc.is_in(own, pa.array(PRESERVED, own.type)))
+        mine = np.asarray(pc.is_in(own, pa.array(labels, own.type))) | unknown if labels else np.ones(len(own), bool)
+        each, first = np.repeat(size, size), np.repeat(np.cumsum(size) - size, size)
+        inner, certain, outer = np.zeros((3, len(own)), bool)  # certain: whatever a label that is null may be
+        ends = np.cumsum(each)
+        lo = 0
+        while lo < len(own):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - each[lo] + together, "right")))
+            n = each[lo:hi]
+            a = np.repeat(np.arange(lo, hi), n)
+            b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[lo:hi], n)
+            shared = np.fmax(0, np.fmin(right[a], right[b]) - np.fmax(left[a], left[b])) * np.fmax(0, np.fmin(bottom[a], bottom[b]) - np.fmax(top[a], top[b]))
+            ok = area[a] > 0
+            inside = (a != b) & ok & ~guarded[a] & (shared / np.where(ok, area[a], 1.0) >= 0.8)
+            a, b = a[inside], b[inside]
+            if mode == "large":
+                inner[a[mine[b]]] = True
+            else:
+                certain[a[mine[a] & ~unknown[a]]] = True
+                outer[b[mine[a]]] = True
+            lo = hi
+        keep = ~inner if mode == "large" else ~outer | certain
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(keep), mask=boxes.is_null())
+
+    return run
 
 
 def clip(boxes: Column, width: Column, height: Column) -> Column:

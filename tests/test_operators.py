@@ -414,3 +414,18 @@ def test_grids_against_loops(spark):
     assert {(r.table_id, r.row, r.column): [r.bbox_2d, r.is_header, r.row_span, r.col_span, r.span_root] for r in got} == want and any(v[4] for v in want.values())
     none = of(2).limit(0)
     assert all(r.row_span is None and not r.is_header for r in tables.grid(of(0), of(1), none, none).collect())
+
+
+def test_containment_of_a_page_of_many_boxes_and_nulls(spark):
+    rng = random.Random(8)
+    box = lambda i: (i, rng.choice(["text", "image", None]), 0.5, 0, [float(x := rng.randint(0, 2000)), float(y := rng.randint(0, 2000)), float(x + rng.randint(5, 150)), float(y + rng.randint(5, 150))])
+    many = [box(i) for i in range(1100)]
+    df = spark.createDataFrame([(0, many), (1, None), (2, []), (3, [(0, "text", 0.5, 0, None), (1, "text", 0.5, 0, [0.0, 0.0, 9.0, 9.0])])], BOXES)
+    got = {r.page_id: r.ids for r in df.select("page_id", F.transform(layout.drop_contained(F.col("boxes")), lambda b: b["i"]).alias("ids")).collect()}
+
+    def inside(a, b):
+        w, h = (max(0, min(a[k + 2], b[k + 2]) - max(a[k], b[k])) for k in (0, 1))
+        return w * h / ((a[2] - a[0]) * (a[3] - a[1])) >= 0.8
+
+    assert got[0] == [a[0] for a in many if a[1] == "image" or not any(a[0] != b[0] and inside(a[4], b[4]) for b in many)]
+    assert got[1] is None and got[2] == [] and got[3] == [0]  # nulls bound nothing
