@@ -64,8 +64,10 @@ class Pieces:
         begin, place = len(self.flat) + np.cumsum(size) - size, len(self.raw) + np.cumsum(length) - length
         self.flat, self.raw = np.concatenate([self.flat, flat]), np.concatenate([self.raw, raw])
         order = np.unique(keys, return_index=True)[1]
-        order = order[~np.isin(keys[order], self.keys)]
-        at = np.searchsorted(self.keys, keys[order])
+        at = np.searchsorted(self.keys, keys[order])  # both are sorted: np.isin would hash all that are held, for each slice
+        held = at < len(self.keys)
+        held[held] = self.keys[at[held]] == keys[order[held]]
+        order, at = order[~held], at[~held]
         self.begin, self.size = np.insert(self.begin, at, begin[order]), np.insert(self.size, at, size[order])
         self.at, self.length = np.insert(self.at, at, place[order]), np.insert(self.length, at, length[order])
         self.keys = np.insert(self.keys, at, keys[order])

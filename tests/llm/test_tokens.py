@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -81,3 +82,19 @@ def test_siphash_as_published():
     each = np.ndarray((57,), "<u8", data.data, 0, (1,))
     got = tokens.textvec.siphash(each, np.array([0, 0, 0, 0]), np.array([15, 0, 8, 7]))
     assert [hex(int(g)) for g in got] == ["0xa129ca6149be45e5", "0x726fdb47dd0e0e31", "0x93f5f5799a932462", "0xab0200f58b01d137"]
+
+
+def test_a_few_new_pieces_cost_little_beside_many_held():
+    rng = np.random.Generator(np.random.PCG64(4))
+    keys = np.unique(rng.integers(0, 1 << 64, 400_000, dtype=np.uint64))
+    one = lambda k: (k, np.ones(len(k), np.int64), np.arange(len(k), dtype="<u4"), np.ones(len(k), np.int64), np.zeros(len(k), np.uint8))
+    pieces = tokens.Pieces()
+    pieces.add(*one(keys))
+    more = np.concatenate([keys[:50], keys[:50] + np.uint64(1), [np.uint64(0), np.uint64(2**64 - 1)] * 2])
+    began = time.perf_counter()
+    np.isin(more, keys)
+    whole = time.perf_counter() - began
+    began = time.perf_counter()
+    pieces.add(*one(more))
+    assert time.perf_counter() - began < whole / 2
+    assert pieces.keys.tolist() == sorted({*keys.tolist(), *more.tolist()})
