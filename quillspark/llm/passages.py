@@ -14,10 +14,12 @@ line said over and over is no passage, unless the whole text has copies.
 3. Windows of one signature with the same shared tokens at the same distances from c are one variant: they
    repeat each other, whatever stands between, and only the first of them goes on. A variant holds any
    number of windows; it is made by aggregation, never gathered.
-4. Variants of one signature are joined by interval (what two windows have in common around c must hold a
-   run): first with one hub, the variant of the least text; what repeats the hub with all its runs that may
-   repeat leaves, the rest goes on with another one, then with ``FAN`` times as many each time, until none
-   is left. So every two variants are compared, or one of them repeats a hub from end to end.
+4. Variants of one signature are a list; each is compared with one hub only, the variant of the least text, on
+   the tokens around the two places. What holds no shared token that the hub lacks there is done with, as all that
+   repeats it repeats the hub's too. Other runs go on, each in one list: under the signature and the first
+   such token to the right of c or, where a run holds none, to the left. Texts that have such a run in common meet
+   in the same list again. So a turn compares a variant once for each list that its runs are in, 46 at most and
+   mostly one or two, whatever the size of a group.
 5. Candidates are verified on the tokens of the regions around the places, one region per pair of texts
    and offset.
 
@@ -49,7 +51,11 @@ WIDTH, WORDS = 5, 50
 TOKENS = WORDS - WIDTH + 1
 PERCENT = 80
 NEED = -(-2 * TOKENS * PERCENT // (100 + PERCENT))
-FUNCTIONS, FAN = 3, 4
+FUNCTIONS = 3
+#: An edit shifts a run by so many tokens at most.
+SHIFT = TOKENS - NEED
+#: Up to so many hubs (some 450 bytes each) are sent to all tasks; more are joined by shuffle.
+BROADCAST_HUBS = 20_000
 MARK_BITS = 40
 #: Bitmaps have as many bits as there are tokens or texts, at least and at most 2 to the power of these.
 LEAST_BITS, MOST_BITS = 20, 29
@@ -58,7 +64,7 @@ _SEEN = 1 << 19
 _U = np.uint64
 _NEVER = _U(2**64 - 1)
 _SEEDS = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, 4, dtype=np.uint64)
-_PLACES = "key long, ctx long, node long, c int, left int, right int, first int, last int"
+_PLACES = "key long, ctx long, node long, c int, first int, last int"
 
 
 def text_hashes(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -214,12 +220,11 @@ def shared_tokens(docs: DataFrame, total: int) -> np.ndarray:
     return _bitmap(apply_arrow(packed.groupBy("bucket"), add, "slot long"), bits)
 
 
-def places_of(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """key, ctx, node, c, left, right, first, last: a compact window, how far it reaches from c and the runs in it that may repeat.
+def places_of(docs: DataFrame, shared) -> DataFrame:
+    """key, ctx, node, c, first, last: a compact window by its place c and the runs in it that may repeat.
 
-    key: signature and function; ctx: hash of the shared tokens in the window by their distance from c.
+    key: signature and function; ctx: hash of the shared tokens in the window by their distance from c; ``shared``: the bitmap of them, sent to all tasks.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def posted(tokens: np.ndarray, bounds: np.ndarray, nodes: np.ndarray, fresh: np.ndarray) -> Iterator[pa.RecordBatch]:
         often = _has(shared.value, tokens)
@@ -246,8 +251,8 @@ def places_of(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             ctx = textvec.mix((prefix[r + 1] - prefix[l]) * inverse[c])
             key = textvec.mix(value + _U(f))
             of = bounds[doc]
-            columns = [key.view(np.int64), ctx.view(np.int64), nodes[doc], *(x.astype(np.int32) for x in (c - of, c - l, r - c, first - of, last - of))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "ctx", "node", "c", "left", "right", "first", "last"])
+            columns = [key.view(np.int64), ctx.view(np.int64), nodes[doc], *(x.astype(np.int32) for x in (c - of, first - of, last - of))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "ctx", "node", "c", "first", "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens, bounds, nodes, fresh in _texts(batches):
@@ -273,7 +278,8 @@ def sequences(docs: DataFrame, nodes: DataFrame, bits: int) -> DataFrame:
 
 def spans(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
     """The runs of x, as (first, end) of tokens, whose every token lies in a run of TOKENS that repeats in y."""
-    good = np.flatnonzero(different(x, np.isin(x, y)) >= NEED)
+    y = np.sort(y)
+    good = np.flatnonzero(different(x, y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x) >= NEED) if len(y) else y
     if not len(good):
         return []
     cut = np.flatnonzero(np.diff(good) > TOKENS)
@@ -304,58 +310,115 @@ def _regions(pairs: DataFrame) -> DataFrame:
     return out.select("*", side("a", F.col("lo")), (F.col("hi") + TOKENS - 1).alias("ra"), side("b", F.col("lo") - F.col("offset")), (F.col("hi") - F.col("offset") + TOKENS - 1).alias("rb"))
 
 
-def _interval(a: str, b: str):
-    """Whether the windows around two places can hold one run, which an edit shifts by ``TOKENS - NEED`` at most."""
-    shift = TOKENS - NEED
-    part = lambda x, y: F.least(F.col(f"{a}{x}"), F.col(f"{b}{x}") + shift) + F.least(F.col(f"{a}{y}"), F.col(f"{b}{y}") + shift)
-    other = F.least(F.col(f"{a}left") + shift, F.col(f"{b}left")) + F.least(F.col(f"{a}right") + shift, F.col(f"{b}right"))
-    return (part("left", "right") >= TOKENS - 1) & (other >= TOKENS - 1)
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of a column of sequences, one after the other, and the bounds of each."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset).astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return np.frombuffer(data.tobytes(), "<u4"), (offsets - offsets[0]) // 4
+
+
+_TURN = "list long, key long, ctx long, node long, c int, start int, stop int, near binary, hub long, hub_c int"
+
+
+def _turn(pairs: DataFrame, shared) -> DataFrame:
+    """From variants beside the hub of their list: rows with ``hub`` repeat a run of it; rows with ``list`` are runs that go on, in another list."""
+
+    def compare(batch: pa.RecordBatch) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+        number = lambda name: batch.column(name).to_numpy()
+        c, lists = number("c").astype(np.int64), number("list").view(np.uint64)
+        lo = np.maximum(c - TOKENS + 1 - SHIFT, 0)
+        (x, at), (y, of) = _flat(batch.column("near")), _flat(batch.column("hub_near"))
+        pair = np.repeat(np.arange(len(c)), np.diff(at))
+        own, hubs = (_U(1 << 32) * p.astype(np.uint64) | t for p, t in ((pair, x), (np.repeat(np.arange(len(c)), np.diff(of)), y)))
+        hubs = np.sort(hubs)
+        held = hubs[np.minimum(np.searchsorted(hubs, own), len(hubs) - 1)] == own
+        often = _has(shared.value, x.astype(np.uint64) << _U(32))
+        run = np.flatnonzero(different(own, often) >= NEED)
+        mine = pair[run]
+        fits = (run - at[mine] >= number("start")[mine] - lo[mine]) & (run - at[mine] <= number("stop")[mine] - TOKENS - lo[mine])
+        run, mine = run[fits], mine[fits]
+        same = different(own, held)[run] >= NEED if len(run) else np.zeros(0, bool)
+        alike = np.zeros(len(c), bool)
+        alike[mine[same]] = True
+        # The first shared token to each side of c that the hub lacks.
+        other, place = np.flatnonzero(often & ~held), at[:-1] + c - lo
+        after = np.searchsorted(other, place, "right")
+        right, left = np.append(other, len(own))[after], np.append(-1, other)[after]
+        to_right = run + TOKENS > right[mine]
+        out = []
+        for side, some, token in ((1, to_right, right), (2, ~to_right & (run <= left[mine]), left)):
+            r, m = run[some], mine[some]
+            if len(r):
+                begin = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
+                m, first, last = m[begin], r[begin], r[np.append(begin[1:], len(r)) - 1]
+                key = textvec.mix(textvec.mix(lists[m] + _U(side)) ^ x[token[m]])
+                out.append((m, key.view(np.int64), *((z - at[m] + lo[m]).astype(np.int32) for z in (first, last + TOKENS))))
+        return np.flatnonzero(alike & (number("node") != number("hub"))), out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in _TURN.split(", ")]
+        schema = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[f.split()[1]]) for n, f in zip(names, _TURN.split(", "))])
+
+        def rows(batch: pa.RecordBatch, at: np.ndarray, **new: np.ndarray | None) -> pa.RecordBatch:
+            some = batch.take(pa.array(at))
+            return pa.RecordBatch.from_arrays([some.column(n) if n not in new else pa.nulls(len(at), schema.field(n).type) if new[n] is None else pa.array(new[n]) for n in names], schema=schema)
+
+        for batch in batches:
+            if len(batch):
+                alike, rest = compare(batch)
+                yield rows(batch, alike, list=None, near=None)
+                for at, key, start, stop in rest:
+                    yield rows(batch, at, list=key, start=start, stop=stop, hub=None, hub_c=None)
+
+    return map_arrow(pairs, run, _TURN)
 
 
 def repeats(docs: DataFrame, total: int, texts: int) -> DataFrame:
     """node, other, first, last: stretches of text ``node`` that repeat in text ``other``; ``total`` tokens in ``texts`` texts."""
-    places = materialize(places_of(docs, shared_tokens(docs, total)), "places")
-    variants = places.groupBy("key", "ctx").agg(F.min(F.struct("node", "c", "first", "last")).alias("rep"), F.max("node").alias("most"), F.max("left").alias("left"), F.max("right").alias("right"))
-    variants = materialize(variants.select("key", "ctx", F.col("rep.node").alias("node"), F.col("rep.c").alias("c"), F.col("rep.first").alias("start"), F.col("rep.last").alias("stop"), "most", "left", "right"), "variants")
+    shared = docs.sparkSession.sparkContext.broadcast(shared_tokens(docs, total))
+    places = materialize(places_of(docs, shared), "places")
+    variants = places.groupBy("key", "ctx").agg(F.min(F.struct("node", "c", "first", "last")).alias("rep"), F.max("node").alias("most"))
+    variants = materialize(variants.select("key", "ctx", F.col("rep.node").alias("node"), F.col("rep.c").alias("c"), F.col("rep.first").alias("start"), F.col("rep.last").alias("stop"), "most"), "variants")
     lists = materialize(variants.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("most").alias("hi")).filter("lo <> hi").select("key", "n"), "lists")
     # What repeats within a variant, and the other places of its first text.
     wide = variants.join(lists, "key").select("key", "ctx", F.col("node").alias("rep"), F.col("c").alias("rep_c"), "most", "n")
     inside = materialize(places.join(wide.filter("rep <> most or n > 1"), ["key", "ctx"]).filter("rep <> most or (node = rep and c <> rep_c)"), "inside")
     other = F.when(F.col("node") == F.col("rep"), F.col("most")).otherwise(F.col("rep"))
     long = lambda df: df.select("node", "other", F.col("first").cast("long"), F.col("last").cast("long"))
-    found = [long(inside.filter("rep <> most").select("node", other.alias("other"), "first", "last"))]
-    rest = materialize(variants.join(lists.filter("n > 1"), "key").select("key", "ctx", "node", "c", "start", "stop", "left", "right"), "rest")
+    found = long(inside.filter("rep <> most").select("node", other.alias("other"), "first", "last"))
+    rest = materialize(variants.join(lists.filter("n > 1"), "key").select(F.col("key").alias("list"), "key", "ctx", "node", "c", "start", "stop"), "rest")
     twins = inside.filter("n > 1 and node = rep and c <> rep_c").select("key", "ctx", (F.col("c") - F.col("rep_c")).alias("shift"))
     if rest.isEmpty():
-        return found[0].distinct()
-    nodes = materialize(rest.select("node").distinct(), "nodes")
-    held = materialize(sequences(docs, nodes, _bits(16 * texts)), "sequences")
-    turn = 0
-    while not rest.isEmpty():
-        hubs_each = FAN ** min(max(0, turn - 1), 20)
-        # The same texts are hubs of many lists, so that pairs of texts meet in few regions; a text with many variants needs hubs of its own in the end.
-        by = F.xxhash64("node") if hubs_each <= FAN else F.xxhash64("node", "ctx")
-        hub = rest.groupBy("key", F.pmod(by, F.lit(hubs_each))).agg(F.min(F.struct("node", "c", "ctx", "left", "right")).alias("hub"))
-        hub = hub.select("key", *(F.col(f"hub.{x}").alias(f"hub_{x}") for x in ("node", "c", "ctx", "left", "right")))
-        tested = materialize(rest.join(hub, "key").filter("node <> hub_node").filter(_interval("", "hub_")).select("key", "ctx", "node", "c", "start", "stop", "hub_node", "hub_c"), "tested")
-        first = F.col("node") < F.col("hub_node")
-        pairs = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("node", "hub_node", "a"), ("c", "hub_c", "ca"), ("hub_node", "node", "b"), ("hub_c", "c", "cb"))]
-        got = materialize(verified(materialize(_regions(tested.select(*pairs)), "regions"), held), "verified")
-        found.append(got)
-        mine = _islands(got, ["node", "other"]).withColumnRenamed("other", "hub_node")
-        same = materialize(tested.join(mine, ["node", "hub_node"]).filter("c >= first and c < last").select("key", "ctx", "node", "c", "start", "stop", F.col("hub_node").alias("other"), "first", "last"), "matched")
-        near = lambda x, edge: x(F.col(edge), F.col("c") + (TOKENS if edge == "last" else 1 - TOKENS)) + F.col("shift")
-        found.append(long(same.join(twins, ["key", "ctx"]).select("node", "other", near(F.greatest, "first").alias("first"), near(F.least, "last").alias("last"))))
-        # Who shares only a part with the hub may share more with another: all of the runs that may repeat must be the hub's too.
-        gone = same.filter("start >= first and stop <= last").select("key", "ctx").union(hub.select("key", F.col("hub_ctx").alias("ctx"))).distinct()
-        left = materialize(rest.join(gone, ["key", "ctx"], "left_anti"), "left")
-        alive = left.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
-        rest = materialize(left.join(alive, "key", "left_semi"), "rest")
-        turn += 1
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+        return found.distinct()
+    held = materialize(sequences(docs, materialize(rest.select("node").distinct(), "nodes"), _bits(16 * texts)), "sequences")
+    lo = F.greatest(F.lit(0), F.col("c") - (TOKENS - 1 + SHIFT))
+    near = F.substring("tokens", 4 * lo + 1, 4 * (F.col("c") + TOKENS + SHIFT - lo)).alias("near")
+    rest = materialize(rest.join(held, "node").select(*rest.columns, near), "near")
+    tested = []
+    while True:
+        # A list of one text is done. The same texts are hubs of many lists, so that pairs of texts meet in few regions.
+        hubs = rest.groupBy("list").agg(F.min(F.struct("node", "c", "key", "ctx", "near")).alias("h"), F.max("node").alias("most")).filter("h.node <> most")
+        hubs = materialize(hubs.select("list", *(F.col(f"h.{x}").alias(y) for x, y in (("node", "hub"), ("c", "hub_c"), ("key", "hub_key"), ("ctx", "hub_ctx"), ("near", "hub_near")))), "hubs")
+        n = hubs.limit(BROADCAST_HUBS + 1).count()
+        if not n:
+            break
+        pairs = rest.join(F.broadcast(hubs) if n <= BROADCAST_HUBS else hubs, "list").filter("key <> hub_key or ctx <> hub_ctx").drop("hub_key", "hub_ctx")
+        turn = materialize(_turn(pairs, shared), "turn")
+        tested.append(turn.filter("list is null").select("key", "ctx", "node", "c", "hub", "hub_c"))
+        rest = turn.filter("list is not null").drop("hub", "hub_c")
+    if not tested:
+        return found.distinct()
+    every = tested[0]
+    for more in tested[1:]:
+        every = every.unionByName(more)
+    first = F.col("node") < F.col("hub")
+    pairs = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("node", "hub", "a"), ("c", "hub_c", "ca"), ("hub", "node", "b"), ("hub_c", "c", "cb"))]
+    got = materialize(verified(materialize(_regions(every.select(*pairs)), "regions"), held), "verified")
+    mine = _islands(got, ["node", "other"]).withColumnRenamed("other", "hub")
+    same = every.join(twins, ["key", "ctx"]).join(mine, ["node", "hub"]).filter("c >= first and c < last").withColumnRenamed("hub", "other")
+    edge = lambda x, name: x(F.col(name), F.col("c") + (TOKENS if name == "last" else 1 - TOKENS)) + F.col("shift")
+    again = same.select("node", "other", edge(F.greatest, "first").alias("first"), edge(F.least, "last").alias("last"))
+    return found.unionByName(got).unionByName(long(again)).distinct()
 
 
 def _islands(stretches: DataFrame, by: list[str], *keep) -> DataFrame:

@@ -173,3 +173,20 @@ def test_no_stretch_is_lost_to_hubs(spark):
                 want[a] |= set(range(first, last + passages.WIDTH - 1))
     missed = sum(len(want[a] - held[a]) for a in tokens)
     assert missed < 0.01 * sum(map(len, want.values())), missed
+
+
+def test_rows_of_a_group_grow_with_its_texts(spark, monkeypatch):
+    """A passage that every text goes on from in its own way, with much that other texts hold: two rows a text or so, not one for each pair."""
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    some = lambda n: [word() for _ in range(n)]
+    passage, compared, turn = some(60), [], passages._turn
+    docs = []
+    for _ in range(60):
+        tail = some(45)
+        docs += [some(5) + passage + tail, some(60) + tail + some(60)]
+    monkeypatch.setattr(passages, "_turn", lambda pairs, shared: compared.append(pairs.count()) or turn(pairs, shared))
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string").repartition(3)
+    got = passages.find(table).collect()
+    assert {r.doc_id for r in got if r.end_word - r.start_word >= 58} == set(range(0, 120, 2))
+    assert len(got) <= 6 * 60 and sum(compared) <= 60 * 3 * 45, (len(got), compared)
