@@ -128,3 +128,27 @@ def test_alignment_compares_few_lines_and_finds_the_same(monkeypatch):
         assert matching.align(candidate, "\n\n".join(lines)) == want
         monkeypatch.setattr(editdist, "ratio", ratio)
     assert len(asked) < 30 * 60  # of some 60 lines and 2 times 57 runs each
+
+
+def test_long_texts_that_are_near_need_no_pass_over_the_table(monkeypatch):
+    """Work by distance, not by length: pairs of 100,000 signs, of small and large alphabets, with known distances."""
+    rng = random.Random(7)
+    pairs, want = [], []
+    for kinds, n, every in ((60, 100_000, 80), (60, 3000, 100), (100_000, 20_000, 50), (3, 2000, 100)):
+        a = np.array([rng.randrange(kinds) for _ in range(n)], np.int64)
+        b = a.copy()
+        b[::every] = kinds + 1  # a sign that a doesn't have: one edit each
+        pairs.append((a, b))
+        want.append(-(-n // every))
+        pairs.append((a, np.concatenate([b, [kinds + 2] * 5])))
+        want.append(want[-1] + 5)
+    some = [(a, np.array(edited(rng, a.tolist(), len(a) // 60), np.int64)) for a, _ in pairs if len(a) < 5000]
+    exact = [editdist.distance(a.tolist(), b.tolist()) for a, b in some]
+
+    def none(*_):
+        raise AssertionError("a pass over the table")
+
+    monkeypatch.setattr(editdist, "_banded", none)
+    monkeypatch.setattr(editdist, "distance", none)
+    assert editdist.distances(pairs).tolist() == want
+    assert editdist.distances(some).tolist() == exact
