@@ -1,16 +1,18 @@
 """Spatial, fuzzy and greedy one-to-one matching of words, lines and regions.
 
 Candidates come from equi-joins on the page (and a grid cell), so no page's words are ever crossed with
-another's; greedy steps, whose order is part of the result, get a page's words as one group.
+another's; greedy steps, whose order is part of the result, get a page's words of one text, or those left over, as one group.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -19,10 +21,13 @@ from quillspark.functions import editdist
 from quillspark.functions import geometry as G
 from quillspark.functions import text as T
 from quillspark.functions.batches import by_row
+from quillspark.session import written
 
 MATCH, ANCHOR = 70.0, 60.0
 MISREAD_DISTANCE = 120.0
 MAX_JOIN = 6
+#: So many places are looked through without a grid.
+FEW = 4096
 
 
 def words_to_regions(words: DataFrame, regions: DataFrame, share: float = 0.1, least_area: float = 1.0) -> DataFrame:
@@ -183,54 +188,51 @@ def words_of_text(pages: DataFrame, polygons: DataFrame, detector_only: bool = F
 
 
 class _Near:
-    """Points by cells of a grid; finds the nearest that is left, and forgets those that are taken."""
+    """Different points by cells of a grid; finds the nearest that are left, and forgets those that are taken."""
 
-    def __init__(self, at: np.ndarray, idx: np.ndarray):
+    def __init__(self, at: np.ndarray):
         span = float(np.ptp(at, axis=0).max()) if len(at) else 0.0
         self.width = max(span / max(1.0, (len(at) / 2) ** 0.5), 1e-9 * (1 + span))
         self.low = at.min(0) if len(at) else np.zeros(2)
         cells = np.floor((at - self.low) / self.width).astype(np.int64)
         self.most = cells.max(0) if len(at) else np.zeros(2, np.int64)
-        order = np.lexsort((idx, cells[:, 1], cells[:, 0]))
-        cells, self.at, self.idx = cells[order], at[order], idx[order]
-        cuts = np.flatnonzero(np.concatenate([[True], (np.diff(cells, axis=0) != 0).any(1)])) if len(at) else np.zeros(0, np.int64)
-        self.rows = {tuple(c): np.arange(a, b) for c, a, b in zip(cells[cuts].tolist(), cuts.tolist(), [*cuts.tolist()[1:], len(at)])}
-        self.place = {i: (k, tuple(c)) for k, (i, c) in enumerate(zip(self.idx.tolist(), cells.tolist()))}
-        self.left = np.ones(len(at), bool)
+        order = np.lexsort((cells[:, 1], cells[:, 0]))
+        self.at, self.cells, self.x, self.y = at, cells, at[:, 0].copy(), at[:, 1].copy()
+        cuts = np.flatnonzero(np.concatenate([[True], (np.diff(cells[order], axis=0) != 0).any(1)])) if len(at) else np.zeros(0, np.int64)
+        self.rows = {tuple(cells[x[0]].tolist()): x for x in np.split(order, cuts[1:])} if len(at) else {}
         self.count = len(at)
 
-    def take(self, idx: int) -> None:
-        if idx in self.place:
-            k, cell = self.place.pop(idx)
-            self.left[k] = False
-            self.count -= 1
-            rows = self.rows[cell]
-            if 2 * self.left[rows].sum() <= len(rows):
-                self.rows[cell] = rows[self.left[rows]]
-
-    def nearest(self, x: float, y: float, most: float = np.inf) -> tuple[float, int] | None:
-        """(distance, idx) of the nearest point left, the least idx of several, if within ``most``."""
+    def take(self, k: int) -> None:
+        self.x[k] = np.inf
+        cell = tuple(self.cells[k].tolist())
+        self.rows[cell] = self.rows[cell][self.rows[cell] != k]
+        self.count -= 1
+
+    def nearest(self, x: float, y: float, most: float = np.inf) -> tuple[float, list[int]] | None:
+        """(distance, numbers) of the points left that are nearest, if within ``most``."""
         if not self.count:
             return None
+        if len(self.at) <= FEW:
+            d = np.sqrt((self.x - x) ** 2 + (self.y - y) ** 2)
+            least = float(d.min())
+            return (least, np.flatnonzero(d == least).tolist()) if least <= most else None
         cx, cy = (int(v) for v in np.floor((np.array([x, y]) - self.low) / self.width))
-        best = None
+        best, found = None, []
         # Rings from the first that touches the grid to the last; what lies beyond ring r is at least r widths away.
         ring = max(0, -cx, cx - int(self.most[0]), -cy, cy - int(self.most[1]))
         last = max(cx, int(self.most[0]) - cx, cy, int(self.most[1]) - cy)
-        while ring <= last and (ring - 1) * self.width <= most and (best is None or (ring - 1) * self.width <= best[0]):
+        while ring <= last and (ring - 1) * self.width <= most and (best is None or (ring - 1) * self.width <= best):
             for cell in _ring(cx, cy, ring, self.most):
                 rows = self.rows.get(cell)
                 if rows is None or not len(rows):
                     continue
-                rows = rows[self.left[rows]]
-                if not len(rows):
-                    continue
                 d = np.sqrt((self.at[rows, 0] - x) ** 2 + (self.at[rows, 1] - y) ** 2)
-                k = int(d.argmin())  # rows of a cell are in order of idx
-                if d[k] <= most and (best is None or (float(d[k]), int(self.idx[rows[k]])) < best):
-                    best = float(d[k]), int(self.idx[rows[k]])
+                least = float(d.min())
+                if least <= most and (best is None or least <= best):
+                    found = ([] if best is None or least < best else found) + rows[d == least].tolist()
+                    best = least
             ring += 1
-        return best
+        return None if best is None else (best, found)
 
 
 def _ring(cx: int, cy: int, r: int, most: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -248,74 +250,179 @@ def _ring(cx: int, cy: int, r: int, most: np.ndarray) -> Iterator[tuple[int, int
                 yield x, y
 
 
-def _greedy(a: dict[int, tuple[float, float] | None], b: dict[int, tuple[float, float] | None], most: float = np.inf) -> list[tuple[int, int]]:
-    """Pairs of a and b (idx: centre) in order of (distance, a, b), every idx once; a missing centre is at distance 0 from all.
+class _Stacks:
+    """Words (idx, x, y) by their places: different places, and of each the idx of its words in order, first the least that is left."""
+
+    def __init__(self, idx: np.ndarray, at: np.ndarray):
+        order = np.lexsort((idx, at[:, 1], at[:, 0]))
+        at, self.idx = at[order], idx[order]
+        cuts = np.flatnonzero((np.diff(at, axis=0) != 0).any(1)) + 1 if len(at) else np.zeros(0, np.int64)
+        self.at = at[np.concatenate([[0], cuts]).astype(np.int64)] if len(at) else at
+        bounds = [0, *cuts.tolist(), len(at)] if len(at) else [0]
+        self.next, self.end = bounds[:-1], bounds[1:]
+
+    def left(self, k: int) -> int:
+        return self.end[k] - self.next[k]
+
+    def take(self, k: int, n: int) -> np.ndarray:
+        self.next[k] += n
+        return self.idx[self.next[k] - n : self.next[k]]
+
+    def rest(self) -> np.ndarray:
+        return np.concatenate([self.idx[i:j] for i, j in zip(self.next, self.end)] or [self.idx])
+
+
+def _level(a: _Stacks, b: _Stacks, meet: dict[int, list[int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of all words of a's stacks with those of b's stacks that they ``meet``, all at one distance: in order of (a, b)."""
+    out, often = [], Counter(t for own in meet.values() for t in own)
+    several = {s: own for s, own in meet.items() if len(own) > 1 or often[own[0]] > 1}
+    for s, own in meet.items():
+        if s not in several:
+            n = min(a.left(s), b.left(own[0]))
+            out.append((a.take(s, n), b.take(own[0], n)))
+    i, j = [], []
+    line = [(int(a.idx[a.next[s]]), s) for s in several]
+    heapq.heapify(line)
+    while line:
+        k, s = line[0]
+        several[s] = own = [t for t in several[s] if b.left(t)]
+        if not own:
+            heapq.heappop(line)
+            continue
+        j.append(int(b.take(min(own, key=lambda t: b.idx[b.next[t]]), 1)[0]))
+        i.append(k)
+        a.next[s] += 1
+        if a.left(s):
+            heapq.heapreplace(line, (int(a.idx[a.next[s]]), s))
+        else:
+            heapq.heappop(line)
+    return [*out, (np.array(i, np.int64), np.array(j, np.int64))]
+
 
-    The same as sorting all pairs, but only each a's nearest b that is left is ever looked up.
+def _pairs(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], most: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """(idx of a, idx of b) of the pairs of a and b (idx, places) in order of (distance, a, b), every idx once; a place of NaN is at distance 0 from all.
+
+    The same as sorting all pairs. Words of one place are a stack: only a stack's nearest stacks that are left are
+    ever looked up, and pairs of one distance are made for whole stacks at once.
     """
-    placed = [(i, p) for i, p in b.items() if p is not None]
-    near = _Near(np.array([p for _, p in placed], float).reshape(-1, 2), np.array([i for i, _ in placed], np.int64))
-    anywhere, every = [i for i, p in sorted(b.items()) if p is None], sorted(b)
-    used: set[int] = set()
-
-    def first(rest: list[int]) -> int | None:
-        while rest and rest[0] in used:
-            heapq.heappop(rest)
-        return rest[0] if rest else None
-
-    def best(p: tuple[float, float] | None) -> tuple[float, int] | None:
-        i = first(every if p is None else anywhere)
-        found = [] if i is None else [(0.0, i)]
-        if p is not None and (x := near.nearest(*p, most)) is not None:
-            found.append(x)
-        return min(found, default=None)
-
-    heap = [(d, i, j) for i, p in a.items() if (x := best(p)) is not None for d, j in [x]]
+    nowhere = [np.isnan(at).any(1) for _, at in (a, b)]
+    sides = [_Stacks(idx[~none], at[~none]) for (idx, at), none in zip((a, b), nowhere)]
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    if nowhere[0].any() or nowhere[1].any():
+        out.append(_anywhere(*sides, *(np.sort(idx[none]) for (idx, _), none in zip((a, b), nowhere))))
+    ours, theirs = sides
+    near = _Near(theirs.at)
+    for t in range(len(theirs.at)):
+        if not theirs.left(t):
+            near.take(t)
+    places = ours.at.tolist()
+    heap = [(x[0], s, x[1]) for s, (u, v) in enumerate(places) if ours.left(s) and (x := near.nearest(u, v, most)) is not None]
     heapq.heapify(heap)
-    out = []
     while heap:
-        _, i, j = heap[0]
-        if j not in used:
-            heapq.heappop(heap)
-            used.add(j)
-            near.take(j)
-            out.append((i, j))
-        elif (x := best(a[i])) is None:
-            heapq.heappop(heap)
+        level, meet = heap[0][0], {}
+        while heap and heap[0][0] == level:
+            _, s, found = heapq.heappop(heap)
+            if found := [t for t in found if theirs.left(t)]:
+                meet[s] = found
+            elif (x := near.nearest(*places[s], most)) is not None:
+                heapq.heappush(heap, (x[0], s, x[1]))
+        if not meet:
+            continue
+        out += _level(ours, theirs, meet)
+        for t in {t for own in meet.values() for t in own}:
+            if not theirs.left(t):
+                near.take(t)
+        for s in meet:
+            if ours.left(s) and (x := near.nearest(*places[s], most)) is not None:
+                heapq.heappush(heap, (x[0], s, x[1]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(i for i, _ in out)]), np.concatenate([none, *(j for _, j in out)])
+
+
+def _anywhere(ours: _Stacks, theirs: _Stacks, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs at distance 0 where words without a place are about: ``a`` and ``b``, which are at any place."""
+    at = {tuple(p): t for t, p in enumerate(theirs.at.tolist())}
+    where = {int(k): t for t in range(len(theirs.at)) for k in theirs.idx[theirs.next[t] : theirs.end[t]].tolist()}
+    every, free, used = sorted([*where, *b.tolist()]), b.tolist(), set()
+    line = sorted([(int(k), None) for k in a] + [(k, s) for s in range(len(ours.at)) for k in ours.idx[ours.next[s] : ours.end[s]].tolist()])
+    firsts = {"every": 0, "free": 0}
+    i, j = [], []
+
+    def first(name: str, rest: list[int]) -> int | None:
+        while firsts[name] < len(rest) and rest[firsts[name]] in used:
+            firsts[name] += 1
+        return rest[firsts[name]] if firsts[name] < len(rest) else None
+
+    for k, s in line:
+        if s is None:
+            found = first("every", every)
         else:
-            heapq.heapreplace(heap, (x[0], i, x[1]))
-    return out
+            t = at.get(tuple(ours.at[s].tolist()))
+            while t is not None and theirs.left(t) and int(theirs.idx[theirs.next[t]]) in used:
+                theirs.next[t] += 1
+            some = [x for x in (first("free", free), int(theirs.idx[theirs.next[t]]) if t is not None and theirs.left(t) else None) if x is not None]
+            found = min(some, default=None)
+        if found is not None:
+            used.add(found)
+            i.append(k)
+            j.append(found)
+    done = set(i)
+    for side, gone in ((ours, done), (theirs, used)):
+        kept = np.array([int(k) not in gone for k in side.idx], bool)
+        bounds = np.concatenate([[0], np.cumsum(kept)])
+        begin = [0, *side.end[:-1]]
+        side.idx, side.next, side.end = side.idx[kept], bounds[begin].tolist() if side.end else [], bounds[side.end].tolist() if side.end else []
+    return np.array(i, np.int64), np.array(j, np.int64)
+
+
+def _greedy(a: dict[int, tuple[float, float] | None], b: dict[int, tuple[float, float] | None], most: float = np.inf) -> list[tuple[int, int]]:
+    """``_pairs`` of two pages that are given as idx: place."""
+    sides = ((np.array([*x], np.int64), np.array([(np.nan, np.nan) if p is None else p for p in x.values()], float).reshape(-1, 2)) for x in (a, b))
+    i, j = _pairs(*sides, most)
+    return list(zip(i.tolist(), j.tolist()))
 
 
 def word_diff(ours: DataFrame, theirs: DataFrame, misread: float = MISREAD_DISTANCE) -> DataFrame:
     """page_id, status, ours_idx, theirs_idx: matched, mismatched, only_ours, only_theirs; every word once.
 
     Words of equal text (lower case, without punctuation) pair by nearness; what is left pairs with words
-    at most ``misread`` away. Both: page_id, idx, content, polygon. Both sides of a page meet in one group: the
-    greedy order is part of the result; candidates are looked up one at a time, so no pairs are listed.
+    at most ``misread`` away. Both: page_id, idx, content, polygon. A page's words of one text are one group, and then
+    those that are left: the greedy order is part of the result. No pairs are listed.
     """
     side = lambda df: df.select("page_id", F.col("idx").cast("int").alias("idx"), T.diff_key(T.text("content")).alias("key"), G.bounds(F.col("polygon")).alias("b")).select("page_id", "idx", "key", ((F.col("b")[0] + F.col("b")[2]) / 2).alias("x"), ((F.col("b")[1] + F.col("b")[3]) / 2).alias("y"))
     kind = ours.schema["page_id"].dataType.simpleString()
 
-    def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        page = (left if len(left) else right)["page_id"].iloc[0]
-        a, b = ([(i, k, None if pd.isna(x) or pd.isna(y) else (x, y)) for i, k, x, y in zip(df["idx"], df["key"], df["x"], df["y"])] for df in (left, right))
-        texts: dict[str, tuple[dict, dict]] = {}
-        for rows, at in ((a, 0), (b, 1)):
-            for i, k, p in rows:
-                if k:
-                    texts.setdefault(k, ({}, {}))[at][i] = p
-        out = [("matched", i, j) for x, y in texts.values() if x and y for i, j in _greedy(x, y)]
-        used = {i for _, i, _ in out}, {j for _, _, j in out}
-        left_over = [{i: p for i, _, p in rows if i not in used[at] and p is not None} for at, rows in enumerate((a, b))]
-        out += [("mismatched", i, j) for i, j in _greedy(*left_over, misread)]
-        used = {i for _, i, _ in out}, {j for _, _, j in out}
-        out += [("only_ours", i, None) for i, _, _ in a if i not in used[0]] + [("only_theirs", None, j) for j, _, _ in b if j not in used[1]]
-        found = pd.DataFrame(out, columns=["status", "ours_idx", "theirs_idx"]).astype({"ours_idx": "Int64", "theirs_idx": "Int64"})
-        found.insert(0, "page_id", page)
-        return found
-
-    return side(ours).groupBy("page_id").cogroup(side(theirs).groupBy("page_id")).applyInPandas(pair, f"page_id {kind}, status string, ours_idx int, theirs_idx int")
+    def pairing(most: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        def words(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            """An idx that comes twice is one word, at its last place."""
+            idx, last = np.unique(rows["idx"].to_numpy()[::-1], return_index=True)
+            at = np.stack([rows[c].to_numpy() for c in ("x", "y")], 1)[::-1][last]
+            return idx.astype(np.int64), at
+
+        def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+            i, j = _pairs(words(left), words(right), most) if len(left) and len(right) else (np.zeros(0, np.int64),) * 2
+            page = (left if len(left) else right)["page_id"][0].as_py()
+            return pa.table({"page_id": pa.array([page] * len(i), left.schema.field("page_id").type), "ours_idx": pa.array(i, pa.int32()), "theirs_idx": pa.array(j, pa.int32())})
+
+        return pair
+
+    def paired(left: DataFrame, right: DataFrame, by: list[str], most: float) -> DataFrame:
+        right = right.select(*(F.col(c).alias(c) for c in right.columns))  # both may come from one table
+        return written(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(pairing(most), f"page_id {kind}, ours_idx int, theirs_idx int"), "pairs")
+
+    def without(rows: DataFrame, pairs: DataFrame, index: str) -> DataFrame:
+        gone = pairs.select(F.col("page_id").alias("_page"), F.col(index).alias("_idx"))
+        return rows.join(gone, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("idx") == F.col("_idx")), "left_anti")
+
+    sides, names = (side(ours), side(theirs)), ("ours_idx", "theirs_idx")
+    matched = paired(*(s.filter("key <> ''") for s in sides), ["page_id", "key"], np.inf)
+    sides = [without(s, matched, n).drop("key") for s, n in zip(sides, names)]
+    mismatched = paired(*(s.filter("x is not null and y is not null and not isnan(x) and not isnan(y)") for s in sides), ["page_id"], misread)
+    only = [without(s, mismatched, n).select("page_id", F.lit(f"only_{n[:-4]}").alias("status"), F.col("idx").alias(n)) for s, n in zip(sides, names)]
+    out = matched.withColumn("status", F.lit("matched")).unionByName(mismatched.withColumn("status", F.lit("mismatched")))
+    for df in only:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out.select("page_id", "status", "ours_idx", "theirs_idx")
 
 
 def diff_totals(diff: DataFrame, by: list[str]) -> DataFrame:

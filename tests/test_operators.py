@@ -1,5 +1,6 @@
 import io
 import random
+import tracemalloc
 import zipfile
 import zlib
 
@@ -429,3 +430,25 @@ def test_containment_of_a_page_of_many_boxes_and_nulls(spark):
 
     assert got[0] == [a[0] for a in many if a[1] == "image" or not any(a[0] != b[0] and inside(a[4], b[4]) for b in many)]
     assert got[1] is None and got[2] == [] and got[3] == [0]  # nulls bound nothing
+
+
+def test_pairs_of_a_crowded_page_take_little_memory():
+    """200,000 words a side in 900 places: some arrays, no objects by word."""
+    k = np.arange(200_000)
+    at = np.stack([k * 37 % 900, k * 53 % 900], 1).astype(float)
+    tracemalloc.start()
+    i, j = matching._pairs((k, at), (k[k % 5 > 0], at[k % 5 > 0] + 3))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(i) == len(set(i.tolist())) == len(set(j.tolist())) == 160_000
+    assert peak < 60 * 2**20
+
+
+def test_words_that_share_a_number_count_as_before(spark):
+    """One idx under two texts may match under each; its rows are left over only if none does."""
+    box = [0.0, 0.0, 9.0, 0.0, 9.0, 5.0, 0.0, 5.0]
+    schema = "page_id long, idx int, content string, polygon array<double>"
+    ours = spark.createDataFrame([(1, 1, "a", box), (1, 1, "b", box), (1, 2, "c", box), (1, 2, "c", box), (1, 3, "", [])], schema)
+    theirs = spark.createDataFrame([(1, 7, "a", box), (1, 8, "b", box), (2, 9, "z", box)], schema)
+    got = sorted((r.page_id, r.status, r.ours_idx or 0, r.theirs_idx or 0) for r in matching.word_diff(ours, theirs).collect())
+    assert got == sorted([(1, "matched", 1, 7), (1, "matched", 1, 8), (1, "only_ours", 2, 0), (1, "only_ours", 2, 0), (1, "only_ours", 3, 0), (2, "only_theirs", 0, 9)])
