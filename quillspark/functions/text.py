@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 from operator import or_
@@ -33,7 +34,16 @@ NO_VISION_STATUS = (400, 404, 422)
 NO_VISION_MARKERS = ("multimodal", "image_url", "image url", "vision", "does not support", "not support", "unsupported", "invalid type", "content type")
 # The languages of messages; any other falls back to the first.
 LOCALES = ("en", "de")
-_WORD = r"[\p{L}\p{N}_]+"
+# Letters and numbers of Unicode 14 and 15, which the JVM's tables (13 under Java 17) don't have, unlike those of Python and DuckDB.
+_NEWER = (
+    "870-887 889-88e 8b5 8c8-8c9 c5d cdd 170d 171f 1b4c 2c2f 2c5f 9ffd-9fff a7c0-a7c1 a7d0-a7d1 a7d3 a7d5-a7d9 a7f2-a7f4 10570-1057a 1057c-1058a "
+    "1058c-10592 10594-10595 10597-105a1 105a3-105b1 105b3-105b9 105bb-105bc 10780-10785 10787-107b0 107b2-107ba 10f70-10f81 11071-11072 11075 "
+    "1123f-11240 11740-11746 11ab0-11abf 11f02 11f04-11f10 11f12-11f33 11f50-11f59 12f90-12ff0 1342f 13441-13446 16a70-16abe 16ac0-16ac9 "
+    "1aff0-1aff3 1aff5-1affb 1affd-1affe 1b11f-1b122 1b132 1b155 1d2c0-1d2d3 1df00-1df1e 1df25-1df2a 1e030-1e06d 1e290-1e2ad 1e4d0-1e4eb "
+    "1e4f0-1e4f9 1e7e0-1e7e6 1e7e8-1e7eb 1e7ed-1e7ee 1e7f0-1e7fe 2a6de-2a6df 2b735-2b739 31350-323af"
+)
+_NEWER = re.sub("[0-9a-f]+", lambda m: rf"\x{{{m[0]}}}", _NEWER).replace(" ", "")
+_WORD = r"[\p{L}\p{N}_[\x{870}-\x{323af}&&[" + _NEWER + "]]]+"  # the outer range spares other characters the list
 _SPACE = r"[\s\u0085\u001c-\u001f\p{Z}]"
 _LINE = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085  ]"
 _FENCE = r"(?s)^```(?:[\p{L}\p{N}_.+-]+)?\s*(?:\r?\n)?(.*?)\s*```$"
