@@ -45,8 +45,10 @@ _NEWER = (
 _NEWER = re.sub("[0-9a-f]+", lambda m: rf"\x{{{m[0]}}}", _NEWER).replace(" ", "")
 _WORD = r"[\p{L}\p{N}_[\x{870}-\x{323af}&&[" + _NEWER + "]]]+"  # the outer range spares other characters the list
 _SPACE = r"[\s\u0085\u001c-\u001f\p{Z}]"
+#: White space of SQL's regular expressions.
+SQL_SPACE = r"[\t\n\f\r ]"
 _LINE = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085  ]"
-_FENCE = r"(?s)^```(?:[\p{L}\p{N}_.+-]+)?\s*(?:\r?\n)?(.*?)\s*```$"
+_FENCE = r"(?s)^```[\p{L}\p{N}_.+-]*(.*)```\z"
 _DIFF_PUNCTUATION = r"[\s ​\.,;:!?\"'`´‘’“”„‚()\[\]{}<>/\\|_*-]+"
 _GARBAGE = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{e000}-\x{f8ff}\x{f0000}-\x{ffffd}\x{100000}-\x{10fffd}]"
 
@@ -60,9 +62,14 @@ def given(c: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), use), F.lit(0))
 
 
+def strip_of(c: Column, space: str) -> Column:
+    """Without characters of the class ``space`` at both ends."""
+    return F.regexp_replace(c, rf"^{space}+|{space}+\z", "")
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, f"^{_SPACE}+|{_SPACE}+$", "")
+    return strip_of(c, _SPACE)
 
 
 def squeeze(c: Column) -> Column:
@@ -94,15 +101,15 @@ def safe_div(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
 
 
-def unwrap_fence(c: Column) -> Column:
+def unwrap_fence(c: Column, space: str = _SPACE) -> Column:
     """Model output without a fence around all of it."""
-    whole = strip(c)
-    return F.when(whole.rlike(_FENCE), strip(F.regexp_extract(whole, _FENCE, 1))).otherwise(whole)
+    whole = strip_of(c, space)
+    return F.when(whole.rlike(_FENCE), strip_of(F.regexp_extract(whole, _FENCE, 1), space)).otherwise(whole)
 
 
-def is_empty_fence(c: Column) -> Column:
-    whole = strip(c)
-    return (whole != "") & whole.rlike(_FENCE) & (strip(F.regexp_extract(whole, _FENCE, 1)) == "")
+def is_empty_fence(c: Column, space: str = _SPACE) -> Column:
+    whole = strip_of(c, space)
+    return (whole != "") & whole.rlike(_FENCE) & (strip_of(F.regexp_extract(whole, _FENCE, 1), space) == "")
 
 
 def diff_key(c: Column) -> Column:
